@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from slotscope.llm.decontaminate import covered, decontaminate
 from slotscope.llm.exact_dedup import exact_dedup
+from slotscope.llm.labelled import fold
 from slotscope.llm.mixing import taken_words
-from slotscope.llm.shared import table
+from slotscope.llm.quality import quality
+from slotscope.llm.shared import new_folder, table
+from slotscope.llm.token_counts import token_counts
+from slotscope.llm.toxicity import toxicity
+from slotscope.llm.url_filter import url_filter
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +34,59 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_folder(spark, "token-cache"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = toxicity(docs, table(spark, sf_dir, "labels")).withColumnRenamed("toxic_score", "score")
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_threshold", "toxic_flag")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).withColumnRenamed("quality_score", "score")
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+#: The dated list that op9 applies (key, date, category; no category: delisted).
+URL_LIST = (
+    ("cheap-pills.example.com", "2024-01-01", "spam"),
+    ("tionsh.example.net", "2024-02-10", "malware"),
+    ("tionsh.example.net", "2024-04-01", None),
+    ("tionsh.example.net", "2024-06-15", "phishing"),
+    ("tionsh.example.net", "2024-09-01", None),
+    ("tiontion.example.com", "2024-03-05", "adult"),
+    ("blog.tiontion.example.com", "2024-05-20", "spam"),
+    ("blog.tiontion.example.com", "2024-07-20", None),
+    ("ththan.example.net", "2024-01-20", "spam"),
+    ("ththan.example.net", "2024-08-08", "malware"),
+    ("ththre.example.org", "2024-10-01", "phishing"),
+    ("ththth.example.org", "2024-02-29", "adult"),
+    ("ththth.example.org", "2024-03-01", None),
+)
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time; page p is taken as fetched p * 37 mod 366 days into 2024."""
+    entries = spark.createDataFrame(URL_LIST, "key string, day string, category string").select("key", F.to_date("day").alias("dated"), "category")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    found = url_filter(table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched")), entries)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return found.select("page_id", text("url_host").alias("url_host"), F.col("fetched").cast("string").alias("fetched"), "blocked", text("list_key").alias("list_key"), text("list_since").alias("list_since"), text("list_category").alias("list_category"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op9_url_filters": op9_url_filters,
 }
 
 SQL = {
@@ -64,3 +118,21 @@ WITH d AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)""",
 }
+
+_listed = ",\n  ".join(f"('{k}', DATE '{d}', {'NULL' if c is None else repr(c)})" for k, d, c in URL_LIST)
+SQL["op9_url_filters"] = rf"""
+WITH entries(key, since, category) AS (VALUES
+  {_listed}
+), intervals AS (
+  SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM entries) WHERE category IS NOT NULL
+), captures AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched,
+         regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '') AS url_host
+  FROM pages
+), held AS (
+  SELECT page_id, url_host, fetched, key, since, category, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC NULLS LAST) AS nth
+  FROM captures LEFT JOIN intervals ON (url_host = key OR ends_with(url_host, '.' || key)) AND since <= fetched AND (until IS NULL OR fetched < until)
+)
+SELECT page_id, url_host, fetched::VARCHAR AS fetched, key IS NOT NULL AS blocked, coalesce(key, '') AS list_key,
+       coalesce(since::VARCHAR, '') AS list_since, coalesce(category, '') AS list_category
+FROM held WHERE nth = 1"""

@@ -77,3 +77,36 @@ def words_of(column, most_bytes: int = 1 << 20):
         part, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends = split_words(part, at)
         yield i, j - i, hash_words(part, starts, ends), np.searchsorted(starts, at)
+
+
+#: For segments: letters, digits and bytes beyond ASCII belong together, other marks too; white space and control bytes part them.
+KIND = np.full(256, 2, np.uint8)
+KIND[:0x21] = 0
+KIND[0x7F] = 0
+KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+
+
+def split_segments(data: np.ndarray, offsets: np.ndarray, marks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of word bytes, and with marks of every run of other marks; none crosses a row's end."""
+    kind = KIND[data] if marks else (KIND[data] == 1).astype(np.uint8)
+    if not len(kind):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.ones(len(kind) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    starts, ends = at[:-1], at[1:]
+    keep = kind[starts] > 0
+    return starts[keep], ends[keep]
+
+
+def hash_segments(column, marks: bool = False, prefix: int = 0, most_bytes: int = 1 << 20):
+    """As words_of, for the lower-cased texts' segments; with prefix, a second column of hashes for so many bytes of each."""
+    data, offsets = utf8_column(column)
+    for i, j in chunks(offsets, most_bytes):
+        part, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+        starts, ends = split_segments(part, at, marks)
+        hashes = hash_words(part, starts, ends)
+        if prefix:
+            hashes = np.stack([hashes, mix(hash_words(part, starts, np.minimum(starts + prefix, ends)) ^ np.uint64(prefix))], 1)
+        yield i, j - i, hashes, np.searchsorted(starts, at)
