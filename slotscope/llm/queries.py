@@ -9,6 +9,7 @@ from slotscope.llm.decontaminate import covered, decontaminate
 from slotscope.llm.exact_dedup import exact_dedup
 from slotscope.llm.labelled import fold
 from slotscope.llm.mixing import taken_words
+from slotscope.llm.near_dedup import near_duplicates
 from slotscope.llm.quality import quality
 from slotscope.llm.shared import new_folder, table
 from slotscope.llm.token_counts import token_counts
@@ -24,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85).drop("row_key", "n_links")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -82,6 +87,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
