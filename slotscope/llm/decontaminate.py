@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from slotscope.llm.shared import ascii_lower, cut
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words: every ASCII character but digits and letters. They are named one by one, for which Java's regular
+#: expressions look a character up in a table; from ranges they would try one after the other.
+PARTING = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+WORD = f"[^{PARTING}]+"
 #: Windows up to which the benchmark's side is broadcast; a larger one is joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
@@ -55,7 +56,7 @@ def item_windows(benchmark: DataFrame, docs: DataFrame, size: int) -> tuple[Data
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """A row for each document with occurring windows: doc_id, row_key, spans (start, end of each, in words), items."""
     windows, n = item_windows(benchmark, docs, size)
-    placed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words("text").alias("w")).select("doc_id", "row_key", "w", F.posexplode("w").alias("at", "token"))
+    placed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words("text").alias("w")).select("doc_id", "row_key", "w", F.posexplode_outer("w").alias("at", "token"))
     start = F.col("at") - F.col("place")
     found = (
         placed.join(bounded(windows, n, BROADCAST_WINDOWS), "token")
@@ -77,7 +78,7 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """A row for each document: doc_id, row_key, n_words, spans, items (both null without hits)."""
-    counted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     found = hits(docs, benchmark, size).withColumnsRenamed({"doc_id": "hit_id", "row_key": "hit_key"})
     return counted.join(found, (F.col("row_key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id", "hit_key")
 
