@@ -11,12 +11,18 @@ from slotscope.llm.labelled import fold
 from slotscope.llm.mixing import taken_words
 from slotscope.llm.near_dedup import near_duplicates
 from slotscope.llm.quality import quality
+from slotscope.llm.repeats import remove_repeats
 from slotscope.llm.shared import new_folder, table
 from slotscope.llm.token_counts import token_counts
 from slotscope.llm.toxicity import toxicity
 from slotscope.llm.url_filter import url_filter
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).drop("copies", "uid")
 
@@ -85,6 +91,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
