@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotscope.llm.decontaminate import covered, decontaminate
 from slotscope.llm.exact_dedup import exact_dedup
 from slotscope.llm.labelled import fold
+from slotscope.llm.language_model import language_model
 from slotscope.llm.mixing import taken_words
 from slotscope.llm.near_dedup import near_duplicates
 from slotscope.llm.quality import quality
@@ -90,6 +91,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", text("url_host").alias("url_host"), F.col("fetched").cast("string").alias("fetched"), "blocked", text("list_key").alias("list_key"), text("list_since").alias("list_since"), text("list_category").alias("list_category"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_mixing": op2_mixing,
@@ -100,6 +105,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_url_filters": op9_url_filters,
+    "op10_language_model": op10_language_model,
 }
 
 SQL = {
