@@ -164,7 +164,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the copies: of equal texts the longest row, then the smallest doc_id stays."""
+    """docs without the copies: of equal texts the longest row, then the smallest doc_id stays; of rows that repeat both, one."""
     kept = exact_dedup(docs).where("kept").select(F.col("row_key").alias("kept_key"))
-    keyed = docs.withColumn("kept_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, "kept_key", "left_semi").drop("kept_key")
+    return docs.withColumn("kept_key", F.xxhash64("doc_id", "text")).join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"]).drop("kept_key")

@@ -115,7 +115,7 @@ def shard_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 
 def mix(slim: DataFrame, targets: DataFrame, n_sources: int, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row for each taken copy: uid, size, sid, block, copy, shard, and its position in the shuffled shard."""
+    """A row for each taken copy: uid, h, size, sid, block, copy, shard, and its position in the shuffled shard."""
     known = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
     dealt = (
         slim.join(known, slim.source.eqNullSafe(known.source))
@@ -143,7 +143,7 @@ def mix(slim: DataFrame, targets: DataFrame, n_sources: int, seed: int = 7, shar
     ordered = dealt.select("uid", "h", "size", "sid", "block", (F.sum("size").over(within) - F.col("size") / 2).alias("middle"))
     taken = ordered.join(drawn, ["sid", "block"]).where(~F.col("partial") | (F.col("middle") <= F.col("room")))
     shuffled = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "h", "copy"), "uid", "copy")
-    return taken.select("uid", "size", "sid", "block", "copy", "shard", F.row_number().over(shuffled).alias("position"))
+    return taken.select("uid", "h", "size", "sid", "block", "copy", "shard", F.row_number().over(shuffled).alias("position"))
 
 
 def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -161,3 +161,12 @@ def taken_words(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: in
     joined = slim.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).join(per_doc, "uid", "left")
     n = F.coalesce("copies", F.lit(0))
     return joined.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "uid")
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """docs, each row as often as the mix takes it, with mix_copy, mix_shard and mix_position."""
+    _, _, copies = mix_documents(docs, share, most, seed)
+    places = copies.select(F.col("h").alias("mix_key"), F.col("copy").alias("mix_copy"), F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
+    # rows that repeat an id and its text have one key; each of them has copies of its own among the places
+    texts = docs.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "text")).dropDuplicates(["mix_key"])
+    return texts.join(places, "mix_key").drop("mix_key")
