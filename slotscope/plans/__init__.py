@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("kv",)
+FAMILIES = ("kv", "journal", "metrics")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in FAMILIES:
