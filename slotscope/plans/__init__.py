@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("kv", "journal", "metrics")
+FAMILIES = ("kv", "journal", "metrics", "space")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in FAMILIES:
