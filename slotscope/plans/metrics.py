@@ -117,7 +117,7 @@ SQL = {
     "metric_gauge": f"SELECT metric, {_window(3600)}, arg_max(value, (ts, event_id)) AS value FROM ({_E}) GROUP BY 1, 2",
     "metric_summary": f"SELECT metric, {_window(3600)}, count(*) AS n, (sum(value) // count(*))::BIGINT AS avg, max(value) AS max, sum(value)::BIGINT AS total FROM ({_E}) GROUP BY 1, 2",
     "metric_bandwidth": f"SELECT metric, {_window(600)}, count(*) AS n, (sum(value) // count(*))::BIGINT AS avg_size, (sum(value) // 600)::BIGINT AS rate FROM ({_E}) GROUP BY 1, 2",
-    "metric_delta": "SELECT series, at, delta FROM (SELECT user_id AS series, event_id AS at, greatest(0, r - lag(r) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta, lag(r) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT *, floor(value * 10)::BIGINT AS r FROM events)) WHERE b IS NOT NULL",
+    "metric_delta": "SELECT series, \"at\", delta FROM (SELECT user_id AS series, event_id AS \"at\", greatest(0, r - lag(r) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta, lag(r) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT *, floor(value * 10)::BIGINT AS r FROM events)) WHERE b IS NOT NULL",
     "metric_names": f"SELECT 'op.' || metric AS name, count(*) FILTER (value > 300000) AS n, 'counter' AS kind FROM ({_E}) GROUP BY 1 HAVING count(*) FILTER (value > 300000) > 0",
     "hist_fixed": _fixed("true"),
     "hist_fixed_small": _fixed("event_id % 997 = 5"),
