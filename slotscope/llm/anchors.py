@@ -10,16 +10,21 @@ from slotscope.llm.words import BYTE_VALUE, mix, powers
 GRAM = 16
 
 
-def window_anchors(data: np.ndarray, window: int) -> np.ndarray:
+def running_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and factors from which any stretch's hash follows: (sums[j] - sums[i]) * factors[i]."""
+    power, inverse = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE_VALUE[data] * power[:-1], out=sums[1:])
+    return sums, inverse
+
+
+def window_anchors(sums: np.ndarray, inverse: np.ndarray, window: int) -> np.ndarray:
     """For each start of a window of so many bytes, the least hash of the GRAM-byte strings in it."""
-    n = len(data) - window + 1
-    if n <= 0:
+    if len(sums) <= window:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        power, inverse = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * power[:-1], out=sums[1:])
-        least = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1])
+        least = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(sums) - GRAM])
     wide, span = window - GRAM + 1, 1
     while span * 2 <= wide:
         least = np.minimum(least[:-span], least[span:])
@@ -29,9 +34,9 @@ def window_anchors(data: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(offsets: np.ndarray, sums: np.ndarray, inverse: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of window starts with one anchor: row, first start (within data), last start, anchor."""
-    anchors = window_anchors(data, window)
+    anchors = window_anchors(sums, inverse, window)
     lengths = np.diff(offsets)
     rows = np.flatnonzero(lengths >= window)
     if not len(rows) or not len(anchors):

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 SEPARATOR = 0
-#: Symbols (of nine bits) that the first sorting key packs.
-PACKED = 7
 
 
 def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -23,12 +21,16 @@ def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes, ordered by their first `depth` symbols at least; ties stand in any order."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(PACKED, np.uint64)])
+    used = np.zeros(257, bool)
+    used[symbols] = True
+    dense = np.cumsum(used)  # from 1; 0 stands beyond the end
+    bits = int(dense[-1]).bit_length()
+    reached = 64 // bits
+    padded = np.concatenate([dense.astype(np.uint64)[symbols], np.zeros(reached, np.uint64)])
     keys = np.zeros(n, np.uint64)
-    for k in range(PACKED):
-        keys = (keys << np.uint64(9)) | padded[k : k + n]
+    for k in range(reached):
+        keys = (keys << np.uint64(bits)) | padded[k : k + n]
     order = np.argsort(keys)
-    reached = PACKED
     while reached < depth:
         ranks = _ranks(keys, order)
         if int(ranks[order[-1]]) == n - 1:
@@ -61,14 +63,15 @@ def prefix_boundaries(symbols: np.ndarray, order: np.ndarray, threshold: int) ->
     begins = np.ones(n, bool)
     begins[1:] = (first[1:] != first[:-1]) | (first[1:] == SEPARATOR)
     del transform, place, following
+    source = source.astype(np.intp)
     open_places = np.flatnonzero(~begins)
     above, here = source[open_places - 1], source[open_places]
+    interval = np.empty(n, np.int32)
     for _ in range(1, threshold):
-        if not len(open_places):
-            break
-        interval = np.cumsum(begins, dtype=np.int32)
+        np.cumsum(begins, dtype=np.int32, out=interval)
         differ = interval[above] != interval[here]
         begins[open_places[differ]] = True
-        same = ~differ
-        open_places, above, here = open_places[same], above[same], here[same]
+        if np.count_nonzero(differ) > len(differ) // 6:  # those that have their value stay different, so they needn't go at once
+            same = np.flatnonzero(~differ)
+            open_places, above, here = open_places[same], above[same], here[same]
     return begins

@@ -22,16 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotscope.llm import golomb
-from slotscope.llm.anchors import anchor_runs
+from slotscope.llm.anchors import anchor_runs, running_hash
 from slotscope.llm.bwt import SEPARATOR, prefix_boundaries, suffix_order
 from slotscope.llm.shared import chunks, n_parts, utf8_column
-from slotscope.llm.words import BYTE_VALUE, mix, powers
+from slotscope.llm.words import mix
 
 LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text that a block's anchors are made for at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 #: Of a bucket's anchors, ranges that may be sorted apart; and symbols that are sorted together, few enough for the cache.
 RANGES, SORTED_SYMBOLS = 256, 120_000
+#: Stored bytes of a block of documents.
+BLOCK_BYTES = 8 << 20
 #: Bits of an anchor that the exchange of fingerprints compares.
 SENT_BITS = 48
 
@@ -43,22 +45,14 @@ def _ids(column) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, threshold: int):
-    """Row, first and last window start, and anchor of all stretches of a block, and a hash of each one's bytes."""
-    found = []
+    """For each chunk of a block: row, first and last window start, and anchor of all stretches, and a hash of each one's bytes."""
     for i, j in chunks(offsets, CHUNK_BYTES):
         base = offsets[i]
-        part = data[base : offsets[j]]
-        row, first, last, anchor = anchor_runs(part, offsets[i : j + 1] - base, threshold)
-        power, inverse = powers(len(part) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[part] * power[:-1], out=sums[1:])
-            whole = mix((sums[last + threshold] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+        sums, inverse = running_hash(data[base : offsets[j]])
+        row, first, last, anchor = anchor_runs(offsets[i : j + 1] - base, sums, inverse, threshold)
         # least hashes crowd at the low end of their range; mixed, they fill it evenly
-        found.append((row + i, first + base, last + base, mix(anchor ^ np.uint64(29)), whole))
-    if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        whole = mix((sums[last + threshold] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+        yield row + i, first + base, last + base, mix(anchor ^ np.uint64(29)), whole
 
 
 def _sent(anchors: np.ndarray) -> np.ndarray:
@@ -71,29 +65,40 @@ def _ends(sorted_sent: np.ndarray, n: int) -> np.ndarray:
 
 
 def _ask(n_owners: int, threshold: int):
+    """Sends a block's anchors to their owners, with a bitmap of those that several of its own documents have."""
+
     def ask(rows: pa.Table) -> pa.Table:
         data, offsets = utf8_column(rows.column("text"))
-        kept = []
-        for i, j in chunks(offsets, CHUNK_BYTES):
-            *_, anchor = anchor_runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], threshold)
-            kept.append(np.unique(_sent(mix(anchor ^ np.uint64(29)))))
-        values = np.unique(np.concatenate([*kept, np.zeros(0, np.uint64)]))
+        ids = _ids(rows.column("doc_id"))
+        kept = [(_sent(anchor), ids[row]) for row, _, _, anchor, *_ in _runs(data, offsets, threshold)]
+        sent, doc = (np.concatenate([x[k] for x in kept]) if kept else np.zeros(0, np.uint64) for k in (0, 1))
+        order = np.argsort(sent)
+        sent, doc = sent[order], doc[order]
+        begins = np.flatnonzero(np.concatenate([[len(sent) > 0], sent[1:] != sent[:-1]]))
+        values = sent[begins]
+        several = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins) if len(begins) else np.zeros(0, bool)
         ends = _ends(values, n_owners)
         to = [k for k in range(n_owners) if ends[k] < ends[k + 1]]
-        return pa.table({"owner": pa.array(to, pa.int64()), "block": pa.array([rows.column("block")[0].as_py()] * len(to), pa.int64()), "blob": pa.array([golomb.encode(values[ends[k] : ends[k + 1]]) for k in to], pa.binary())})
+        parts = [slice(ends[k], ends[k + 1]) for k in to]
+        return pa.table({
+            "owner": pa.array(to, pa.int64()), "block": pa.array([rows.column("block")[0].as_py()] * len(to), pa.int64()),
+            "blob": pa.array([golomb.encode(values[p]) for p in parts], pa.binary()), "several": pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary()),
+        })
 
     return ask
 
 
 def _answer(messages: pa.Table) -> pa.Table:
-    """For each block's message, a bitmap of the anchors that more than one block has sent."""
+    """For each block's message, a bitmap of the anchors that other blocks have sent too, or several of its own documents have."""
     sent = [golomb.decode(b) for b in messages.column("blob").to_pylist()]
     every = np.sort(np.concatenate(sent))
     shared = np.unique(every[1:][every[1:] == every[:-1]])
     bitmaps = []
-    for values in sent:
-        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
-        bitmaps.append(np.packbits(shared[at] == values if len(shared) else np.zeros(len(values), bool)).tobytes())
+    for values, several in zip(sent, messages.column("several").to_pylist(), strict=True):
+        hit = np.unpackbits(np.frombuffer(several, np.uint8))[: len(values)].astype(bool)
+        if len(shared):
+            hit |= shared[np.minimum(np.searchsorted(shared, values), len(shared) - 1)] == values
+        bitmaps.append(np.packbits(hit).tobytes())
     return pa.table({"owner": messages.column("owner"), "block": messages.column("block"), "bitmap": pa.array(bitmaps, pa.binary())})
 
 
@@ -103,22 +108,22 @@ class _Block:
     def __init__(self, rows: pa.Table, answers: pa.Table, n_owners: int, threshold: int):
         self.data, self.offsets = utf8_column(rows.column("text"))
         self.ids = _ids(rows.column("doc_id"))
-        row, first, last, anchor, whole = _runs(self.data, self.offsets, threshold)
-        order = np.lexsort((self.ids[row], whole, anchor))
-        row, first, last, anchor, whole = (x[order] for x in (row, first, last, anchor, whole))
-        sent = _sent(anchor)
-        values, group = np.unique(sent, return_inverse=True)
-        flagged = np.zeros(len(values), bool)
+        parts = list(_runs(self.data, self.offsets, threshold))
+        values = np.concatenate([_sent(p[3]) for p in parts]) if parts else np.zeros(0, np.uint64)
+        values.sort()
+        values = values[np.flatnonzero(np.concatenate([[len(values) > 0], values[1:] != values[:-1]]))]
         ends = _ends(values, n_owners)
-        for k, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
-            n = ends[k + 1] - ends[k]
-            flagged[ends[k] : ends[k + 1]] |= np.unpackbits(np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
-        if len(values):
-            begins = np.searchsorted(group, np.arange(len(values)))
-            doc = self.ids[row]
-            flagged |= np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)
-        keep = flagged[group]
-        self.row, self.first, self.last, self.anchor, whole = (x[keep] for x in (row, first, last, anchor, whole))
+        wanted = [values[ends[k] : ends[k + 1]][np.unpackbits(np.frombuffer(bitmap, np.uint8))[: ends[k + 1] - ends[k]].astype(bool)] for k, bitmap in sorted(zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True))]
+        wanted = np.concatenate([*wanted, np.zeros(0, np.uint64)])
+        found = []
+        for part in parts:
+            sent = _sent(part[3])
+            keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, sent), len(wanted) - 1)] == sent) if len(wanted) else np.zeros(0, np.int64)
+            found.append([x[keep] for x in part])
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        row, first, last, anchor, whole = (np.concatenate([*(f[k] for f in found), np.zeros(0, t)]) for k, t in enumerate(kinds))
+        order = np.lexsort((self.ids[row], whole, anchor))
+        self.row, self.first, self.last, self.anchor, whole = (x[order] for x in (row, first, last, anchor, whole))
         new = np.ones(len(self.row), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (whole[1:] != whole[:-1])
         #: Of each stretch, its string; of each string, the first stretch, which has its smallest doc_id.
@@ -293,10 +298,10 @@ def _mark(n: int, threshold: int):
 
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
     """A row for each document: doc_id, row_key, n_bytes, the removed spans (byte offsets in the text) and the kept bytes."""
-    n = n_parts(docs, 16 << 20)
+    n = n_parts(docs, BLOCK_BYTES)
     key = F.xxhash64("doc_id", "text")
     blocks = docs.select("doc_id", "text", key.alias("row_key"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).groupBy("block")
-    answers = blocks.applyInArrow(_ask(n, threshold), "owner long, block long, blob binary").groupBy("owner").applyInArrow(_answer, "owner long, block long, bitmap binary")
+    answers = blocks.applyInArrow(_ask(n, threshold), "owner long, block long, blob binary, several binary").groupBy("owner").applyInArrow(_answer, "owner long, block long, bitmap binary")
     strings = blocks.cogroup(answers.groupBy("block")).applyInArrow(_send(n, threshold), "bucket long, block long, strings binary")
     replies = strings.groupBy("bucket").applyInArrow(_expand(threshold), "bucket long, block long, reply binary")
     # both kinds of answer reach their block together
