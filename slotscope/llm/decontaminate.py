@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotscope.llm.shared import ascii_lower, cut
+from slotscope.llm.shared import ascii_lower, cut, free_name
 
 #: What parts words: every ASCII character but digits and letters. They are named one by one, for which Java's regular
 #: expressions look a character up in a table; from ranges they would try one after the other.
@@ -85,6 +85,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs without those in which a window occurs."""
-    found = hits(docs, benchmark, size).select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"))
-    keyed = docs.withColumn("hit_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(found, (F.col("hit_row") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").drop("hit_row")
+    key, hit_key, hit_id = (free_name(docs, n) for n in ("row_key", "hit_key", "hit_id"))
+    found = hits(docs, benchmark, size).select(F.col("doc_id").alias(hit_id), F.col("row_key").alias(hit_key))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return keyed.join(found, (F.col(key) == F.col(hit_key)) & F.col("doc_id").eqNullSafe(F.col(hit_id)), "left_anti").drop(key)

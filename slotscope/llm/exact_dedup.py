@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotscope.llm import golomb
-from slotscope.llm.shared import cut, n_parts
+from slotscope.llm.shared import cut, free_name, n_parts
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a map task holds at once to group its copies; then it begins another block.
@@ -165,5 +165,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the copies: of equal texts the longest row, then the smallest doc_id stays; of rows that repeat both, one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("row_key").alias("kept_key"))
-    return docs.withColumn("kept_key", F.xxhash64("doc_id", "text")).join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"]).drop("kept_key")
+    key = free_name(docs, "kept_key")
+    kept = exact_dedup(docs).where("kept").select(F.col("row_key").alias(key))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotscope.llm.shared import cut
+from slotscope.llm.shared import cut, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -166,7 +166,9 @@ def taken_words(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: in
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """docs, each row as often as the mix takes it, with mix_copy, mix_shard and mix_position."""
     _, _, copies = mix_documents(docs, share, most, seed)
-    places = copies.select(F.col("h").alias("mix_key"), F.col("copy").alias("mix_copy"), F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
+    docs = docs.drop("mix_copy", "mix_shard", "mix_position")  # columns of these names give way
+    key = free_name(docs, "mix_key")
+    places = copies.select(F.col("h").alias(key), F.col("copy").alias("mix_copy"), F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
     # rows that repeat an id and its text have one key; each of them has copies of its own among the places
-    texts = docs.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "text")).dropDuplicates(["mix_key"])
-    return texts.join(places, "mix_key").drop("mix_key")
+    texts = docs.withColumn(key, F.xxhash64(F.lit(seed), "doc_id", "text")).dropDuplicates([key])
+    return texts.join(places, key).drop(key)

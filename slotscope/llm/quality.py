@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with quality_score."""
+    docs = docs.drop("quality_score")  # a column of this name gives way
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches):

@@ -59,10 +59,13 @@ def stash(df: DataFrame, kind: str) -> DataFrame:
 
 
 def n_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions for work on df: the session's shuffle partitions, and more where the plan's size estimate asks for them."""
+    """Partitions for work on df: the session's shuffle partitions, and more where the plan's size estimate asks for them.
+
+    Files have an estimate; what was made from rows of the driver or from an RDD has an absurdly large one, which counts for nothing.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(estimate // bytes_each, 1_000_000))
+    return max(least, min(estimate // bytes_each, 1_000_000)) if estimate < 1 << 60 else least
 
 
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +97,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column):
     """Lower-cases A-Z alone."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -43,7 +43,9 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     """captures with url_host, blocked, and the most specific entry that held at the fetch: list_key, list_since, list_category."""
     intervals = validity(entries)
     intervals = F.broadcast(intervals) if intervals.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else intervals
-    keyed = captures.select(F.struct("*").alias("capture"), F.monotonically_increasing_id().alias("capture_row"), host(F.col(url)).alias("url_host"), F.col(fetched).alias("capture_time"))
+    given = ("url_host", "blocked", "list_key", "list_since", "list_category")
+    kept = F.struct(*(F.col(f"`{c}`") for c in captures.columns if c not in given))  # columns named as the results give way
+    keyed = captures.select(kept.alias("capture"), F.monotonically_increasing_id().alias("capture_row"), host(F.col(url)).alias("url_host"), F.col(fetched).alias("capture_time"))
     tried = keyed.select("capture", "capture_row", "url_host", "capture_time", F.explode_outer(domains(F.col("url_host"))).alias("tried_key"))
     held = tried.join(intervals, (F.col("tried_key") == F.col("listed_key")) & (F.col("since") <= F.col("capture_time")) & (F.col("until").isNull() | (F.col("capture_time") < F.col("until"))), "left")
     best = F.max(F.when(F.col("listed_key").isNotNull(), F.struct(F.length("listed_key").alias("n"), "listed_key", "since", "category")))
