@@ -56,17 +56,26 @@ def item_windows(benchmark: DataFrame, docs: DataFrame, size: int) -> tuple[Data
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """A row for each document with occurring windows: doc_id, row_key, spans (start, end of each, in words), items."""
     windows, n = item_windows(benchmark, docs, size)
-    placed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words("text").alias("w")).select("doc_id", "row_key", "w", F.posexplode_outer("w").alias("at", "token"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words("text").alias("w"))
     start = F.col("at") - F.col("place")
-    found = (
-        placed.join(bounded(windows, n, BROADCAST_WINDOWS), "token")
-        .where((start >= 0) & (start + F.col("n_window") <= F.size("w")))
-        .where(F.slice("w", start + 1, F.col("n_window")) == F.col("window"))
-    )
-    return found.groupBy("doc_id", "row_key").agg(
-        F.sort_array(F.collect_set(F.struct(start.alias("start"), (start + F.col("n_window")).alias("end")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+    if n <= BROADCAST_WINDOWS:
+        placed = keyed.select("doc_id", "row_key", "w", F.posexplode_outer("w").alias("at", "token"))
+        found = (
+            placed.join(F.broadcast(windows), "token")
+            .where((start >= 0) & (start + F.col("n_window") <= F.size("w")))
+            .where(F.slice("w", start + 1, F.col("n_window")) == F.col("window"))
+            .groupBy("doc_id", "row_key")
+            .agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("n_window")).alias("end"), "items")).alias("hit"))
+        )
+    else:
+        # without the words, which a shuffle would carry once a token; places are verified where they meet the words again
+        placed = keyed.select("doc_id", "row_key", F.size("w").alias("n"), F.posexplode_outer("w").alias("at", "token"))
+        near = placed.join(windows, "token").where((start >= 0) & (start + F.col("n_window") <= F.col("n")))
+        near = near.groupBy("row_key", F.col("doc_id").alias("near_id")).agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("n_window")).alias("end"), "items", "window")).alias("hit"))
+        met = near.join(keyed, "row_key").where(F.col("near_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["row_key", "doc_id"])
+        found = met.withColumn("hit", F.filter("hit", lambda h: F.slice("w", h["start"] + 1, h["end"] - h["start"]) == h["window"])).where(F.size("hit") > 0)
+    spans = F.array_sort(F.array_distinct(F.transform("hit", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))))
+    return found.select("doc_id", "row_key", spans.alias("spans"), F.array_distinct(F.flatten("hit.items")).alias("items"))
 
 
 def covered(spans: Column) -> Column:

@@ -105,11 +105,12 @@ class Model:
     temperature: float
 
     def logits(self, features: np.ndarray) -> np.ndarray:
-        hidden = np.tanh((features - self.centre) / self.scale @ self.w1 + self.b1)
-        return hidden @ self.w2 + self.b2
+        hidden = np.tanh((features - self.centre).astype(float) / self.scale @ self.w1.astype(float) + self.b1)
+        return hidden @ self.w2.astype(float) + self.b2
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        return sigmoid((self.logits(features).astype(float) + self.shift) / self.temperature)
+        """Rounded, so that how rows are batched shows in no digit."""
+        return np.round(sigmoid((self.logits(features) + self.shift) / self.temperature), 9)
 
 
 def train(features: np.ndarray, y: np.ndarray, vectors: np.ndarray, sizes: dict[int, int], seed: int = 5) -> Model:
@@ -135,7 +136,7 @@ def train(features: np.ndarray, y: np.ndarray, vectors: np.ndarray, sizes: dict[
     part = {v: float(np.sum(y == v)) for v in (0, 1)}
     prior = {v: sizes.get(v, 0) / max(part[v], 1) for v in (0, 1)}
     model.shift = float(np.log(max(prior[1], 1e-9) / max(prior[0], 1e-9)))
-    model.temperature = fit_scale(model.logits(features[check]).astype(float) + model.shift, y[check], np.where(y[check] == 1, prior[1], prior[0]))
+    model.temperature = fit_scale(model.logits(features[check]) + model.shift, y[check], np.where(y[check] == 1, prior[1], prior[0]))
     return model
 
 
