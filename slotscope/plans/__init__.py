@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("kv", "journal", "metrics", "space", "bitmap", "chunk", "functions", "stream")
+FAMILIES = ("kv", "journal", "metrics", "space", "bitmap", "chunk", "fleet", "functions", "stream")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in FAMILIES:

@@ -85,7 +85,7 @@ def ec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mirror_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = disk_groups(spark, sf_dir).join(nodes(spark, sf_dir), "node_id")
-    return placement.mirror(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("request")), groups, 3)
+    return placement.mirror(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request")), groups, 3)
 
 
 def ec_placement(spark: SparkSession, sf_dir: str) -> DataFrame:

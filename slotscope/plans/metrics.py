@@ -45,8 +45,9 @@ def hist_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hist_fixed_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few samples an op: percentiles whose target is 0 are the first bound."""
-    return metrics.fixed_histogram(latency_samples(spark, sf_dir).where("event_id % 997 = 5"))
+    """Few samples an op, one op a user, type and day: percentiles whose target is 0 are the first bound."""
+    op = F.concat_ws("/", "op", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    return metrics.fixed_histogram(latency_samples(spark, sf_dir).withColumn("op", op))
 
 
 def hist_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +100,10 @@ def _window(seconds: int) -> str:
 _BOUND = "CASE " + " ".join(f"WHEN micros <= {b} THEN {b}" for b in metrics.BOUNDS) + f" ELSE {metrics.NO_BOUND} END"
 
 
-def _fixed(where: str) -> str:
+def _fixed(op: str) -> str:
     every = ", ".join(f"({b}::BIGINT)" for b in (*metrics.BOUNDS, metrics.NO_BOUND))
     p = ", ".join(f"min(bound) FILTER (upto >= floor(total * {q} / 100)) AS p{q}" for q in (50, 90, 99))
-    return f"""WITH c AS (SELECT op, {_BOUND} AS bound, count(*) AS n FROM ({_E}) WHERE {where} GROUP BY 1, 2),
+    return f"""WITH c AS (SELECT {op} AS op, {_BOUND} AS bound, count(*) AS n FROM ({_E}) GROUP BY 1, 2),
 f AS (SELECT o.op, b.bound, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT op FROM c) o CROSS JOIN (VALUES {every}) b(bound) LEFT JOIN c ON c.op = o.op AND c.bound = b.bound),
 r AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY bound ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY op) AS total FROM f)
 SELECT op, max(total)::BIGINT AS n, {p}, max(bound) FILTER (n > 0) AS max_bound FROM r GROUP BY op"""
@@ -119,8 +120,8 @@ SQL = {
     "metric_bandwidth": f"SELECT metric, {_window(600)}, count(*) AS n, (sum(value) // count(*))::BIGINT AS avg_size, (sum(value) // 600)::BIGINT AS rate FROM ({_E}) GROUP BY 1, 2",
     "metric_delta": "SELECT series, \"at\", delta FROM (SELECT user_id AS series, event_id AS \"at\", greatest(0, r - lag(r) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta, lag(r) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT *, floor(value * 10)::BIGINT AS r FROM events)) WHERE b IS NOT NULL",
     "metric_names": f"SELECT 'op.' || metric AS name, count(*) FILTER (value > 300000) AS n, 'counter' AS kind FROM ({_E}) GROUP BY 1 HAVING count(*) FILTER (value > 300000) > 0",
-    "hist_fixed": _fixed("true"),
-    "hist_fixed_small": _fixed("event_id % 997 = 5"),
+    "hist_fixed": _fixed("op"),
+    "hist_fixed_small": _fixed("op || '/' || user_id || '/' || strftime(ts, '%Y-%m-%d')"),
     "hist_precise": f"SELECT op, count(*) AS n, min(micros) AS min, max(micros) AS max, avg(micros) AS mean, {_QUANTILES} FROM ({_E}) GROUP BY op",
     "op_report": f"SELECT op, count(*) AS attempts, count(*) FILTER (outcome <> 'ok') AS errors, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'no_leader') AS no_leader, count(*) FILTER (outcome = 'not_found') AS not_found, count(*) FILTER (outcome = 'wrong') AS correctness_errors, min(micros) FILTER (outcome = 'ok') AS min, max(micros) FILTER (outcome = 'ok') AS max, avg(micros) FILTER (outcome = 'ok') AS mean, " + ", ".join(f"quantile_disc({_PART}, {q}) FILTER (outcome = 'ok') AS {f'p{q * 100:g}'.replace('.', '_')}" for q in metrics.QUANTILES) + f" FROM ({_A}) GROUP BY op",
     "report_compare": f"SELECT op, coalesce(l, 0) AS left_ok, coalesce(l, 0) / 10.0 AS left_qps, coalesce(r, 0) AS right_ok, coalesce(r, 0) / 20.0 AS right_qps FROM (SELECT op, count(*) FILTER (outcome = 'ok') AS l FROM ({_A}) WHERE event_id % 2 = 0 AND op <> 'view' GROUP BY 1) FULL JOIN (SELECT op, count(*) FILTER (outcome = 'ok') AS r FROM ({_A}) WHERE event_id % 2 = 1 AND op <> 'error' GROUP BY 1) USING (op)",

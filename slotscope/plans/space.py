@@ -84,18 +84,22 @@ def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.store_summary(_replicas(spark, sf_dir)).withColumn("leader_hint", F.coalesce("leader_hint", F.lit(-1)))
 
 
+def _instances(spark: SparkSession, sf_dir: str, without_region: int) -> DataFrame:
+    """An instance a nation, but for those of a region that is down."""
+    return table(spark, sf_dir, "nation").where(F.col("n_regionkey") != without_region).select(F.col("n_nationkey").cast("long").alias("instance_id"))
+
+
 def range_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space.assign_ranges(table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 1").select(F.col("s_suppkey").alias("instance_id")), 64)
+    return space.assign_ranges(_instances(spark, sf_dir, 1), 64)
 
 
 def incremental_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instance_id"))
-    before = space.assign_ranges(s.where("instance_id % 9 = 1"), 64).where("sub_range % 10 <> 7").withColumn("in_transition", F.col("sub_range") % 8 == 3)
-    return space.binding_changes(space.assign_ranges(s.where("instance_id % 7 = 1"), 64), before)
+    before = space.assign_ranges(_instances(spark, sf_dir, 1), 64).where("sub_range % 10 <> 7").withColumn("in_transition", F.col("sub_range") % 8 == 3)
+    return space.binding_changes(space.assign_ranges(_instances(spark, sf_dir, 3), 64), before)
 
 
 def bucket_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = space.assign_ranges(table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 1").select(F.col("s_suppkey").alias("instance_id")), 64)
+    ranges = space.assign_ranges(_instances(spark, sf_dir, 1), 64)
     buckets = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 65536).alias("bucket"))
     return space.route(buckets, ranges).groupBy("instance_id").agg(F.count("*").alias("n"), F.min("bucket").alias("least"), F.max("bucket").alias("most"))
 
@@ -132,7 +136,7 @@ replicas AS (SELECT o_custkey % 20 AS store_id, o_custkey % 300 AS group_id, o_o
 
 
 def _ranges(m: int, name: str) -> str:
-    return f"{name} AS (SELECT i AS sub_range, i * 1024 AS start, CASE WHEN i = 63 THEN 65535 ELSE i * 1024 + 1023 END AS \"end\", instance_id FROM (SELECT unnest(range(64)) AS i) JOIN (SELECT s_suppkey AS instance_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS nth, count(*) OVER () AS n FROM supplier WHERE s_suppkey % {m} = 1) ON i * n // 64 = nth)"
+    return f"{name} AS (SELECT i AS sub_range, i * 1024 AS start, CASE WHEN i = 63 THEN 65535 ELSE i * 1024 + 1023 END AS \"end\", instance_id FROM (SELECT unnest(range(64)) AS i) JOIN (SELECT n_nationkey AS instance_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS nth, count(*) OVER () AS n FROM nation WHERE n_regionkey <> {m}) ON i * n // 64 = nth)"
 
 
 _SUMS = "count(DISTINCT node_id) AS nodes, count(DISTINCT dg_id) AS groups, coalesce(sum(capacity_bytes), 0)::BIGINT AS capacity_bytes, coalesce(sum(used_bytes), 0)::BIGINT AS used_bytes, coalesce(sum(free_bytes), 0)::BIGINT AS free_bytes"
@@ -157,9 +161,9 @@ UNION ALL SELECT 'group', rack_id, node_id, dg_id, {_SUMS} {_TREE} WHERE dg_id I
     "suspect_timeout": "SELECT o_orderkey AS disk_id, o_orderkey * 10 AS since_ms FROM orders WHERE 20000 - o_orderkey * 10 >= 15000",
     "group_health": _WITH + "SELECT *, CASE WHEN n = 0 THEN 'Unknown' WHEN alive = n AND led THEN 'Healthy' WHEN alive < n // 2 + 1 THEN 'Unavailable' ELSE 'Degraded' END AS health FROM (SELECT store_id, group_id, count(*) AS n, count(*) FILTER (alive) AS alive, bool_or(alive AND is_leader) AS led FROM replicas GROUP BY 1, 2)",
     "store_summary": _WITH + "SELECT store_id, group_id, count(*) AS replica_count, coalesce(arg_min(leader_hint, node_id) FILTER (leader_hint IS NOT NULL), -1) AS leader_hint FROM replicas GROUP BY 1, 2",
-    "range_assignment": f"WITH {_ranges(9, 'a')} SELECT * FROM a",
-    "incremental_binding": f"WITH {_ranges(9, 'b')}, {_ranges(7, 'a')} SELECT a.sub_range, a.instance_id, CASE WHEN c.instance_id IS NULL THEN 'create' WHEN c.sub_range % 8 = 3 THEN 'keep' WHEN c.instance_id = a.instance_id THEN 'keep' ELSE 'move' END AS action FROM a LEFT JOIN (SELECT * FROM b WHERE sub_range % 10 <> 7) c USING (sub_range)",
-    "bucket_route": f"WITH {_ranges(9, 'a')} SELECT instance_id, count(*) AS n, min(bucket) AS least, max(bucket) AS most FROM (SELECT o_orderkey * 7919 % 65536 AS bucket FROM orders) JOIN a ON bucket BETWEEN start AND \"end\" GROUP BY 1",
+    "range_assignment": f"WITH {_ranges(1, 'a')} SELECT * FROM a",
+    "incremental_binding": f"WITH {_ranges(1, 'b')}, {_ranges(3, 'a')} SELECT a.sub_range, a.instance_id, CASE WHEN c.instance_id IS NULL THEN 'create' WHEN c.sub_range % 8 = 3 THEN 'keep' WHEN c.instance_id = a.instance_id THEN 'keep' ELSE 'move' END AS action FROM a LEFT JOIN (SELECT * FROM b WHERE sub_range % 10 <> 7) c USING (sub_range)",
+    "bucket_route": f"WITH {_ranges(1, 'a')} SELECT instance_id, count(*) AS n, min(bucket) AS least, max(bucket) AS most FROM (SELECT o_orderkey * 7919 % 65536 AS bucket FROM orders) JOIN a ON bucket BETWEEN start AND \"end\" GROUP BY 1",
     "range_guard": "SELECT count(*) AS refused, sum(b)::BIGINT AS buckets FROM (SELECT o_orderkey * 7919 % 65536 AS b FROM orders) WHERE NOT (b BETWEEN 0 AND 999 OR b BETWEEN 5000 AND 5999 OR b >= 60000)",
     "primary_fallback": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 OR (o_orderkey % 2 = 0 AND o_orderstatus <> 'F') THEN o_custkey ELSE -1 END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'F' THEN 'old' ELSE 'none' END AS place FROM orders",
     "disk_reconcile": "WITH d AS (SELECT p_partkey AS disk_id, p_partkey % 3 AS ds FROM part WHERE p_partkey % 5 <> 0), k AS (SELECT p_partkey AS disk_id, p_partkey % 4 % 3 AS ks, p_partkey % 3 AS misses FROM part WHERE p_partkey % 7 <> 0) SELECT disk_id, CASE WHEN ks IS NULL THEN 'add' WHEN ds IS NULL THEN CASE WHEN misses + 1 >= 3 THEN 'remove' ELSE 'miss' END WHEN ds <> ks THEN 'update' ELSE 'keep' END AS action, CASE WHEN ds IS NULL THEN misses + 1 ELSE 0 END AS misses FROM d FULL JOIN k USING (disk_id)",
