@@ -35,30 +35,24 @@ def journal_scan(log: DataFrame, min_slot: int, max_slot: int = 0, prefix: str =
     return page.withColumn("truncated", F.count("*").over(W.partitionBy(F.lit(0))) >= limit)
 
 
-def slot_islands(log: DataFrame, width: int = 1 << 14) -> DataFrame:
-    """Runs (first, last) of consecutive slots.
+def gaps(log: DataFrame, width: int = 1 << 14) -> DataFrame:
+    """Missing stretches (first, last) of slots from 1 to the tip.
 
-    Runs are found within stretches of `width` slots, in parallel, and only the stretches' runs are joined up in order.
+    Gaps are found within stretches of `width` slots, in parallel; only the stretches' first and last slots are looked at in one order.
     """
-    slots = log.select("slot").distinct().withColumn("stretch", F.floor(F.col("slot") / width))
-    within = slots.withColumn("island", F.col("slot") - F.row_number().over(W.partitionBy("stretch").orderBy("slot")))
-    runs = within.groupBy("stretch", "island").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
-    ordered = W.orderBy("first")
-    begins = F.coalesce(F.col("first") != F.lag("last").over(ordered) + 1, F.lit(True))
-    joined = runs.withColumn("run", F.sum(begins.cast("int")).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-    return joined.groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
-
-
-def frontier(log: DataFrame) -> DataFrame:
-    """The highest slot up to which, from 1, none is missing."""
-    return slot_islands(log).agg(F.coalesce(F.max(F.when((F.col("first") <= 1) & (F.col("last") >= 1), F.col("last"))), F.lit(0)).alias("frontier"), F.coalesce(F.max("last"), F.lit(0)).alias("tip"))
-
-
-def gaps(log: DataFrame) -> DataFrame:
-    """Missing stretches of slots below the tip."""
-    runs = slot_islands(log)
-    found = runs.withColumn("before", F.coalesce(F.lag("last").over(W.orderBy("first")), F.lit(0)))
-    return found.where(F.col("first") > F.col("before") + 1).select((F.col("before") + 1).alias("first_missing"), (F.col("first") - 1).alias("last_missing"))
+    slots = log.where(F.col("slot") >= 1).select("slot").distinct().withColumn("stretch", F.floor(F.col("slot") / width))
+    before = F.lag("slot").over(W.partitionBy("stretch").orderBy("slot"))
+    within = slots.select("slot", before.alias("before"))
+    ends = slots.groupBy("stretch").agg(F.min("slot").alias("slot"), F.max("slot").alias("last"))
+    between = ends.select("slot", F.coalesce(F.lag("last").over(W.orderBy("stretch")), F.lit(0)).alias("before"))
+    return within.unionByName(between).where(F.col("slot") > F.col("before") + 1).select((F.col("before") + 1).alias("first_missing"), (F.col("slot") - 1).alias("last_missing"))
+
+
+def frontier(log: DataFrame, width: int = 1 << 14) -> DataFrame:
+    """The highest slot up to which, from 1, none is missing; and the tip. 0 without slots."""
+    tip = log.agg(F.greatest(F.lit(0), F.coalesce(F.max("slot"), F.lit(0))).alias("tip"))
+    first = gaps(log, width).agg(F.min("first_missing").alias("first_missing"))
+    return tip.crossJoin(first).select(F.coalesce(F.col("first_missing") - 1, F.col("tip")).alias("frontier"), "tip")  # one row each
 
 
 def collect_garbage(resolved: DataFrame, snapshot_slot: int, safe_slot: int) -> DataFrame:

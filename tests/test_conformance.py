@@ -76,9 +76,11 @@ def test_diff_reports_slots_before_values(spark):
 @pytest.mark.parametrize("width", [2, 1 << 14])
 def test_frontier_and_gaps(spark, width):
     rows = log(spark, *((f"k{s}", s, 0, False, s) for s in (1, 2, 3, 5, 6, 9)))
-    assert sorted((r["first"], r["last"]) for r in journal.slot_islands(rows, width).collect()) == [(1, 3), (5, 6), (9, 9)]
-    assert tuple(journal.frontier(rows).first()) == (3, 9)
-    assert sorted(tuple(r) for r in journal.gaps(rows).collect()) == [(4, 4), (7, 8)]
+    assert tuple(journal.frontier(rows, width).first()) == (3, 9)
+    assert sorted(tuple(r) for r in journal.gaps(rows, width).collect()) == [(4, 4), (7, 8)]
+    assert tuple(journal.frontier(rows.where("slot < 4"), width).first()) == (3, 3)
+    assert tuple(journal.frontier(rows.where("slot > 1"), width).first()) == (0, 9)
+    assert tuple(journal.frontier(rows.limit(0), width).first()) == (0, 0)
 
 
 def test_snapshots_hold_while_the_log_goes_on(spark, tmp_path):
