@@ -3,7 +3,7 @@
 A segment (a run of word bytes or of other marks) is hashed to a bucket; each bucket has a fixed sparse index vector
 of +1 and -1. A bucket's word vector is the sum of the index vectors met within two segments of it, over every document:
 integer counts, which map tasks sum before they are shuffled, so that the order of rows decides nothing. A document
-is the mean and the spread of its segments' vectors; a small network trained in numpy on a bounded sample of
+is the mean and the spread of its segments' vectors and the mean product of neighbours; a small network trained in numpy on a bounded sample of
 labelled documents turns them into a probability, whose temperature is fitted on part of the sample.
 
 Defined results: null and empty texts get the score of a document whose vectors are zero; rows that repeat get the same
@@ -17,12 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from slotscope.llm.labelled import Adam, fit_scale, labelled_sample, sigmoid
 from slotscope.llm.words import hash_segments, stream
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+#: Features of a document.
+POOLED = 3 * DIMS
 #: Rows of the vector table that are summed together.
 SLICE = 256
 #: Labelled documents of each class that training takes at most.
@@ -79,16 +80,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(ids: np.ndarray, ends: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of each document's vectors."""
+    """Mean and spread of each document's vectors, and the mean product of neighbouring ones, which is high where segments repeat."""
     lengths = np.diff(ends)
-    out = np.zeros((len(lengths), 2 * DIMS), np.float32)
+    out = np.zeros((len(lengths), POOLED), np.float32)
     rows = np.flatnonzero(lengths)
     if len(rows):
         v = vectors[ids]
         n = lengths[rows][:, None]
         mean = np.add.reduceat(v, ends[:-1][rows], dtype=np.float64) / n
         square = np.add.reduceat(v * v, ends[:-1][rows], dtype=np.float64) / n
-        out[rows, :DIMS], out[rows, DIMS:] = mean, np.sqrt(np.maximum(square - mean**2, 0))
+        out[rows, :DIMS], out[rows, DIMS : 2 * DIMS] = mean, np.sqrt(np.maximum(square - mean**2, 0))
+        beside = np.zeros_like(v)
+        beside[:-1] = v[:-1] * v[1:]
+        beside[ends[1:][rows] - 1] = 0  # a document's last segment has none after it
+        out[rows, 2 * DIMS :] = np.add.reduceat(beside, ends[:-1][rows], dtype=np.float64) / np.maximum(n - 1, 1)
     return out
 
 
@@ -115,7 +120,7 @@ class Model:
 
 def train(features: np.ndarray, y: np.ndarray, vectors: np.ndarray, sizes: dict[int, int], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
-    model = Model(vectors, features.mean(0), features.std(0) + 1e-3, rng.normal(0, 0.15, (2 * DIMS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 0.0, 0.0, 1.0)
+    model = Model(vectors, features.mean(0), features.std(0) + 1e-3, rng.normal(0, 0.15, (POOLED, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 0.0, 0.0, 1.0)
     if min(np.sum(y == 0), np.sum(y == 1)) == 0:
         return model
     model.w2 = rng.normal(0, 0.15, HIDDEN).astype(np.float32)
@@ -158,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     got = sample.select("label_value", "text").mapInArrow(_features_of(shared), "label_value int, features binary").toArrow()
     found = sorted(zip(got.column("features").to_pylist(), got.column("label_value").to_pylist(), strict=True))
-    features = np.array([np.frombuffer(f, np.float32) for f, _ in found] or [np.zeros(2 * DIMS, np.float32)])
+    features = np.array([np.frombuffer(f, np.float32) for f, _ in found] or [np.zeros(POOLED, np.float32)])
     return train(features, np.array([v for _, v in found] or [0], np.float32), vectors, sizes)
 
 

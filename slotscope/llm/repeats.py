@@ -50,7 +50,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, threshold: int):
         base = offsets[i]
         sums, inverse = running_hash(data[base : offsets[j]])
         row, first, last, anchor = anchor_runs(offsets[i : j + 1] - base, sums, inverse, threshold)
-        # least hashes crowd at the low end of their range; mixed, they fill it evenly
+        # least hashes gather at the low end of their range; mixed, they fill it evenly
         whole = mix((sums[last + threshold] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
         yield row + i, first + base, last + base, mix(anchor ^ np.uint64(29)), whole
 
