@@ -41,11 +41,11 @@ def chunks_of(strips: DataFrame) -> DataFrame:
 
 def segments(chunks: DataFrame) -> DataFrame:
     """A row for each segment; a chunk without strips or a strip without segments keeps one, with nulls."""
-    return chunks.select("chunk_id", F.explode_outer("strips").alias("s")).select("chunk_id", "s.strip_index", F.posexplode_outer("s.segments").alias("segment_index", "segment"))
+    return chunks.select("chunk_id", F.explode_outer("strips").alias("s")).select("chunk_id", "s.strip_index", F.posexplode_outer("s.segments").alias("nth", "segment")).select("chunk_id", "strip_index", F.col("nth").cast("long").alias("segment_index"), "segment")
 
 
 def capacity(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.aggregate("strips", F.lit(0).cast("long"), lambda a, s: a + s["capacity"]).alias("capacity"), F.size("strips").alias("n_strips"))
+    return chunks.select("chunk_id", F.aggregate("strips", F.lit(0).cast("long"), lambda a, s: a + s["capacity"]).alias("capacity"), F.size("strips").cast("long").alias("n_strips"))
 
 
 def delete_range(chunks: DataFrame, offset: int, length: int) -> DataFrame:

@@ -134,4 +134,4 @@ def reconcile_disks(desired: DataFrame, known: DataFrame, most_misses: int = 3)
     both = desired.withColumnRenamed("status", "desired_status").join(known.withColumnRenamed("status", "known_status"), "disk_id", "full")
     misses = F.when(F.col("desired_status").isNull(), F.col("misses") + 1).otherwise(0)
     action = F.when(F.col("known_status").isNull(), "add").when(F.col("desired_status").isNull(), F.when(F.col("misses") + 1 >= most_misses, "remove").otherwise("miss")).when(F.col("desired_status") != F.col("known_status"), "update").otherwise("keep")
-    return both.select("disk_id", action.alias("action"), misses.alias("misses"))
+    return both.select("disk_id", action.alias("action"), misses.cast("long").alias("misses"))

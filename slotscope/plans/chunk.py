@@ -56,7 +56,7 @@ def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = disk_groups(spark, sf_dir).groupBy("node_id").agg(F.array_sort(F.collect_list("dg_id")).alias("g"))
     per_node = nodes(spark, sf_dir).join(groups, "node_id", "left").select("rack_id", "node_id", F.slice(F.coalesce("g", F.array().cast("array<bigint>")), 1, 3).alias("groups"), (F.coalesce(F.size("g"), F.lit(0)) > 3).alias("cut"))
     nested = per_node.groupBy("rack_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "groups", "cut"))).alias("nodes"))
-    return nested.select("rack_id", F.size("nodes").alias("n_nodes"), F.size(F.filter("nodes", lambda n: n["cut"])).alias("n_cut"), F.array_join(F.transform(F.flatten(F.col("nodes.groups")), lambda x: x.cast("string")), ",").alias("shown"))
+    return nested.select("rack_id", F.size("nodes").cast("long").alias("n_nodes"), F.size(F.filter("nodes", lambda n: n["cut"])).cast("long").alias("n_cut"), F.array_join(F.transform(F.flatten(F.col("nodes.groups")), lambda x: x.cast("string")), ",").alias("shown"))
 
 
 def recovery_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ _REPLAY = "SELECT o_custkey % 20 AS group_id, o_orderkey // 1000 AS segment, o_o
 
 SQL = {
     "journal_scan": f"WITH m AS (SELECT slot, seq, key, is_delete, value FROM ({LOG}) WHERE slot BETWEEN 1000 AND 3000 AND starts_with(key, '{P}0') ORDER BY slot, seq, key, is_delete, value LIMIT 50) SELECT *, (SELECT count(*) FROM m) >= 50 AS truncated FROM m",
-    "journal_exact_fit": f"SELECT count(*) AS n, 0 AS n_truncated FROM ({LOG}) WHERE slot = 1",
+    "journal_exact_fit": f"SELECT count(*) AS n, 0::BIGINT AS n_truncated FROM ({LOG}) WHERE slot = 1",
     "journal_frontier": f"WITH s AS (SELECT slot, row_number() OVER (ORDER BY slot) AS nth FROM ({_SLOTS}) WHERE slot >= 1) SELECT coalesce(max(slot) FILTER (slot = nth), 0) AS frontier, coalesce(max(slot), 0) AS tip FROM s",
     "journal_gaps": f"SELECT before + 1 AS first_missing, slot - 1 AS last_missing FROM (SELECT slot, coalesce(lag(slot) OVER (ORDER BY slot), 0) AS before FROM ({_SLOTS})) WHERE slot > before + 1",
     "journal_gc": f"SELECT is_delete, count(*) AS n, min(slot) AS min_slot FROM ({cells()}) WHERE NOT (is_delete AND slot <= 12000) GROUP BY 1",

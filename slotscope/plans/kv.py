@@ -97,7 +97,7 @@ SQL = {
     "kv_live_count": f"SELECT count(*) AS n FROM ({live()})",
     "kv_read_at_slot": live("slot <= 4000"),
     "kv_get": live(f"key = '{P}042'"),
-    "kv_multi_get": f"WITH k(ordinal, key) AS (VALUES (0, '{P}007'), (1, '{P}001'), (2, 'missing'), (3, '{P}150'), (4, '{P}007')) SELECT k.ordinal, k.key, l.slot IS NOT NULL AS found, coalesce(l.slot, -1) AS slot, coalesce(l.value, -1.0) AS value FROM k LEFT JOIN ({live()}) l USING (key)",
+    "kv_multi_get": f"WITH k(ordinal, key) AS (VALUES (0, '{P}007'), (1, '{P}001'), (2, 'missing'), (3, '{P}150'), (4, '{P}007')) SELECT k.ordinal::BIGINT AS ordinal, k.key, l.slot IS NOT NULL AS found, coalesce(l.slot, -1) AS slot, coalesce(l.value, -1.0) AS value FROM k LEFT JOIN ({live()}) l USING (key)",
     "kv_scan_page": f"WITH m AS (SELECT *, row_number() OVER (ORDER BY key) AS nth, count(*) OVER () AS n FROM ({live()}) WHERE starts_with(key, '{P}') AND key > '{P}010' AND key < '{P}900') SELECT key, slot, value, n > 25 AS truncated FROM m WHERE nth <= 25",
     "kv_scan_exact_fit": f"WITH m AS (SELECT *, row_number() OVER (ORDER BY key) AS nth, count(*) OVER () AS n FROM ({live()}) WHERE starts_with(key, '{P}00')) SELECT key, n > 100 AS truncated FROM m WHERE nth <= 100",
     "kv_scan_keys": f"SELECT key FROM ({live()}) WHERE starts_with(key, '{P}0')",

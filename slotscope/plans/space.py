@@ -136,7 +136,7 @@ replicas AS (SELECT o_custkey % 20 AS store_id, o_custkey % 300 AS group_id, o_o
 
 
 def _ranges(m: int, name: str) -> str:
-    return f"{name} AS (SELECT i AS sub_range, i * 1024 AS start, CASE WHEN i = 63 THEN 65535 ELSE i * 1024 + 1023 END AS \"end\", instance_id FROM (SELECT unnest(range(64)) AS i) JOIN (SELECT n_nationkey AS instance_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS nth, count(*) OVER () AS n FROM nation WHERE n_regionkey <> {m}) ON i * n // 64 = nth)"
+    return f"{name} AS (SELECT i AS sub_range, i * 1024 AS start, CASE WHEN i = 63 THEN 65535 ELSE i * 1024 + 1023 END AS \"end\", instance_id FROM (SELECT unnest(range(64)) AS i) JOIN (SELECT n_nationkey::BIGINT AS instance_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS nth, count(*) OVER () AS n FROM nation WHERE n_regionkey <> {m}) ON i * n // 64 = nth)"
 
 
 _SUMS = "count(DISTINCT node_id) AS nodes, count(DISTINCT dg_id) AS groups, coalesce(sum(capacity_bytes), 0)::BIGINT AS capacity_bytes, coalesce(sum(used_bytes), 0)::BIGINT AS used_bytes, coalesce(sum(free_bytes), 0)::BIGINT AS free_bytes"
