@@ -96,4 +96,6 @@ def token_counts(docs: DataFrame, model_path: str, cache: str) -> DataFrame:
     misses = texts.join(stored(spark, cache, version).select("digest"), "digest", "left_anti")
     misses.mapInArrow(_encode(model, version), COUNTS).write.mode("append").parquet(cache)
     keyed = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
-    return keyed.join(stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
+    # many copies make a hot key: met by another key than the counts are made distinct by, both sides are shuffled anew and Spark can split them
+    counts = stored(spark, cache, version).select(F.hex("digest").alias("met"), "n_tokens")
+    return keyed.withColumn("met", F.hex("digest")).join(counts, "met").select("doc_id", "n_bytes", "n_tokens", "digest")
