@@ -3,11 +3,15 @@
 Documents with equal shingle sets are one node. A node has a MinHash signature; each tree of the forest is one sorted
 order of the nodes by its own stretch of the signature. A node's candidates are its nearest neighbours in each
 order, those with the longest common prefixes: in a thin region that reaches up to shallow tree nodes, in a dense one
-it stays with the deepest, so depth adapts to the region and no bucket has to be capped. Of them the most alike by sketch count. Orders are range-partitioned with the
+it stays with the deepest, so depth adapts to the region. Of them the most alike by sketch count. Orders are range-partitioned with the
 node in the key, so ever so many equal signatures split. A sketch of one bit a MinHash drops unlike
 candidates; the others are confirmed on their full shingle sets, first the most promising of each node, then all that still
 lie between different components.
 
+Where a region holds more nodes than an order reaches, or more alike ones than become candidates, links may be left. So
+components that candidates tie together are a cluster, and all pairs of a cluster that lie between different components are
+compared exactly, but where each of them was a candidate: nodes outside the cluster's largest component meet all others, block by block.
+
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a text of
 fewer words than a shingle has is one shingle; rows that repeat share a component; a null doc_id never is a component's
 smallest, unless all are null; no rows give no rows; other columns are not read.
@@ -31,7 +35,9 @@ from slotscope.llm.words import mix, stream, words_of
 TREES, DEPTH = 24, 6
 HASHES = TREES * DEPTH
 #: Neighbours on each side in each order whose sketches are compared, and of them the most alike that become candidates.
-REACH, MOST_ALIKE = 128, 2
+REACH, MOST_ALIKE = 128, 4
+#: Nodes of a block of a cluster, on average, and shingles that are compared at once.
+BLOCK, STRIP = 256, 4096
 
 _MULTIPLY = (stream(HASHES, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (stream(HASHES, 102) >> np.uint64(32)).astype(np.uint32)
@@ -185,6 +191,75 @@ def _confirm(n_words: int, percent: int):
     return confirm
 
 
+def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a shares with each of b."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    sides = []
+    for sets, values in zip((a, b), flat, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        held = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((row[held][order], at[held][order], len(sets)))
+    shared = np.zeros((len(a), len(b)), np.int64)
+    for begin in range(0, len(both), STRIP):
+        strips = []
+        for row, at, n in sides:
+            i, j = np.searchsorted(at, (begin, begin + STRIP))
+            strip = np.zeros((n, STRIP), np.float32)  # sums of at most STRIP ones are exact
+            strip[row[i:j], at[i:j] - begin] = 1
+            strips.append(strip)
+        shared += (strips[0] @ strips[1].T).astype(np.int64)
+    return shared
+
+
+def _compare(n_words: int, percent: int):
+    """All pairs of a block of nodes outside a cluster's largest component with a block of its nodes, by their full shingle sets."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        open_up = zstandard.ZstdDecompressor()
+        outside = rows.column("outside").to_numpy()
+        sides = [rows.filter(pa.array(outside)), rows.filter(pa.array(~outside))]
+        u, v = (x.column("node").to_pylist() for x in sides)
+        if not u or not v:
+            return pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
+        sets = [list(shingle_sets(pa.array([open_up.decompress(x) for x in side.column("body").to_pylist()], pa.large_binary()), n_words)) for side in sides]
+        root_u, root_v = (np.array(x.column("root").to_pylist(), object) for x in sides)
+        size_u, size_v = (np.array([len(x) for x in side], np.int64) for side in sets)
+        shared = common_shingles(*sets)
+        linked = (100 * shared >= percent * (size_u[:, None] + size_v[None, :] - shared)) & (root_u[:, None] != root_v[None, :])
+        i, j = np.nonzero(linked)
+        return pa.table({"u": pa.array([min(u[a], v[b]) for a, b in zip(i, j, strict=True)], pa.binary()), "v": pa.array([max(u[a], v[b]) for a, b in zip(i, j, strict=True)], pa.binary())})
+
+    return compare
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs that lie between different components, with their roots."""
+    rooted = pairs.join(roots.toDF("u", "root_u"), "u", "left").join(roots.toDF("v", "root_v"), "v", "left")
+    return rooted.withColumns({"root_u": F.coalesce("root_u", "u"), "root_v": F.coalesce("root_v", "v")}).where("root_u != root_v")
+
+
+def _left_over(nodes: DataFrame, pairs: DataFrame, bodies: DataFrame, roots: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Links (u, v) between components that candidates tie together, among all their nodes."""
+    apart = stash(_apart(pairs.select("u", "v"), roots), "apart")
+    tied = components(apart.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    clusters = stash(tied.toDF("root", "cluster").unionByName(tied.select(F.col("root").alias("cluster")).distinct().select(F.col("cluster").alias("root"), "cluster")), "clusters")
+    held = stash(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(clusters, "root"), "held")
+    tried = apart.groupBy("root_u").agg(F.count("*").alias("n")).join(clusters.toDF("root_u", "cluster"), "root_u").groupBy("cluster").agg(F.sum("n").alias("tried"))
+    counts = held.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster")
+    plan = counts.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).join(tried, "cluster")
+    plan = stash(plan.where("n * n - within > 2 * tried").select("cluster", F.col("top.root").alias("top"), F.expr(f"(n - top.n + {BLOCK - 1}) div {BLOCK}").alias("parts"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("others")), "plan")
+    placed = stash(held.join(plan, "cluster").join(bodies, "node"), "placed")
+    dealt = lambda c: F.pmod(F.xxhash64("node"), c)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    outside = placed.where("root != top").select("cluster", dealt("parts").alias("part"), every("others").alias("other"), F.lit(True).alias("outside"), "node", "root", "body")
+    others = placed.select("cluster", every("parts").alias("part"), dealt("others").alias("other"), F.lit(False).alias("outside"), "node", "root", "body")
+    met = outside.unionByName(others).groupBy("cluster", "part", "other").applyInArrow(_compare(n_words, percent), "u binary, v binary")
+    return stash(met.distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each document: doc_id, row_key, n_shingles, component_id, kept, n_links (its node's confirmed links)."""
     n = n_parts(docs)
@@ -213,9 +288,12 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     best = W.partitionBy("node").orderBy(F.desc("agree"), F.desc("times"), F.xxhash64("u", "v"))
     first = confirmed(ends.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("u", "v").distinct())
     roots = components(first)
-    between = pairs.join(roots.toDF("u", "root_u"), "u", "left").join(roots.toDF("v", "root_v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    links = first.unionByName(confirmed(between))
+    links = first.unionByName(confirmed(_apart(pairs, roots)))
     roots = components(links)
+    left = _left_over(nodes, pairs, bodies, roots, n_words, percent)
+    links = links.unionByName(left)
+    if left.head(1):
+        roots = components(links)
 
     rooted = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     # a large component is a hot key: written first, its row meets its nodes in a join whose sides Spark can split or broadcast

@@ -108,6 +108,35 @@ def test_near_dedup_of_a_large_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_truth(rows, 3, 85)
 
 
+def test_near_dedup_of_a_dense_group_whose_members_barely_link(spark):
+    """1,500 texts at 0.833 to each other; those of one first word are at 0.8505 and the only links."""
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(101)]
+    rows = []
+    for i in range(1500):
+        words = base.copy()
+        for k in (30, 60, 61, 100):
+            words[k] = f"n{i}x{k}"
+        words[0] = f"n{i % 1480}"
+        rows.append((i, " ".join(words)))
+    alike = lambda i, j: len(shingles(rows[i][1], 3) & shingles(rows[j][1], 3)) / len(shingles(rows[i][1], 3) | shingles(rows[j][1], 3))
+    assert alike(0, 1480) > 0.85 > alike(0, 1) > 0.83
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1480 for i in range(1500)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(*(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=1, max_size=6) for _ in range(2)), st.integers(1, 9))
+def test_common_shingles(a, b, strip):
+    whole, near_dedup.STRIP = near_dedup.STRIP, strip
+    try:
+        got = near_dedup.common_shingles(*([np.array(sorted(x), np.uint64) for x in side] for side in (a, b)))
+    finally:
+        near_dedup.STRIP = whole
+    assert got.tolist() == [[len(x & y) for y in b] for x in a]
+
+
 def test_keep_one_of_a_component(docs, rows):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
