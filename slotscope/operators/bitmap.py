@@ -24,9 +24,13 @@ def packed(bit_rows: DataFrame) -> DataFrame:
     return bit_rows.groupBy("zone_id", F.expr("bitmap_bucket_number(bit)").alias("stretch")).agg(F.expr("bitmap_count(bitmap_construct_agg(bitmap_bit_position(bit)))").alias("used"))
 
 
-def replay(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """Bits of the snapshot with those of busy records put after its slot; deletes are left to compaction."""
-    later = log.join(snapshot.select("zone_id", "snapshot_slot").distinct(), "zone_id").where((F.col("stamp") > F.col("snapshot_slot")) & F.col("is_busy"))
+def replay(snapshot: DataFrame, log: DataFrame, slots: DataFrame) -> DataFrame:
+    """Bits of the snapshot with those of busy records put after its zone's slot; deletes are left to compaction.
+
+    slots (zone_id, snapshot_slot) has a row for each zone with a snapshot, an empty one too; a zone without is replayed from the log's start.
+    """
+    since = F.col("snapshot_slot").isNull() | (F.col("stamp") > F.col("snapshot_slot"))
+    later = log.join(slots, "zone_id", "left").where(since & F.col("is_busy"))
     return snapshot.select("zone_id", "bit").unionByName(bits(later)).distinct()
 
 
@@ -38,6 +42,22 @@ def compact(set_bits: DataFrame, freed: DataFrame, compacted: DataFrame) -> tupl
     return left, marks
 
 
+def compacted_zones(set_bits: DataFrame, left: DataFrame, marks: DataFrame, compacted: DataFrame) -> DataFrame:
+    """Every zone with bits or frees: its bits left, fresh and stale frees and stamp. A zone compaction empties has 0 bits, one without frees keeps its stamp, or 0."""
+    zones = set_bits.select("zone_id").union(marks.select("zone_id")).distinct()
+    used = left.groupBy("zone_id").agg(F.count("*").alias("used"))
+    kept = compacted.select("zone_id", F.col("compact_stamp").alias("before"))
+    found = zones.join(used, "zone_id", "left").join(marks, "zone_id", "left").join(kept, "zone_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select("zone_id", count("used"), count("fresh"), count("stale"), F.coalesce("compact_stamp", "before", F.lit(0).cast("long")).alias("compact_stamp"))
+
+
+def set_operations(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Bits of either view, of a alone and of one alone, for every zone that either view has a bit in."""
+    both = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), ["zone_id", "bit"], "full")
+    return both.groupBy("zone_id").agg(F.count("*").alias("united"), F.count_if(F.col("b").isNull()).alias("cleared"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("differ"))
+
+
 def ghosts(live: DataFrame, replayed: DataFrame, busy: DataFrame, free: DataFrame) -> DataFrame:
     """Bits in which two views differ, by kind. Records stand for all their bits, not for their first alone.
 

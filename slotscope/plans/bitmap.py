@@ -30,9 +30,7 @@ def bitmap_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bitmap_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, difference and symmetric difference of two views' bits, counted by zone."""
     a, b = bitmap.bits(_busy(spark, sf_dir).where("stamp % 3 > 0")), bitmap.bits(_busy(spark, sf_dir).where("stamp % 3 < 2"))
-    count = lambda d, n: d.groupBy("zone_id").agg(F.count("*").alias(n))
-    xor = a.exceptAll(b).unionByName(b.exceptAll(a))
-    return count(a.unionByName(b).distinct(), "united").join(count(a.join(b, ["zone_id", "bit"], "left_anti"), "cleared"), "zone_id").join(count(xor, "differ"), "zone_id")
+    return bitmap.set_operations(a, b)
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +38,8 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitmap.replay(_snapshot(spark, sf_dir), block_records(spark, sf_dir)).groupBy("zone_id").agg(F.count("*").alias("used"), F.sum("bit").alias("bits"))
+    slots = block_records(spark, sf_dir).select("zone_id").distinct().withColumn("snapshot_slot", F.lit(8000).cast("long"))
+    return bitmap.replay(_snapshot(spark, sf_dir), block_records(spark, sf_dir), slots).groupBy("zone_id").agg(F.count("*").alias("used"), F.sum("bit").alias("bits"))
 
 
 def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +47,9 @@ def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, marks = bitmap.compact(bitmap.bits(_busy(spark, sf_dir)), _free(spark, sf_dir), _stamps(spark, sf_dir))
-    return left.groupBy("zone_id").agg(F.count("*").alias("used")).join(marks, "zone_id")
+    set_bits, stamps = bitmap.bits(_busy(spark, sf_dir)), _stamps(spark, sf_dir)
+    left, marks = bitmap.compact(set_bits, _free(spark, sf_dir), stamps)
+    return bitmap.compacted_zones(set_bits, left, marks, stamps)
 
 
 def ghost_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

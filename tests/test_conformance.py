@@ -6,9 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from slotscope.functions import erasure, hashing, keys
-from slotscope.operators import journal, kv, metrics, placement, snapshot, space
+from slotscope.operators import bitmap, journal, kv, metrics, placement, snapshot, space
 from slotscope.streaming.watch import check_applied, first_seen, on_time
 
 LOG = "key string, slot long, seq int, is_delete boolean, value long"
@@ -192,3 +193,20 @@ def test_safe_erasure_coding_limits_blocks_of_a_node(spark):
 def test_allocation_rotates_and_reports_no_room(spark):
     rows = spark.createDataFrame([(1, i, u) for i, u in enumerate([4, 4, 3, 4, 1])], "zone_id long, at long, units long")
     assert [r.unit_offset for r in placement.allocate(rows, 12).orderBy("at").collect()] == [0, 4, 8, -1, 11]
+
+
+def test_bitmaps_keep_zones_that_one_side_lacks(spark):
+    """Zone 1 has bits on both sides; zone 2 is empty in the snapshot, zone 3 has no frees, zone 4 is emptied by compaction."""
+    records = spark.createDataFrame([(1, 0, 2, True, 5), (1, 8, 1, True, 20), (2, 3, 2, True, 30), (2, 9, 1, False, 31)], "zone_id long, unit_offset long, unit_count long, is_busy boolean, stamp long")
+    slots = spark.createDataFrame([(1, 10), (2, 10)], "zone_id long, snapshot_slot long")
+    at = bitmap.bits(records.where("is_busy AND stamp <= 10")).withColumn("snapshot_slot", F.lit(10).cast("long"))
+    assert {tuple(r) for r in bitmap.replay(at, records, slots).select("zone_id", "bit").collect()} == {(1, 0), (1, 1), (1, 8), (2, 3), (2, 4)}
+
+    bits = lambda *rows: spark.createDataFrame(list(rows), "zone_id long, bit long")
+    held, stamps = bits((1, 0), (1, 1), (3, 0), (4, 0)), spark.createDataFrame([(3, 7)], "zone_id long, compact_stamp long")
+    freed = spark.createDataFrame([(1, 0, 1, 9), (4, 0, 1, 8)], "zone_id long, unit_offset long, unit_count long, stamp long")
+    left, marks = bitmap.compact(held, freed, stamps)
+    assert {tuple(r) for r in bitmap.compacted_zones(held, left, marks, stamps).collect()} == {(1, 1, 1, 0, 9), (3, 1, 0, 0, 7), (4, 0, 1, 0, 8)}
+
+    found = bitmap.set_operations(bits((1, 0), (1, 1), (2, 5), (3, 6)), bits((1, 1), (2, 5), (4, 7)))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 1, 1), (2, 1, 0, 0), (3, 1, 1, 1), (4, 1, 0, 1)}
