@@ -6,7 +6,10 @@ Golomb-coded fingerprints between blocks of documents and owners. Each block the
 once, with the smallest doc_id that has it. Where strings of the same anchors meet, their Burrows-Wheeler
 transform is made and threshold-bounded interval expansion gives the intervals of equal windows; each interval's
 smallest doc_id goes back to the blocks, which mark the bytes. Blocks stand in for documents throughout, so a passage
-that many documents share is one string a block.
+that many documents share is one string a block, and one string a hop on the way (see routing).
+
+An anchor around which very many different strings stand, as in a line that everybody writes, is split: its windows
+travel one by one and meet by the hash of all their bytes.
 
 Defined results: null text has no bytes; texts shorter than the threshold lose nothing; rows of one doc_id never lose
 bytes to each other; a null doc_id is larger than all others; no rows give no rows; other columns are not read.
@@ -21,21 +24,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotscope.llm import golomb
 from slotscope.llm.anchors import anchor_runs, running_hash
 from slotscope.llm.bwt import SEPARATOR, prefix_boundaries, suffix_order
+from slotscope.llm.fingerprints import block_messages, fingerprint, held_by_several, read_replies, sizes_of
+from slotscope.llm.routing import MESSAGE, Routes, exchange, in_order, plan_routes
 from slotscope.llm.shared import chunks, n_parts, utf8_column
 from slotscope.llm.words import mix
 
 LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text that a block's anchors are made for at once.
 CHUNK_BYTES = 1 << 17
-#: Of a bucket's anchors, ranges that may be sorted apart; and symbols that are sorted together, few enough for the cache.
-RANGES, SORTED_SYMBOLS = 256, 120_000
+#: Symbols that are sorted together, few enough for the cache.
+SORTED_SYMBOLS = 120_000
 #: Stored bytes of a block of documents.
 BLOCK_BYTES = 8 << 20
-#: Bits of an anchor that the exchange of fingerprints compares.
-SENT_BITS = 48
+#: Different strings of an anchor, counted by block, above which its windows are split; a block counts exactly from COUNTED on.
+HOT_STRINGS, COUNTED = 4096, 16
+#: Stretches whose bytes are compared at once.
+COMPARED = 1 << 15
 
 RESULT = "doc_id long, row_key long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 
@@ -45,7 +51,7 @@ def _ids(column) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, threshold: int):
-    """For each chunk of a block: row, first and last window start, and anchor of all stretches, and a hash of each one's bytes."""
+    """For each chunk of a block: row, first and last window start, and anchor of all stretches, a hash of each one's bytes, and the chunk's hashes."""
     for i, j in chunks(offsets, CHUNK_BYTES):
         base = offsets[i]
         sums, inverse = running_hash(data[base : offsets[j]])
@@ -55,109 +61,193 @@ def _runs(data: np.ndarray, offsets: np.ndarray, threshold: int):
         yield row + i, first + base, last + base, mix(anchor ^ np.uint64(29)), whole
 
 
-def _sent(anchors: np.ndarray) -> np.ndarray:
-    return anchors >> np.uint64(64 - SENT_BITS)
+def _begins(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
 
 
-def _ends(sorted_sent: np.ndarray, n: int) -> np.ndarray:
-    """Where each owner's part of sorted sent anchors begins, and the end."""
-    return np.searchsorted(golomb.owners(sorted_sent << np.uint64(64 - SENT_BITS), n), np.arange(n + 1))
+def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The indexes starts[i] ... starts[i] + counts[i] - 1, for all i in a row."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
-def _ask(n_owners: int, threshold: int):
-    """Sends a block's anchors to their owners, with a bitmap of those that several of its own documents have."""
+def _ask(routes: Routes, threshold: int):
+    """Sends a block's anchors to their owners: whether several of its documents have one, and how many different strings stand around it."""
 
     def ask(rows: pa.Table) -> pa.Table:
         data, offsets = utf8_column(rows.column("text"))
         ids = _ids(rows.column("doc_id"))
-        kept = [(_sent(anchor), ids[row]) for row, _, _, anchor, *_ in _runs(data, offsets, threshold)]
-        sent, doc = (np.concatenate([x[k] for x in kept]) if kept else np.zeros(0, np.uint64) for k in (0, 1))
+        kept = [(fingerprint(anchor), ids[row], whole) for row, _, _, anchor, whole in _runs(data, offsets, threshold)]
+        sent, doc, whole = (np.concatenate([*(x[k] for x in kept), np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.int64, np.uint64)))
         order = np.argsort(sent)
-        sent, doc = sent[order], doc[order]
-        begins = np.flatnonzero(np.concatenate([[len(sent) > 0], sent[1:] != sent[:-1]]))
-        values = sent[begins]
+        sent, doc, whole = sent[order], doc[order], whole[order]
+        begins = np.flatnonzero(_begins(sent))
+        n = np.diff(begins, append=len(sent))
         several = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins) if len(begins) else np.zeros(0, bool)
-        ends = _ends(values, n_owners)
-        to = [k for k in range(n_owners) if ends[k] < ends[k + 1]]
-        parts = [slice(ends[k], ends[k + 1]) for k in to]
-        return pa.table({
-            "owner": pa.array(to, pa.int64()), "block": pa.array([rows.column("block")[0].as_py()] * len(to), pa.int64()),
-            "blob": pa.array([golomb.encode(values[p]) for p in parts], pa.binary()), "several": pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary()),
-        })
+        weights = np.minimum(n, COUNTED)
+        many = np.flatnonzero(n > COUNTED)
+        if len(many):
+            place, of = _spread(n[many], begins[many]), np.repeat(np.arange(len(many)), n[many])
+            strings = whole[place][np.lexsort((whole[place], of))]
+            weights[many] = np.bincount(of[_begins(of, strings)], minlength=len(many))
+        return block_messages(routes, rows.column("block")[0].as_py(), sent[begins], several, weights)
 
     return ask
 
 
-def _answer(messages: pa.Table) -> pa.Table:
-    """For each block's message, a bitmap of the anchors that other blocks have sent too, or several of its own documents have."""
-    sent = [golomb.decode(b) for b in messages.column("blob").to_pylist()]
-    every = np.sort(np.concatenate(sent))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    bitmaps = []
-    for values, several in zip(sent, messages.column("several").to_pylist(), strict=True):
-        hit = np.unpackbits(np.frombuffer(several, np.uint8))[: len(values)].astype(bool)
-        if len(shared):
-            hit |= shared[np.minimum(np.searchsorted(shared, values), len(shared) - 1)] == values
-        bitmaps.append(np.packbits(hit).tobytes())
-    return pa.table({"owner": messages.column("owner"), "block": messages.column("block"), "bitmap": pa.array(bitmaps, pa.binary())})
-
-
 class _Block:
-    """A block's stretches whose anchors several documents have, and its different strings in the order that messages keep."""
+    """A block's stretches whose anchors several documents have, and its different strings in the order of their anchors."""
 
-    def __init__(self, rows: pa.Table, answers: pa.Table, n_owners: int, threshold: int):
+    def __init__(self, rows: pa.Table, answers: pa.Table, routes: Routes, threshold: int):
         self.data, self.offsets = utf8_column(rows.column("text"))
         self.ids = _ids(rows.column("doc_id"))
         parts = list(_runs(self.data, self.offsets, threshold))
-        values = np.concatenate([_sent(p[3]) for p in parts]) if parts else np.zeros(0, np.uint64)
+        values = np.concatenate([*(fingerprint(p[3]) for p in parts), np.zeros(0, np.uint64)])
         values.sort()
-        values = values[np.flatnonzero(np.concatenate([[len(values) > 0], values[1:] != values[:-1]]))]
-        ends = _ends(values, n_owners)
-        wanted = [values[ends[k] : ends[k + 1]][np.unpackbits(np.frombuffer(bitmap, np.uint8))[: ends[k + 1] - ends[k]].astype(bool)] for k, bitmap in sorted(zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True))]
-        wanted = np.concatenate([*wanted, np.zeros(0, np.uint64)])
+        values = values[_begins(values)]
+        several, hot = read_replies(answers, sizes_of(routes, values))
+        hot, wanted = hot[several], values[several]
         found = []
         for part in parts:
-            sent = _sent(part[3])
-            keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, sent), len(wanted) - 1)] == sent) if len(wanted) else np.zeros(0, np.int64)
-            found.append([x[keep] for x in part])
+            at = np.minimum(np.searchsorted(wanted, fingerprint(part[3])), max(0, len(wanted) - 1))
+            keep = np.flatnonzero(wanted[at] == fingerprint(part[3])) if len(wanted) else np.zeros(0, np.int64)
+            part = [x[keep] for x in part]
+            found.append(self._windows(part, hot[at[keep]], threshold) if len(wanted) else part)
         kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
         row, first, last, anchor, whole = (np.concatenate([*(f[k] for f in found), np.zeros(0, t)]) for k, t in enumerate(kinds))
         order = np.lexsort((self.ids[row], whole, anchor))
         self.row, self.first, self.last, self.anchor, whole = (x[order] for x in (row, first, last, anchor, whole))
-        new = np.ones(len(self.row), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (whole[1:] != whole[:-1])
+        new = self._verified(_begins(self.anchor, whole), threshold)
         #: Of each stretch, its string; of each string, the first stretch, which has its smallest doc_id.
         self.string = np.cumsum(new) - 1
         self.leader = np.flatnonzero(new)
 
-    def buckets(self, n: int) -> np.ndarray:
-        """Where each bucket's strings begin, and the end."""
-        return np.searchsorted(golomb.owners(self.anchor[self.leader], n), np.arange(n + 1))
-
-
-def _send(n: int, threshold: int):
+    def _windows(self, part: list[np.ndarray], hot: np.ndarray, threshold: int) -> list[np.ndarray]:
+        """The stretches, those of hot anchors window by window, with a hash of the whole window as their anchor."""
+        if not hot.any():
+            return part
+        row, first, last, _, _ = (x[hot] for x in part)
+        n = last - first + 1
+        start = _spread(n, first)
+        base, stop = int(first.min()), int(last.max()) + threshold
+        sums, inverse = running_hash(self.data[base:stop])
+        whole = mix((sums[start - base + threshold] - sums[start - base]) * inverse[start - base])
+        single = [np.repeat(row, n), start, start, mix(whole ^ np.uint64(31)), whole]
+        return [np.concatenate([x[~hot], y]) for x, y in zip(part, single, strict=True)]
+
+    def _verified(self, new: np.ndarray, threshold: int) -> np.ndarray:
+        """new, where stretches that don't have their string's bytes, however equal their hashes, are strings of their own."""
+        leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        others = np.flatnonzero(~new)
+        for at in range(0, len(others), COMPARED):
+            mine = others[at : at + COMPARED]
+            n, m = self.last[mine] - self.first[mine], self.last[leader[mine]] - self.first[leader[mine]]
+            size = np.minimum(n, m) + threshold
+            differ = self.data[_spread(size, self.first[mine])] != self.data[_spread(size, self.first[leader[mine]])]
+            wrong = mine[np.logical_or.reduceat(differ, np.cumsum(size) - size) | (n != m)]
+            new[wrong] = True
+            after = wrong[wrong + 1 < len(new)] + 1
+            new[after] = True
+        return new
+
+
+#: A message of strings: how many there are; of each the upper half of its anchor, its smallest doc_id and its length; and their bytes.
+def _pack(anchors: np.ndarray, ids: np.ndarray, lengths: np.ndarray, body: list[bytes], press) -> bytes:
+    high = (anchors >> np.uint64(32)).astype(np.uint32)
+    return press.compress(b"".join([np.array([len(ids)], np.int64).tobytes(), np.diff(high, prepend=np.uint32(0)).tobytes(), ids.tobytes(), lengths.astype(np.int32).tobytes(), *body]))
+
+
+def _send(routes: Routes, threshold: int):
     def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        buckets, messages, press = [], [], zstandard.ZstdCompressor(level=1)
-        if rows.num_rows:
-            block = _Block(rows, answers, n, threshold)
-            ends = block.buckets(n)
-            view = memoryview(np.ascontiguousarray(block.data))
-            for k in range(n):
-                mine = block.leader[ends[k] : ends[k + 1]]
-                if not len(mine):
-                    continue
-                first, stop = block.first[mine], block.last[mine] + threshold
-                fine = golomb.owners(block.anchor[mine], n * RANGES) - k * RANGES
-                head = np.array([len(mine)], np.int64).tobytes() + np.bincount(fine, minlength=RANGES).astype(np.int64).tobytes()
-                body = b"".join([head, block.ids[block.row[mine]].tobytes(), (stop - first).astype(np.int64).tobytes(), *(view[i:j] for i, j in zip(first, stop, strict=True))])
-                buckets.append(k)
-                messages.append(press.compress(body))
-        name = rows.column("block")[0].as_py() if rows.num_rows else 0
-        return pa.table({"bucket": pa.array(buckets, pa.int64()), "block": pa.array([name] * len(buckets), pa.int64()), "strings": pa.array(messages, pa.binary())})
+        if not rows.num_rows:
+            return routes.messages(0, 0, 1, [], [])
+        parts, blobs, press = [], [], zstandard.ZstdCompressor(level=1)
+        block = _Block(rows, answers, routes, threshold)
+        anchor = block.anchor[block.leader]
+        cuts = routes.cuts(anchor, 1)
+        view = memoryview(np.ascontiguousarray(block.data))
+        for k in np.flatnonzero(np.diff(cuts)):
+            mine = block.leader[cuts[k] : cuts[k + 1]]
+            first, stop = block.first[mine], block.last[mine] + threshold
+            parts.append(int(k))
+            blobs.append(_pack(block.anchor[mine], block.ids[block.row[mine]], stop - first, [view[i:j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)], press))
+        name = rows.column("block")[0].as_py()
+        return routes.messages(name, name, 1, parts, blobs)
 
     return send
 
 
+class _Strings:
+    """The different strings of several messages, in the order of their anchors, each with its smallest doc_id."""
+
+    def __init__(self, messages: pa.Table):
+        open_up = zstandard.ZstdDecompressor()
+        known: dict[bytes, int] = {}
+        strings: list[bytes] = []
+        ids: list[int] = []
+        anchors: list[int] = []
+        sent = []
+        for blob in messages.column("blob").to_pylist():
+            body = open_up.decompress(blob)
+            n = int(np.frombuffer(body, np.int64, 1)[0])
+            high = np.cumsum(np.frombuffer(body, np.uint32, n, 8), dtype=np.uint32).tolist()
+            docs, stops = np.frombuffer(body, np.int64, n, 8 + 4 * n).tolist(), (np.cumsum(np.frombuffer(body, np.int32, n, 8 + 12 * n), dtype=np.int64) + 8 + 16 * n).tolist()
+            start, mine = 8 + 16 * n, np.empty(n, np.int64)
+            for k, (doc, stop) in enumerate(zip(docs, stops, strict=True)):
+                string = body[start:stop]
+                start = stop
+                if (found := known.get(string)) is None:
+                    found = known[string] = len(strings)
+                    strings.append(string)
+                    ids.append(doc)
+                    anchors.append(high[k])
+                elif doc < ids[found]:
+                    ids[found] = doc
+                mine[k] = found
+            sent.append(mine)
+        high = np.array(anchors, np.uint64) << np.uint64(32)
+        order = np.argsort(high, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.strings = [strings[i] for i in order.tolist()]
+        self.ids, self.anchors = np.array(ids, np.int64)[order], high[order]
+        self.lengths = np.array([len(s) for s in self.strings], np.int64)
+        #: Of each message, its strings.
+        self.sent = [place[m] for m in sent]
+
+    def answered(self, messages: pa.Table, runs: _Runs) -> pa.Table:
+        """Replies to the messages with the runs of each one's strings."""
+        press = zstandard.ZstdCompressor(level=1)
+        return pa.table({"sender": messages.column("sender"), "part": messages.column("part"), "reply": pa.array([runs.of(m).packed(press) for m in self.sent], pa.binary())})
+
+
+class _Runs:
+    """For each of a row of strings, runs of windows (each up to a place within the string) and the smallest doc_id that has these windows."""
+
+    def __init__(self, counts: np.ndarray, stops: np.ndarray, values: np.ndarray):
+        self.counts, self.stops, self.values = counts, stops, values
+        self.begins = np.cumsum(counts) - counts
+
+    def of(self, strings: np.ndarray) -> _Runs:
+        place = _spread(self.counts[strings], self.begins[strings])
+        return _Runs(self.counts[strings], self.stops[place], self.values[place])
+
+    def packed(self, press) -> bytes:
+        return press.compress(b"".join([np.array([len(self.counts), len(self.stops)], np.int64).tobytes(), self.counts.astype(np.int32).tobytes(), self.stops.astype(np.int32).tobytes(), self.values.astype(np.int64).tobytes()]))
+
+    @staticmethod
+    def read(replies: list[bytes]) -> _Runs:
+        open_up = zstandard.ZstdDecompressor()
+        parts: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        for blob in replies:
+            body = open_up.decompress(blob)
+            m, r = (int(x) for x in np.frombuffer(body, np.int64, 2))
+            parts.append((np.frombuffer(body, np.int32, m, 16), np.frombuffer(body, np.int32, r, 16 + 4 * m), np.frombuffer(body, np.int64, r, 16 + 4 * m + 4 * r)))
+        return _Runs(*(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3)))
+
+
 def _smallest(strings: list[bytes], ids: np.ndarray, threshold: int) -> np.ndarray:
     """For each window of the strings, one after the other, the smallest id among the strings in which it occurs."""
     lengths = np.array([len(s) for s in strings])
@@ -182,89 +272,67 @@ def _smallest(strings: list[bytes], ids: np.ndarray, threshold: int) -> np.ndarr
     return out
 
 
-def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The indexes starts[i] ... starts[i] + counts[i] - 1, for all i in a row."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-
-
 def _expand(threshold: int):
     def expand(messages: pa.Table) -> pa.Table:
-        """Answers each block's strings with runs of windows and the smallest doc_id that has these windows."""
-        open_up, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        known: dict[bytes, int] = {}
-        ids: list[int] = []
-        by_range: list[list[int]] = [[] for _ in range(RANGES)]
-        strings: list[bytes] = []
-        sent = []
-        for blob in messages.column("strings").to_pylist():
-            body = open_up.decompress(blob)
-            n = int(np.frombuffer(body, np.int64, 1)[0])
-            fine = np.repeat(np.arange(RANGES), np.frombuffer(body, np.int64, RANGES, 8))
-            at = 8 * (1 + RANGES)
-            docs, stops = np.frombuffer(body, np.int64, n, at).tolist(), (np.cumsum(np.frombuffer(body, np.int64, n, at + 8 * n)) + at + 16 * n).tolist()
-            start, mine = at + 16 * n, np.empty(n, np.int64)
-            for k, (doc, stop) in enumerate(zip(docs, stops, strict=True)):
-                string = body[start:stop]
-                start = stop
-                if (found := known.get(string)) is None:
-                    found = known[string] = len(strings)
-                    strings.append(string)
-                    ids.append(doc)
-                    by_range[fine[k]].append(found)
-                elif doc < ids[found]:
-                    ids[found] = doc
-                mine[k] = found
-            sent.append(mine)
-        del known
-        least_id = np.array(ids, np.int64)
-        lengths = np.array([len(s) for s in strings], np.int64)
-        n_windows = lengths - threshold + 1
-        counts, stops, values = np.zeros(len(strings), np.int64), [], []
-        placed, group = [], []
-        for k in range(RANGES):
-            group += by_range[k]
-            if group and (k == RANGES - 1 or lengths[group].sum() + len(group) >= SORTED_SYMBOLS):
-                some = np.array(group)
-                least = _smallest([strings[i] for i in group], least_id[some], threshold)
-                ends = np.cumsum(n_windows[some])
-                change = np.ones(len(least), bool)
-                change[1:] = least[1:] != least[:-1]
-                change[(ends - n_windows[some])] = True
-                at = np.flatnonzero(change)
-                of = np.searchsorted(ends, at, "right")
-                counts[some] = np.bincount(of, minlength=len(some))
-                values.append(least[at])
-                stops.append(np.append(at[1:], len(least)) - (ends - n_windows[some])[of])
-                placed.append(some)
-                group = []
-        order = np.concatenate([*placed, np.zeros(0, np.int64)])
-        begins = np.zeros(len(strings), np.int64)
-        begins[order] = np.cumsum(counts[order]) - counts[order]
-        values, stops = np.concatenate([*values, np.zeros(0, np.int64)]), np.concatenate([*stops, np.zeros(0, np.int64)])
-        replies = []
-        for mine in sent:
-            runs = _spread(counts[mine], begins[mine])
-            replies.append(press.compress(b"".join([np.array([len(mine), len(runs)], np.int64).tobytes(), counts[mine].astype(np.int32).tobytes(), stops[runs].astype(np.int32).tobytes(), values[runs].tobytes()])))
-        return pa.table({"bucket": messages.column("bucket"), "block": messages.column("block"), "reply": pa.array(replies, pa.binary())})
+        """Answers each message's strings with runs of windows and the smallest doc_id that has these windows."""
+        met = _Strings(messages)
+        n_windows = met.lengths - threshold + 1
+        room = np.cumsum(met.lengths + 1)
+        groups = np.flatnonzero(np.append(_begins(met.anchors), True))  # where an anchor's strings begin, and the end
+        counts, stops, values = [], [], []
+        at = 0
+        while at < len(groups) - 1:
+            # whole anchors, as many as may be sorted together, one at least
+            i = groups[at]
+            enough = np.searchsorted(room, (room[i - 1] if i else 0) + SORTED_SYMBOLS)
+            at = max(at + 1, int(np.searchsorted(groups, enough, "right")) - 1)
+            part = slice(i, groups[at])
+            least = _smallest(met.strings[part], met.ids[part], threshold)
+            ends = np.cumsum(n_windows[part])
+            change = _begins(least)
+            change[ends - n_windows[part]] = True
+            places = np.flatnonzero(change)
+            of = np.searchsorted(ends, places, "right")
+            counts.append(np.bincount(of, minlength=len(ends)))
+            values.append(least[places])
+            stops.append(np.append(places[1:], len(least)) - (ends - n_windows[part])[of])
+        return met.answered(messages, _Runs(*(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (counts, stops, values))))
 
     return expand
 
 
-def _mark(n: int, threshold: int):
+def _merge(routes: Routes):
+    def merge(level: int):
+        def merged(messages: pa.Table) -> pa.Table:
+            """A hop's different strings, written on."""
+            hop = messages.column("to")[0].as_py()
+            group, part = routes.place(hop, level)
+            met, press = _Strings(messages), zstandard.ZstdCompressor(level=1)
+            cuts = routes.cuts(met.anchors, level + 1, part)
+            found = np.flatnonzero(np.diff(cuts))
+            pieces = [slice(cuts[k], cuts[k + 1]) for k in found]
+            blobs = [_pack(met.anchors[p], met.ids[p], met.lengths[p], met.strings[p], press) for p in pieces]
+            return routes.messages(hop, group, level + 1, [int(k) + part * routes.fan for k in found], blobs)
+
+        return merged
+
+    return merge
+
+
+def _forward(level: int):
+    def forwarded(messages: pa.Table, replies: pa.Table) -> pa.Table:
+        if not messages.num_rows:
+            return pa.table({"sender": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "reply": pa.array([], pa.binary())})
+        return _Strings(messages).answered(messages, _Runs.read(in_order(replies)))
+
+    return forwarded
+
+
+def _mark(routes: Routes, threshold: int):
     def mark(rows: pa.Table, answers: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _Block(rows, answers, n, threshold)
-        open_up = zstandard.ZstdDecompressor()
-        counts = np.zeros(len(block.leader), np.int64)
-        ends = block.buckets(n)
-        stops, values = [], []
-        for k, blob in sorted(zip(replies.column("bucket").to_pylist(), replies.column("reply").to_pylist(), strict=True)):
-            body = open_up.decompress(blob)
-            m, r = np.frombuffer(body, np.int64, 2)
-            counts[ends[k] : ends[k + 1]] = np.frombuffer(body, np.int32, m, 16)
-            stops.append(np.frombuffer(body, np.int32, r, 16 + 4 * m))
-            values.append(np.frombuffer(body, np.int64, r, 16 + 4 * m + 4 * r))
-        stops, values = np.concatenate([*stops, np.zeros(0, np.int32)]).astype(np.int64), np.concatenate([*values, np.zeros(0, np.int64)])
-        begins = np.cumsum(counts) - counts
+        block = _Block(rows, answers, routes, threshold)
+        found = _Runs.read(in_order(replies))
+        counts, begins, stops, values = found.counts, found.begins, found.stops, found.values
         delta = np.zeros(len(block.data) + 1, np.int32)
         step = 1 << 18
         for at in range(0, len(block.string), step):
@@ -299,18 +367,18 @@ def _mark(n: int, threshold: int):
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
     """A row for each document: doc_id, row_key, n_bytes, the removed spans (byte offsets in the text) and the kept bytes."""
     n = n_parts(docs, BLOCK_BYTES)
+    routes = plan_routes(n, n)
     key = F.xxhash64("doc_id", "text")
     blocks = docs.select("doc_id", "text", key.alias("row_key"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).groupBy("block")
-    answers = blocks.applyInArrow(_ask(n, threshold), "owner long, block long, blob binary, several binary").groupBy("owner").applyInArrow(_answer, "owner long, block long, bitmap binary")
-    strings = blocks.cogroup(answers.groupBy("block")).applyInArrow(_send(n, threshold), "bucket long, block long, strings binary")
-    replies = strings.groupBy("bucket").applyInArrow(_expand(threshold), "bucket long, block long, reply binary")
+    answers = held_by_several(blocks.applyInArrow(_ask(routes, threshold), MESSAGE), routes, HOT_STRINGS)
+    strings = blocks.cogroup(answers.groupBy("sender")).applyInArrow(_send(routes, threshold), MESSAGE)
+    replies = exchange(strings, routes, _merge(routes), _expand(threshold), _forward)
     # both kinds of answer reach their block together
-    told = answers.select("block", F.col("owner").alias("k"), F.col("bitmap").alias("body"), F.lit(0).alias("kind")).unionByName(replies.select("block", F.col("bucket").alias("k"), F.col("reply").alias("body"), F.lit(1).alias("kind")))
-    mark = _mark(n, threshold)
+    told = answers.withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
+    mark = _mark(routes, threshold)
 
     def conclude(rows: pa.Table, said: pa.Table) -> pa.Table:
         kind = said.column("kind")
-        first, second = said.filter(pc.equal(kind, 0)), said.filter(pc.equal(kind, 1))
-        return mark(rows, first.rename_columns(["block", "owner", "bitmap", "kind"]), second.rename_columns(["block", "bucket", "reply", "kind"]))
+        return mark(rows, said.filter(pc.equal(kind, 0)), said.filter(pc.equal(kind, 1)))
 
-    return blocks.cogroup(told.groupBy("block")).applyInArrow(conclude, RESULT)
+    return blocks.cogroup(told.groupBy("sender")).applyInArrow(conclude, RESULT)

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from slotscope.llm import bwt, exact_dedup, golomb, near_dedup, repeats
+from slotscope.llm import bwt, exact_dedup, golomb, near_dedup, repeats, routing
 from slotscope.llm.components import components
 
 from .conftest import SCHEMA, make_rows
@@ -199,3 +199,55 @@ def test_repeats_with_small_sorts(spark, docs, rows, monkeypatch):
 def test_repeats_of_periodic_bytes(spark):
     rows = [(1, "ab" * 100), (2, "ba" * 60 + "tail"), (3, "\x00" * 120), (4, "é" * 70 + "\x00" * 49), (5, "é" * 30), (6, "\x00" * 50)]
     assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == repeat_truth(rows, 50)
+
+
+def test_repeats_over_hops(spark, docs, rows, monkeypatch):
+    """Many blocks and ranges, and a fan-out of two: strings and answers pass several hops."""
+    monkeypatch.setattr(routing, "FAN", 2)
+    monkeypatch.setattr(repeats, "n_parts", lambda *_: 6)
+    assert routing.plan_routes(6, 6).levels == 3
+    assert found_repeats(docs) == repeat_truth(rows, 50)
+
+
+def test_repeats_around_a_hot_anchor(spark, monkeypatch):
+    """A line that most documents have, with other words around it in each: its anchors' windows travel one by one."""
+    rng = random.Random(4)
+    line = "this line stands in very many of the documents, whoever wrote them, word for word"
+    tail = lambda: " ".join(f"{rng.randrange(10**6)}" for _ in range(12))
+    made = [(i, f"{tail()} {line if i % 3 else line[:44]} {tail()}") for i in range(120)] + [(500, line), (501, line * 2)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    wanted = repeat_truth(made, 50)
+    monkeypatch.setattr(repeats, "n_parts", lambda *_: 5)
+    monkeypatch.setattr(repeats, "HOT_STRINGS", 10)
+    assert found_repeats(docs) == wanted
+    monkeypatch.setattr(routing, "FAN", 3)
+    assert found_repeats(docs) == wanted
+
+
+def test_strings_of_one_hash_are_told_apart(monkeypatch):
+    """Were all hashes of strings equal, strings would still be compared by their bytes."""
+    texts = ["x" * 60, "y" * 60, "x" * 60, "z" * 50]
+    block = repeats._Block.__new__(repeats._Block)
+    block.data = np.frombuffer("".join(texts).encode(), np.uint8)
+    block.first = np.array([0, 60, 120, 180])
+    block.last = block.first + [10, 10, 10, 0]
+    new = block._verified(np.array([True, False, False, False]), 50)
+    string = np.cumsum(new) - 1
+    got = [[bytes(block.data[block.first[i] : block.last[i] + 50]) for i in np.flatnonzero(string == s)] for s in range(string[-1] + 1)]
+    assert all(len(set(g)) == 1 for g in got) and sum(map(len, got)) == 4
+
+
+def test_routes_nest_and_cover(monkeypatch):
+    for fan, senders, ranges in ((128, 10, 5), (4, 50, 17), (3, 200, 100)):
+        monkeypatch.setattr(routing, "FAN", fan)
+        routes = routing.plan_routes(senders, ranges)
+        assert routes.fan <= fan and routes.fan**routes.levels >= ranges
+        values = np.sort(np.random.default_rng(1).integers(0, 2**64 - 1, 500, np.uint64))
+        for level in range(1, routes.levels + 1):
+            part = golomb.owners(values, routes.fan**level)
+            above = golomb.owners(values, routes.fan ** (level - 1))
+            assert np.array_equal(part // routes.fan, above)
+            for of in set(above.tolist()):
+                mine = values[above == of]
+                cuts = routes.cuts(mine, level, of)
+                assert cuts[0] == 0 and cuts[-1] == len(mine)
