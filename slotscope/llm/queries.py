@@ -29,7 +29,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("row_key")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("row_key", "stays")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

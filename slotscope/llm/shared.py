@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine if Spark runs in one process, as in tests."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="slotscope-checkpoint-")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="slotscope-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -59,13 +61,38 @@ def stash(df: DataFrame, kind: str) -> DataFrame:
 
 
 def n_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions for work on df: the session's shuffle partitions, and more where the plan's size estimate asks for them.
+    """Partitions for work on df: the session's shuffle partitions, and more where df's bytes ask for them.
 
-    Files have an estimate; what was made from rows of the driver or from an RDD has an absurdly large one, which counts for nothing.
+    Files have an estimate of their stored bytes. What was made from rows of the driver or from an RDD has an absurdly large
+    one; its texts are measured, and count for half.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(estimate // bytes_each, 1_000_000)) if estimate < 1 << 60 else least
+    if estimate >= 1 << 60:
+        texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
+        estimate = df.agg(F.sum(sum(texts, F.lit(16)))).first()[0] or 0
+        estimate //= 2
+    return max(least, estimate // bytes_each)
+
+
+class KeyFilter:
+    """A Bloom filter of 64-bit hashes, of MOST_BITS at most: it never misses a key, and lets more others through the more keys it has."""
+
+    MOST_BITS, BITS_A_KEY, SHIFTS = 1 << 26, 10, (0, 19, 38)
+
+    def __init__(self, keys: DataFrame, column: str):
+        bits = min(self.MOST_BITS, 1 << max(10, (self.BITS_A_KEY * keys.count()).bit_length()))
+        places = keys.select(F.explode(F.array(*(F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in self.SHIFTS))).alias("at"))
+        found = places.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
+        self.words = np.zeros(bits // 64, np.uint64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        keys, found = keys.view(np.uint64), np.ones(len(keys), bool)
+        for s in self.SHIFTS:
+            at = (keys >> np.uint64(s)) & np.uint64(64 * len(self.words) - 1)
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return found
 
 
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,3 +135,16 @@ def free_name(df: DataFrame, name: str) -> str:
 def ascii_lower(column):
     """Lower-cases A-Z alone."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def keep_row(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of docs the rows whose doc_id and hash of (doc_id, text) are among rows (doc_id, row_key); of several that share both, the one whose columns hash smallest."""
+    key, kept_id, kept = (free_name(docs, n) for n in ("kept_key", "kept_id", "kept_row"))
+    named = rows.select(F.col("row_key").alias(key), F.col("doc_id").alias(kept_id)).distinct()
+    keyed = docs.withColumn(kept, F.xxhash64("doc_id", "text"))
+    met = keyed.join(named, (F.col(kept) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # hashes of maps aren't defined; such columns decide nothing
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    one = met.groupBy(F.col(kept).alias("k"), F.col("doc_id").alias("i")).agg(F.min_by(F.struct(*columns), hashed).alias("row"))
+    return one.select("row.*")
