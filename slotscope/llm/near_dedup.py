@@ -4,7 +4,8 @@ Documents with equal shingle sets are one node. A node has a MinHash signature;
 order of the nodes by its own stretch of the signature. A node's candidates are its nearest neighbours in each
 order, those with the longest common prefixes: in a thin region that reaches up to shallow tree nodes, in a dense one
 it stays with the deepest, so depth adapts to the region. Of them the most alike by sketch count. Orders are range-partitioned with the
-node in the key, so ever so many equal signatures split. A sketch of one bit a MinHash drops unlike
+node in the key, so ever so many equal signatures split; the rows on both sides of a border are compared in a task of their own, so
+where borders fall decides nothing. A sketch of one bit a MinHash drops unlike
 candidates; the others are confirmed on their full shingle sets, first the most promising of each node, then all that still
 lie between different components.
 
@@ -14,7 +15,7 @@ compared exactly, but where each of them was a candidate: nodes outside the clus
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a text of
 fewer words than a shingle has is one shingle; rows that repeat share a component; a null doc_id never is a component's
-smallest, unless all are null; no rows give no rows; other columns are not read.
+smallest, unless all are null; no rows give no rows; other columns are not read. keep_one leaves one row of each component.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotscope.llm.components import components
-from slotscope.llm.shared import free_name, n_parts, stash, utf8_column
+from slotscope.llm.shared import KeyFilter, keep_row, n_parts, stash, utf8_column
 from slotscope.llm.words import mix, stream, words_of
 
 TREES, DEPTH = 24, 6
@@ -119,57 +121,111 @@ def least_agreement(similarity: float) -> int:
     return math.floor(HASHES * p - 5 * math.sqrt(HASHES * p * (1 - p)))
 
 
+def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent: int) -> dict:
+    """For the rows marked in ahead (behind), pairs with the most alike of the REACH rows that follow (precede) them.
+
+    A pair shares a tree and a first MinHash, and its sizes and sketches allow the similarity.
+    """
+    n, enough = rows.num_rows, least_agreement(percent / 100)
+    trees, sizes = rows.column("tree").to_numpy(), rows.column("n_shingles").to_numpy()
+    prefix = utf8_column(rows.column("prefix"))[0].reshape(-1, DEPTH * 4).view(">u4")
+    sketch = np.ascontiguousarray(utf8_column(rows.column("sketch"))[0].reshape(n, -1)).view(np.uint64)
+    agree = np.full((n, REACH), -1, np.int16)  # of each row with the k-th after it
+    before = np.full((n, REACH), -1, np.int16)  # and with the k-th before it
+    for k in range(1, min(REACH, n - 1) + 1):
+        i, j = slice(0, n - k), slice(k, n)
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        same = HASHES - np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int16)
+        ok = (trees[i] == trees[j]) & (prefix[i, 0] == prefix[j, 0]) & (100 * small >= percent * large) & (same >= enough)
+        agree[i, k - 1] = before[j, k - 1] = np.where(ok, same, -1)
+    found = []
+    for mine, side, sign in ((np.flatnonzero(ahead), agree, 1), (np.flatnonzero(behind), before, -1)):
+        side, every = side[mine], np.arange(len(mine))
+        for _ in range(MOST_ALIKE):
+            k = side.argmax(1)
+            i = np.flatnonzero(side[every, k] >= 0)
+            found.append(np.stack([mine[i], mine[i] + sign * (k[i] + 1)], 1))
+            side[every, k] = -1
+    pair = np.sort(np.concatenate(found), 1)
+    pair = np.unique(pair[:, 0] * n + pair[:, 1])
+    u, v = pair // n, pair % n
+    nodes = pa.concat_arrays(rows.column("node").chunks)
+    return {"x": nodes.take(pa.array(u)), "y": nodes.take(pa.array(v)), "agree": pa.array(agree[u, v - u - 1].astype(np.int64))}
+
+
+#: Pairs, and the rows that stand next to a border of partitions, in order by seq, which is below 0 before the border.
+NEAR = "x binary, y binary, agree long, border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary"
+NEAR_TYPES = dict(zip((c.split()[0] for c in NEAR.split(", ")), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True))
+
+
+def _near_rows(n: int, given: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([given[c].cast(t) if c in given else pa.nulls(n, t) for c, t in NEAR_TYPES.items()], list(NEAR_TYPES))
+
+
 def _neighbours(percent: int):
-    """Pairs of near rows of one order that share a first MinHash, and whose sizes and sketches allow the similarity."""
-    enough = least_agreement(percent / 100)
+    """Pairs of near rows of one order; and the rows next to the partition's borders, whose neighbours beyond it are found with the next one's."""
+
+    def edge(rows: pa.Table, border: int, since: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        at = {"border": pa.array([border] * n, pa.int64()), "seq": pa.array(range(since, since + n), pa.int32())}
+        return _near_rows(n, at | {c: pa.concat_arrays(rows.column(c).chunks) for c in ("tree", "prefix", "node", "n_shingles", "sketch")})
 
     def neighbours(batches):
-        carried = None
+        here = TaskContext.get().partitionId()
+        held, done, passed = None, 0, 0  # of the rows held, those that have their pairs; and rows let go before them
+        head = None
+
+        def pairs(rows: pa.Table, upto: int, ahead: bool) -> pa.RecordBatch:
+            place = np.arange(rows.num_rows)
+            mine = (place >= done) & (place < upto)
+            got = _best_pairs(rows, mine & ahead, mine & (place + passed >= REACH), percent)
+            return _near_rows(len(got["x"]), got)
+
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if carried is not None:
-                rows = pa.concat_tables([carried, rows]).combine_chunks()
-            if not rows.num_rows:
+            if not batch.num_rows:
                 continue
-            new = 0 if carried is None else carried.num_rows
-            carried = rows.slice(max(0, rows.num_rows - REACH))
-            trees, sizes = rows.column("tree").to_numpy(), rows.column("n_shingles").to_numpy()
-            prefix = utf8_column(rows.column("prefix"))[0].reshape(-1, DEPTH * 4).view(">u4")
-            sketch = np.ascontiguousarray(utf8_column(rows.column("sketch"))[0].reshape(rows.num_rows, -1)).view(np.uint64)
-            n = rows.num_rows
-            agree = np.full((n, REACH), -1, np.int16)  # of each row with the k-th after it
-            before = np.full((n, REACH), -1, np.int16)  # and with the k-th before it
-            for k in range(1, min(REACH, n - 1) + 1):
-                i, j = slice(max(0, new - k), n - k), slice(max(0, new - k) + k, n)
-                small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-                same = HASHES - np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int16)
-                ok = (trees[i] == trees[j]) & (prefix[i, 0] == prefix[j, 0]) & (100 * small >= percent * large) & (same >= enough)
-                agree[i, k - 1] = before[j, k - 1] = np.where(ok, same, -1)
-            found, every = [], np.arange(n)
-            for side, sign in ((agree.copy(), 1), (before, -1)):
-                for _ in range(MOST_ALIKE):
-                    k = side.argmax(1)
-                    i = np.flatnonzero(side[every, k] >= 0)
-                    found.append(np.stack([i, i + sign * (k[i] + 1)], 1))
-                    side[every, k] = -1
-            pair = np.sort(np.concatenate(found), 1)
-            pair = np.unique(pair[:, 0] * n + pair[:, 1])
-            u, v = pair // n, pair % n
-            common = agree[u, v - u - 1].astype(np.int64)
-            nodes = rows.column("node").combine_chunks()
-            nodes = nodes.combine_chunks() if isinstance(nodes, pa.ChunkedArray) else nodes
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(u)), nodes.take(pa.array(v)), pa.array(common)], ["x", "y", "agree"])
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if head is None and held.num_rows >= REACH:
+                head = held.slice(0, REACH)
+            if held.num_rows - REACH > done:
+                held = held.combine_chunks()
+                ready = held.num_rows - REACH
+                yield pairs(held, ready, True)
+                gone = max(0, ready - REACH)
+                held, done, passed = held.slice(gone), ready - gone, passed + gone
+        if held is not None:
+            held = held.combine_chunks()
+            yield pairs(held, held.num_rows, False)
+            yield edge(head if head is not None else held, here, 0)
+            n = min(REACH, held.num_rows)
+            yield edge(held.slice(held.num_rows - n), here + 1, -n)
 
     return neighbours
 
 
-def _squeeze(batches):
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        data, offsets = utf8_column(batch.column("text"))
-        view = memoryview(np.ascontiguousarray(data))
-        bodies = [press.compress(view[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(bodies, pa.binary())], ["row_key", "body"])
+def _over_border(percent: int):
+    def over(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq").combine_chunks()
+        before = rows.column("seq").to_numpy() < 0
+        return pa.table(_best_pairs(rows, before, ~before, percent))
+
+    return over
+
+
+def _squeeze(wanted):
+    """The texts of the rows that the filter lets through, compressed."""
+
+    def squeeze(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.has(batch.column("row_key").to_numpy())))
+            data, offsets = utf8_column(batch.column("text"))
+            view = memoryview(np.ascontiguousarray(data))
+            bodies = [press.compress(view[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(bodies, pa.binary())], ["row_key", "text_id", "body"])
+
+    return squeeze
 
 
 def _confirm(n_words: int, percent: int):
@@ -261,22 +317,27 @@ def _left_over(nodes: DataFrame, pairs: DataFrame, bodies: DataFrame, roots: Dat
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each document: doc_id, row_key, n_shingles, component_id, kept, n_links (its node's confirmed links)."""
+    """A row for each document: doc_id, row_key (a hash of doc_id and text), n_shingles, component_id, kept, and stays: kept, and of rows of one id the one."""
     n = n_parts(docs)
     source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     signed = stash(source.mapInArrow(_sign(n_words), "doc_id long, row_key long, n_shingles long, node binary, signature binary"), "signed")
-    nodes = stash(signed.where("node IS NOT NULL").groupBy("node", "n_shingles", "signature").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key")), "nodes")
+    best_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    nodes = stash(signed.where("node IS NOT NULL").groupBy("node", "n_shingles", "signature").agg(F.min(best_row).alias("best")), "nodes")
 
-    # a stretch of an order ends unseen where a partition does, so partitions are large beside a node's neighbours
+    # partitions are large beside a node's neighbours
     parts = max(1, min(max(n, TREES), nodes.count() * TREES // (40 * REACH)))
     orders = nodes.select("node", "n_shingles", "signature").mapInArrow(_orders, "tree int, prefix binary, node binary, n_shingles long, sketch binary")
     sorted_orders = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    near = sorted_orders.mapInArrow(_neighbours(percent), "x binary, y binary, agree long").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
+    near = stash(sorted_orders.mapInArrow(_neighbours(percent), NEAR), "near")
+    over = near.where("x IS NULL").select("border", "seq", "tree", "prefix", "node", "n_shingles", "sketch").groupBy("border").applyInArrow(_over_border(percent), "x binary, y binary, agree long")
+    near = near.where("x IS NOT NULL").select("x", "y", "agree").unionByName(over).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
     pairs = stash(near.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("agree").alias("agree")), "pairs")
 
     met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = nodes.select("node", "row_key").join(met, "node")
-    bodies = source.select("row_key", "text").mapInArrow(_squeeze, "row_key long, body binary").join(wanted, "row_key").dropDuplicates(["node"]).select("node", "body")
+    wanted = stash(nodes.select("node", F.col("best.row_key").alias("row_key"), F.col("best.doc_id").alias("row_id")).join(met, "node"), "wanted")
+    some = docs.sparkSession.sparkContext.broadcast(KeyFilter(wanted, "row_key"))
+    texts = source.mapInArrow(_squeeze(some), "row_key long, text_id long, body binary")
+    bodies = texts.join(wanted, "row_key").where(F.col("text_id").eqNullSafe(F.col("row_id"))).dropDuplicates(["node"]).select("node", "body")
     bodies = stash(bodies, "bodies")
 
     def confirmed(some: DataFrame) -> DataFrame:
@@ -291,23 +352,19 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     links = first.unionByName(confirmed(_apart(pairs, roots)))
     roots = components(links)
     left = _left_over(nodes, pairs, bodies, roots, n_words, percent)
-    links = links.unionByName(left)
     if left.head(1):
-        roots = components(links)
+        roots = components(links.unionByName(left))
 
-    rooted = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
     # a large component is a hot key: written first, its row meets its nodes in a join whose sides Spark can split or broadcast
-    least = stash(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
-    named = rooted.join(least, "root").select("node", "component_id")
-    n_links = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = named.join(n_links, "node", "left")
-    found = signed.select("doc_id", "row_key", "n_shingles", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = stash(rooted.groupBy("root").agg(F.min("best").alias("least")), "components")
+    named = rooted.join(least, "root").select("node", "least")
+    found = signed.select("doc_id", "row_key", "n_shingles", "node").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    kept = component.eqNullSafe(F.col("doc_id"))
+    return found.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), (F.col("node").isNull() | (kept & (F.col("row_key") == F.col("least.row_key")))).alias("stays"))
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one of the smallest id; of rows that repeat both id and text, one."""
-    key = free_name(docs, "kept_key")
-    kept = near_duplicates(docs, n_words, percent).where("kept").select(F.col("row_key").alias(key))
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    return keep_row(docs, near_duplicates(docs, n_words, percent).where("stays"))

@@ -33,7 +33,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85).drop("row_key", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85).drop("row_key", "stays")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

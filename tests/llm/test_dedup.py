@@ -140,7 +140,72 @@ def test_common_shingles(a, b, strip):
 def test_keep_one_of_a_component(docs, rows):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} - {None} == {i for (i, _, c) in near_truth(rows, 5, 80) if i == c} - {None}
+    got = [r.doc_id for r in kept.collect()]
+    linked = [t for t in near_truth(rows, 5, 80).elements() if t[1]]
+    # one row of each component; of rows without shingles, each
+    assert sorted(x for x in got if x is not None) == sorted({i for i, _, c in linked if i == c and i is not None} | {r[0] for r in rows if not shingles(r[1], 5)})
+
+
+def test_one_row_stays_of_null_ids_and_of_ids_with_several_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), "  ".join(words), " ".join(words[:-1])]
+    for ids in ((None, None, None), (4, 4, 4)):
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(ids, texts))] + [(ids[0], texts[0], 9)], "doc_id long, text string, other long")
+        assert near_dedup.keep_one(docs).count() == 1
+        assert exact_dedup.keep_one(docs).count() == 2
+
+
+def order_rows(n, seed):
+    """Rows of sorted orders in which most are alike: few first MinHashes, and sketches a few bits apart."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2, near_dedup.HASHES)
+    out = []
+    for i in range(n):
+        bits = base ^ (rng.random(near_dedup.HASHES) < 0.05)
+        prefix = np.array([rng.integers(0, 4), *rng.integers(0, 9, near_dedup.DEPTH - 1)], ">u4").tobytes()
+        out.append((int(rng.integers(0, 2)), prefix, int(i).to_bytes(16, "big"), 100, near_dedup._sketch(bits[None].astype(np.uint32)).tobytes()))
+    return sorted(out)
+
+
+def test_neighbours_are_the_same_wherever_partitions_and_batches_end(spark, monkeypatch):
+    rows = order_rows(3000, 8)
+
+    def found(parts):
+        df = spark.createDataFrame(rows, "tree int, prefix binary, node binary, n_shingles long, sketch binary")
+        df = df.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
+        near = df.mapInArrow(near_dedup._neighbours(85), near_dedup.NEAR).cache()
+        over = near.where("x IS NULL").drop("x", "y", "agree").groupBy("border").applyInArrow(near_dedup._over_border(85), "x binary, y binary, agree long")
+        return {(bytes(r.x), bytes(r.y), r.agree) for r in near.where("x IS NOT NULL").select("x", "y", "agree").unionByName(over).collect()}
+
+    whole = found(1)
+    assert len(whole) > 3000
+    assert found(3) == found(8) == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "170")
+    try:
+        assert found(4) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("parts", [7])
+def test_links_found_in_dense_groups_at_the_threshold(spark, parts):
+    """Groups of many texts that differ from one text in few places: of all links, those within found components are 0.9 at least."""
+    rng = random.Random(17)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}v{i}" for i in range(90)]
+        for i in range(250):
+            words = base.copy()
+            for k in rng.sample(range(90), rng.choice((1, 2, 3))):
+                words[k] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 3, 85).collect()
+    component = {r.doc_id: r.component_id for r in got}
+    sets = [shingles(t, 3) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i - i % 250, i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(links) > 1000
+    assert sum(component[i] == component[j] for i, j in links) >= 0.9 * len(links)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_truth(rows, 3, 85)
 
 
 def test_components_of_paths_stars_and_rings(spark):
