@@ -1,14 +1,17 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark and stored as sorted hash arrays.
 
-Map tasks count their own bigrams and send them, packed, to shards of context hashes. A shard adds them up, writes its
-grams and contexts as sorted arrays, and sends each word's counts and numbers of different contexts on to
-shards of word hashes, which write the word arrays. Only counts of counts come to the driver. Workers map the arrays into
+Map tasks count their own bigrams and send them, packed, to shards of gram hashes over hops of bounded fan-out (see routing). A
+shard adds them up, writes its grams as sorted arrays, and sends what it has of each word (its uses and the different contexts
+before it; as a context, its total and how many grams of it have the counts 1, 2 and more) on to
+shards of word hashes, which write the word arrays. A frequent context's grams lie in all shards, and what comes together of
+a word is one row a shard. Only counts of counts and the names of the shards come to the driver. Workers map the arrays into
 memory and look up the sorted grams of many documents at once.
 
 The arrays' folder has to be a path that all machines mount (the shared folder, as a file: path), since workers
-map its files; each task writes its file under another name first, so a task that runs again does no harm.
+map its files; each task writes its file under another name first, so a task that runs again does no harm. A file that should be
+there and isn't raises.
 
-Words are 48-bit hashes; a gram is its context's rank within the shard and 32 bits of its word.
+Words and grams are told by 64-bit hashes; counts have 64 bits.
 Defined results: null and empty texts are one token, the end; rows that repeat are counted and scored as often as they come;
 a null doc_id counts as empty text for the fold; no training rows give every token the same probability.
 """
@@ -22,19 +25,28 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotscope.llm import golomb
 from slotscope.llm.labelled import fold
+from slotscope.llm.routing import MESSAGE, Routes, gather, plan_routes
 from slotscope.llm.shared import n_parts, new_folder
-from slotscope.llm.words import words_of
+from slotscope.llm.words import mix, stream, words_of
 
-#: Hashes of the end token, and of what stands before a text.
-END, BEGIN = np.uint64(0xE17D << 32 | 0x51), np.uint64(0xB169 << 32 | 0x52)
+#: Hashes of the end token, and of what stands before a text; and what makes a gram's hash of its words'.
+END, BEGIN, CONTEXT = (stream(3, 41) | np.uint64(1)).tolist()
 #: Tokens that a map task counts together, and bytes of text that are scored together.
 COUNTED_TOKENS, SCORED_BYTES = 3_000_000, 4 << 20
 SHARD_BYTES = 16 << 20
+#: What is known of a word: its uses, the different words before it; as a context its total, and its grams with the counts 1, 2 and more.
+OF_WORD = ("uses", "lefts", "total", "ones", "twos", "more")
+
+
+def gram_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(before * np.uint64(CONTEXT) + words)
 
 
 def _tokens(column, most_bytes: int):
@@ -44,7 +56,7 @@ def _tokens(column, most_bytes: int):
         words = np.empty(len(hashes) + n, np.uint64)
         is_end = np.zeros(len(words), bool)
         is_end[at[1:] - 1] = True
-        words[~is_end] = hashes >> np.uint64(16)
+        words[~is_end] = hashes
         words[is_end] = END
         before = np.empty_like(words)
         before[1:] = words[:-1]
@@ -52,56 +64,75 @@ def _tokens(column, most_bytes: int):
         yield i, n, words, before, at
 
 
-def _owner_ends(words: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(golomb.owners(words << np.uint64(16), n), np.arange(n + 1))
-
-
-def _pack(parts: list[np.ndarray], press) -> bytes:
-    return press.compress(b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *(p.tobytes() for p in parts)]))
+def _pack(columns: list[np.ndarray], press) -> bytes:
+    """Columns of numbers of 0 or more, each byte by byte of all its numbers, without the bytes that are 0 in all of them."""
+    parts = [np.array([len(columns), *map(len, columns)], np.int64).tobytes()]
+    for c in columns:
+        c = c.astype(np.uint64)
+        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        parts += [bytes([width]), np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return press.compress(b"".join(parts))
 
 
-def _unpack(blob: bytes, kinds: tuple, open_up) -> list[np.ndarray]:
+def _unpack(blob: bytes, open_up) -> list[np.ndarray]:
     body = open_up.decompress(blob)
-    at, out = 8 * len(kinds), []
-    for n, kind in zip(np.frombuffer(body, np.int64, len(kinds)), kinds, strict=True):
-        out.append(np.frombuffer(body, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+    k = int(np.frombuffer(body, np.int64, 1)[0])
+    at, out = 8 * (k + 1), []
+    for n in np.frombuffer(body, np.int64, k, 8).tolist():
+        width = body[at]
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = np.frombuffer(body, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(whole.view(np.uint64).ravel())
+        at += 1 + n * width
     return out
 
 
-def _six_bytes(words: np.ndarray) -> np.ndarray:
-    """48-bit words without their empty bytes, byte by byte of all of them."""
-    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :6].T).ravel()
-
-
-def _whole_words(six: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(six) // 6, 8), np.uint8)
-    out[:, :6] = six.reshape(6, -1).T
-    return out.view(np.uint64).ravel()
-
-
-def _count(n_shards: int):
-    def flush(words: list[np.ndarray], before: list[np.ndarray], press):
+def _begins(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
+def _gram_messages(routes: Routes, sender: int, group: int, level: int, of: int, before: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Messages about different grams: a dictionary of the words that occur, the places in it of context and word, and the counts."""
+    press = zstandard.ZstdCompressor(level=1)
+    hashes = gram_hash(before, words)
+    order = np.argsort(hashes)
+    cuts = routes.cuts(hashes[order], level, of)
+    parts, blobs = np.flatnonzero(np.diff(cuts)), []
+    for k in parts:
+        mine = order[cuts[k] : cuts[k + 1]]
+        named, place = np.unique(np.concatenate([before[mine], words[mine]]), return_inverse=True)
+        u, w = place[: len(mine)], place[len(mine) :]
+        nearest = np.argsort(u * len(named) + w)
+        blobs.append(_pack([named, np.diff(u[nearest], prepend=0), w[nearest], counts[mine][nearest]], press))
+    return routes.messages(sender, group, level, [int(k) + of * routes.fan for k in parts], blobs)
+
+
+def _grams(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams of messages, in the order of their hashes: hash, context, word, count."""
+    open_up = zstandard.ZstdDecompressor()
+    found = []
+    for blob in messages.column("blob").to_pylist():
+        named, steps, w, n = _unpack(blob, open_up)
+        found.append((named[np.cumsum(steps).astype(np.int64)], named[w.astype(np.int64)], n.astype(np.int64)))
+    before, words, counts = (np.concatenate([f[k] for f in found]) for k in range(3))
+    hashes = gram_hash(before, words)
+    order = np.argsort(hashes)
+    first = _begins(hashes[order])
+    mine = order[first]
+    return hashes[mine], before[mine], words[mine], np.add.reduceat(counts[order], first)
+
+
+def _count(routes: Routes):
+    def flush(sender: int, words: list[np.ndarray], before: list[np.ndarray]) -> pa.Table:
         named, place = np.unique(np.concatenate([*words, *before]), return_inverse=True)
         half = len(place) // 2
-        keys = np.sort((place[half:].astype(np.uint64) << np.uint64(32)) | place[:half].astype(np.uint64))
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(new, append=len(keys)).astype(np.uint32)
-        keys = keys[new]
-        context, word = named[keys >> np.uint64(32)], named[keys & np.uint64(0xFFFFFFFF)]
-        ends = _owner_ends(context, n_shards)
-        shards, blobs = [], []
-        for k in range(n_shards):
-            part = slice(ends[k], ends[k + 1])
-            if ends[k] < ends[k + 1]:
-                u = context[part]
-                first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-                shards.append(k)
-                blobs.append(_pack([u[first], np.diff(first, append=len(u)).astype(np.uint32), _six_bytes(word[part]), counts[part]], press))
-        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "grams"])
+        keys = np.sort(place[half:].astype(np.int64) * len(named) + place[:half])
+        first = _begins(keys)
+        counts, keys = np.diff(first, append=len(keys)), keys[first]
+        return _gram_messages(routes, sender, sender, 1, 0, named[keys // len(named)], named[keys % len(named)], counts)
 
     def count(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        sender = TaskContext.get().partitionId() << 24
         words, before, held = [], [], 0
         for batch in batches:
             for _, _, w, u, _ in _tokens(batch.column(0), 1 << 20):
@@ -109,14 +140,27 @@ def _count(n_shards: int):
                 before.append(u)
                 held += len(w)
                 if held >= COUNTED_TOKENS:
-                    yield flush(words, before, press)
-                    words, before, held = [], [], 0
+                    yield from flush(sender, words, before).to_batches()
+                    words, before, held, sender = [], [], 0, sender + 1
         if held:
-            yield flush(words, before, press)
+            yield from flush(sender, words, before).to_batches()
 
     return count
 
 
+def _merge_grams(routes: Routes):
+    def merge(level: int):
+        def merged(messages: pa.Table) -> pa.Table:
+            hop = messages.column("to")[0].as_py()
+            group, part = routes.place(hop, level)
+            _, before, words, counts = _grams(messages)
+            return _gram_messages(routes, hop, group, level + 1, part, before, words, counts)
+
+        return merged
+
+    return merge
+
+
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Writes an array so that it is there whole or not at all."""
     path = os.path.join(folder, f"{name}.npy")
@@ -126,62 +170,86 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(partial, path)
 
 
-def _merge_grams(folder: str, n_shards: int):
-    """Adds a shard's grams up and writes them; sends its words' counts on, and its counts of counts."""
-
-    def merge(rows: pa.Table) -> pa.Table:
-        open_up, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        shard = rows.column("shard")[0].as_py()
-        contexts, words, counts = [], [], []
-        for blob in rows.column("grams").to_pylist():
-            u, n, six, c = _unpack(blob, (np.uint64, np.uint32, np.uint8, np.uint32), open_up)
-            contexts.append(np.repeat(u, n))
-            words.append(_whole_words(six))
-            counts.append(c.astype(np.int64))
-        contexts, words, counts = (np.concatenate(x) for x in (contexts, words, counts))
-        order = np.lexsort((words, contexts))
-        contexts, words, counts = contexts[order], words[order], counts[order]
-        new = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])]))
-        counts = np.add.reduceat(counts, new)
-        contexts, words = contexts[new], words[new]
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-        rank = np.cumsum(np.concatenate([[0], contexts[1:] != contexts[:-1]])).astype(np.uint64)
-        _save(folder, f"context-{shard}", contexts[first])
-        _save(folder, f"total-{shard}", np.add.reduceat(counts, first))
-        for name, mine in (("ones", counts == 1), ("twos", counts == 2), ("more", counts > 2)):
-            _save(folder, f"{name}-{shard}", np.add.reduceat(mine.astype(np.int32), first, dtype=np.int32))
-        _save(folder, f"gram-{shard}", (rank << np.uint64(32)) | (words >> np.uint64(16)))
-        _save(folder, f"count-{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-        named, place = np.unique(words, return_inverse=True)
-        uses, before = np.bincount(place, weights=counts).astype(np.int64), np.bincount(place).astype(np.int64)
-        ends = _owner_ends(named, n_shards)
-        to = [k for k in range(n_shards) if ends[k] < ends[k + 1]]
-        blobs = [_pack([_six_bytes(named[ends[k] : ends[k + 1]]), uses[ends[k] : ends[k + 1]].astype(np.uint32), before[ends[k] : ends[k + 1]].astype(np.uint32)], press) for k in to]
-        of = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
-        n = len(to)
-        return pa.table({"shard": pa.array(to, pa.int64()), "words": pa.array(blobs, pa.binary()), "counts": pa.array([of if i == 0 else [0] * 4 for i in range(n)], pa.list_(pa.int64()))})
+def _least_type(values: np.ndarray) -> np.dtype:
+    return np.min_scalar_type(int(values.max()) if len(values) else 0)
+
+
+def _word_messages(routes: Routes, sender: int, group: int, level: int, of: int, words: np.ndarray, known: list[np.ndarray], of_counts: np.ndarray, shards: np.ndarray) -> pa.Table:
+    """Messages about sorted words; the first also has counts of counts and the gram shards that they are of."""
+    press = zstandard.ZstdCompressor(level=1)
+    cuts = routes.cuts(words, level, of)
+    parts, blobs = np.flatnonzero(np.diff(cuts)), []
+    for i, k in enumerate(parts):
+        mine = slice(cuts[k], cuts[k + 1])
+        rest = [of_counts, shards] if i == 0 else [np.zeros(4, np.int64), np.zeros(0, np.int64)]
+        blobs.append(_pack([words[mine], *(x[mine] for x in known), *rest], press))
+    return routes.messages(sender, group, level, [int(k) + of * routes.fan for k in parts], blobs)
+
+
+def _words(messages: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different words of messages, sorted, with what is known of each added up; counts of counts; gram shards."""
+    open_up = zstandard.ZstdDecompressor()
+    found = [_unpack(blob, open_up) for blob in messages.column("blob").to_pylist()]
+    words = np.concatenate([f[0] for f in found])
+    order = np.argsort(words)
+    first = _begins(words[order])
+    known = [np.add.reduceat(np.concatenate([f[1 + k] for f in found])[order].astype(np.int64), first) for k in range(len(OF_WORD))]
+    return words[order][first], known, np.sum([f[-2].astype(np.int64) for f in found], axis=0), np.concatenate([f[-1] for f in found]).astype(np.int64)
+
+
+def _store_grams(folder: str, routes: Routes):
+    """Adds a shard's grams up and writes them; sends what it knows of their words on."""
+
+    def store(messages: pa.Table) -> pa.Table:
+        shard = messages.column("to")[0].as_py()
+        hashes, before, words, counts = _grams(messages)
+        _save(folder, f"gram-{shard}", hashes)
+        _save(folder, f"count-{shard}", counts.astype(_least_type(counts)))
+        named, place = np.unique(np.concatenate([words, before]), return_inverse=True)
+        w, u, n = place[: len(words)], place[len(words) :], len(named)
+        known = [np.zeros(n, np.int64) for _ in OF_WORD]
+        np.add.at(known[0], w, counts)
+        np.add.at(known[2], u, counts)
+        for k, of, mine in ((1, w, counts > 0), (3, u, counts == 1), (4, u, counts == 2), (5, u, counts > 2)):
+            known[k] = np.bincount(of[mine], minlength=n)
+        return _word_messages(routes, shard, shard, 1, 0, named, known, np.bincount(np.minimum(counts, 5), minlength=6)[1:5], np.array([shard]))
+
+    return store
+
+
+def _merge_words(routes: Routes):
+    def merge(level: int):
+        def merged(messages: pa.Table) -> pa.Table:
+            hop = messages.column("to")[0].as_py()
+            group, part = routes.place(hop, level)
+            return _word_messages(routes, hop, group, level + 1, part, *_words(messages))
+
+        return merged
 
     return merge
 
 
-def _merge_words(folder: str):
+PARTS = "shard long, n long, tokens long, grams long, of_grams array<long>, of_words array<long>, gram_shards array<long>"
+
+
+def _store_words(folder: str):
     """Adds a shard's words up and writes them; returns what the driver needs of them."""
 
-    def merge(rows: pa.Table) -> pa.Table:
-        open_up = zstandard.ZstdDecompressor()
-        shard = rows.column("shard")[0].as_py()
-        parts = [_unpack(b, (np.uint8, np.uint32, np.uint32), open_up) for b in rows.column("words").to_pylist()]
-        words, place = np.unique(np.concatenate([_whole_words(p[0]) for p in parts]), return_inverse=True)
-        uses = np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-        before = np.bincount(place, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
+    def store(messages: pa.Table) -> pa.Table:
+        shard = messages.column("to")[0].as_py()
+        words, known, of_grams, gram_shards = _words(messages)
+        values = np.zeros(len(words), [(name, _least_type(x)) for name, x in zip(OF_WORD, known, strict=True)])
+        for name, x in zip(OF_WORD, known, strict=True):
+            values[name] = x
         _save(folder, f"word-{shard}", words)
-        _save(folder, f"uses-{shard}", uses)
-        _save(folder, f"before-{shard}", before)
-        of_grams = np.sum([x for x in rows.column("counts").to_pylist()], axis=0).tolist()
-        of_words = [*np.bincount(np.minimum(before, 5), minlength=6)[1:5].tolist(), int(np.sum(before > 2))]
-        return pa.table({"n": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(uses.sum())], pa.int64()), "grams": pa.array([int(before.sum())], pa.int64()), "of_grams": pa.array([of_grams], pa.list_(pa.int64())), "of_words": pa.array([of_words], pa.list_(pa.int64()))})
+        _save(folder, f"known-{shard}", values)
+        uses, lefts = known[0], known[1]
+        of_words = [*np.bincount(np.minimum(lefts, 5), minlength=6)[1:5].tolist(), int(np.sum(lefts > 2))]
+        numbers = [shard, int(np.sum(uses > 0)), int(uses.sum()), int(lefts.sum())]
+        lists = [of_grams.tolist(), of_words, gram_shards.tolist()]
+        return pa.table({n: pa.array([x], t) for n, x, t in zip((c.split()[0] for c in PARTS.split(", ")), numbers + lists, [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3, strict=True)})
 
-    return merge
+    return store
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -196,6 +264,9 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     folder: str
     n_shards: int
+    #: The shards that have files.
+    gram_shards: frozenset[int] = frozenset()
+    word_shards: frozenset[int] = frozenset()
     tokens: int = 0
     n_words: int = 0
     n_grams: int = 0
@@ -209,52 +280,42 @@ class Model:
         return self.__dict__ | {"_arrays": {}}
 
     def array(self, name: str, shard: int) -> np.ndarray:
-        """A stored array, mapped into memory; empty if the shard has none."""
+        """A stored array, mapped into memory."""
         key = (name, shard)
         if key not in self._arrays:
-            path = os.path.join(self.folder, f"{name}-{shard}.npy")
-            self._arrays[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            self._arrays[key] = np.load(os.path.join(self.folder, f"{name}-{shard}.npy"), mmap_mode="r")
         return self._arrays[key]
 
-    def find(self, names: tuple[str, ...], words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Place of sorted words within their shard's first array (-1: not there), and the other arrays' values there (0)."""
-        place, values = np.full(len(words), -1, np.int64), [np.zeros(len(words), np.int64) for _ in names[1:]]
-        ends = _owner_ends(words, self.n_shards)
-        for k in np.flatnonzero(np.diff(ends)):
-            part, known = slice(ends[k], ends[k + 1]), self.array(names[0], k)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, words[part]), len(known) - 1)
-                hit = known[at] == words[part]
-                place[part] = np.where(hit, at, -1)
-                for out, name in zip(values, names[1:], strict=True):
-                    out[part] = np.where(hit, self.array(name, k)[at], 0)
-        return place, values
+    def find(self, keys: str, values: str, shards: frozenset[int], wanted: np.ndarray):
+        """For each shard with some of the sorted hashes: where they stand among those wanted, and the shard's values for them."""
+        ends = np.searchsorted(golomb.owners(wanted, self.n_shards), np.arange(self.n_shards + 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            if k in shards:
+                known, mine = self.array(keys, k), wanted[ends[k] : ends[k + 1]]
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                hit = np.flatnonzero(known[at] == mine)
+                yield ends[k] + hit, self.array(values, k)[at[hit]]
 
     def log_probabilities(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token its log10 probability after the word before it, and its count in training."""
         named, place = np.unique(np.concatenate([words, before]), return_inverse=True)
-        half = len(words)
-        _, (uses, lefts) = self.find(("word", "uses", "before"), named)
-        rank, (total, ones, twos, more) = self.find(("context", "total", "ones", "twos", "more"), named)
+        w, u = place[: len(words)], place[len(words) :]
+        uses, lefts, total, ones, twos, more = known = [np.zeros(len(named), np.int64) for _ in OF_WORD]
+        for at, values in self.find("word", "known", self.word_shards, named):
+            for x, name in zip(known, OF_WORD, strict=True):
+                x[at] = values[name]
+        grams, gram = np.unique(gram_hash(before, words), return_inverse=True)
+        counts = np.zeros(len(grams), np.int64)
+        for at, values in self.find("gram", "count", self.gram_shards, grams):
+            counts[at] = values
         d = np.array([0.0, *self.word_discounts])
         single = np.maximum(lefts - d[np.minimum(lefts, 3)], 0) / max(self.n_grams, 1) + self.left / (self.n_words + 1)
-        keys, where = np.unique((place[half:].astype(np.uint64) << np.uint64(32)) | place[:half].astype(np.uint64), return_inverse=True)
-        u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        count = np.zeros(len(keys), np.int64)
-        ends = np.searchsorted(u, _owner_ends(named, self.n_shards))
-        for k in np.flatnonzero(np.diff(ends)):
-            part = np.arange(ends[k], ends[k + 1])
-            part = part[rank[u[part]] >= 0]
-            grams = self.array("gram", k)
-            if len(part) and len(grams):
-                wanted = (rank[u[part]].astype(np.uint64) << np.uint64(32)) | (named[w[part]] >> np.uint64(16))
-                at = np.minimum(np.searchsorted(grams, wanted), len(grams) - 1)
-                count[part] = np.where(grams[at] == wanted, self.array("count", k)[at], 0)
         d = np.array([0.0, *self.gram_discounts])
         seen = np.maximum(total, 1)
         share = np.where(total > 0, (ones * d[1] + twos * d[2] + more * d[3]) / seen, 1.0)
-        p = np.where(total[u] > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / seen[u], 0.0) + share[u] * single[w]
-        return np.log10(p)[where], uses[place[:half]]
+        c = counts[gram]
+        p = np.where(total[u] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / seen[u], 0.0) + share[u] * single[w]
+        return np.log10(p), uses[w]
 
 
 def local_path(folder: str) -> str:
@@ -267,16 +328,20 @@ def local_path(folder: str) -> str:
 def train(docs: DataFrame, folder: str) -> Model:
     """A model of all docs' texts, its arrays in folder."""
     n = n_parts(docs, SHARD_BYTES)
+    routes = plan_routes(n, n)
     path = local_path(folder)
     os.makedirs(path, exist_ok=True)
-    grams = docs.select("text").mapInArrow(_count(n), "shard long, grams binary")
-    words = grams.groupBy("shard").applyInArrow(_merge_grams(path, n), "shard long, words binary, counts array<long>")
-    parts = words.groupBy("shard").applyInArrow(_merge_words(path), "n long, tokens long, grams long, of_grams array<long>, of_words array<long>")
-    total = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "tokens", "grams")), *(F.coalesce(F.sum(F.col("of_grams")[i]), F.lit(0)).alias(f"g{i}") for i in range(4)), *(F.coalesce(F.sum(F.col("of_words")[i]), F.lit(0)).alias(f"w{i}") for i in range(5))).first()
-    model = Model(path, n, total["tokens"], total["n"], total["grams"], discounts([total[f"g{i}"] for i in range(4)]), discounts([total[f"w{i}"] for i in range(4)]))
+    grams = docs.select("text").mapInArrow(_count(routes), MESSAGE)
+    words = gather(grams, routes, _merge_grams(routes), _store_grams(path, routes), MESSAGE)
+    parts = gather(words, routes, _merge_words(routes), _store_words(path), PARTS).collect()  # a row a shard
+    total = lambda c: sum(r[c] for r in parts)
+    each = lambda c, k: [sum(r[c][i] for r in parts) for i in range(k)]
+    of_words = each("of_words", 5)
+    shards = frozenset(k for r in parts for k in r["gram_shards"])
+    model = Model(path, routes.fan**routes.levels, shards, frozenset(r["shard"] for r in parts), total("tokens"), total("n"), total("grams"), discounts(each("of_grams", 4)), discounts(of_words[:4]))
     if model.n_grams:
         d = model.word_discounts
-        model.left = (d[0] * total["w0"] + d[1] * total["w1"] + d[2] * total["w4"]) / model.n_grams
+        model.left = (d[0] * of_words[0] + d[1] * of_words[1] + d[2] * of_words[4]) / model.n_grams
     return model
 
 
