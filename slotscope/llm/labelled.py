@@ -12,17 +12,30 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Bytes of text that a sample holds at most, half of it for each class; and of one document.
+SAMPLE_BYTES, DOCUMENT_BYTES = 128 << 20, 4 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
     """docs with label_value, for at most `rows` labelled documents of each class, those of the smallest id hashes; and each class's size.
 
-    Rows whose fold of five is 0 are held out. The sample's ids are bounded by `rows`, so they are broadcast.
+    Rows whose fold of five is 0 are held out. The sample is bounded by `rows` and by SAMPLE_BYTES: documents that would exceed these bytes, or
+    have more than DOCUMENT_BYTES, are left out of it. So its ids may be broadcast, and its words fit the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label_value"))
     sizes = {r["label_value"]: r["n"] for r in known.groupBy("label_value").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(5), "doc_id")
     chosen = [known.where(F.col("label_value") == v).withColumn("rank_hash", order).orderBy("rank_hash", "doc_id").limit(rows) for v in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("labelled_id"), "label_value")
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id"), sizes
+    ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("labelled_id"), "label_value", "rank_hash")
+    met = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
+    measured = met.groupBy("labelled_id", "label_value", "rank_hash").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("n")).collect()
+    fits, left = [], {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}
+    for r in sorted(measured, key=lambda r: (r["rank_hash"], r["labelled_id"])):
+        if r["n"] <= min(left[r["label_value"]], DOCUMENT_BYTES):
+            left[r["label_value"]] -= r["n"]
+            fits.append((r["labelled_id"], r["label_value"]))
+    fitting = docs.sparkSession.createDataFrame(fits, f"labelled_id {dict(labels.dtypes)['doc_id']}, label_value int")
+    return docs.join(F.broadcast(fitting), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id"), sizes
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(table(spark, sf_dir, "documents")).drop("copies", "uid")
+    return taken_words(table(spark, sf_dir, "documents")).drop("uid")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """Without a cache's path the cache is a new one."""
     import public_tokenizers
 
-    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_folder(spark, "token-cache"))
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache or new_folder(spark, "token-cache"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
@@ -81,10 +82,12 @@ URL_LIST = (
     ("ththth.example.org", "2024-03-01", None),
 )
 
+_listed = ",\n  ".join(f"('{k}', DATE '{d}', {'NULL' if c is None else repr(c)})" for k, d, c in URL_LIST)
+
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no fetch time; page p is taken as fetched p * 37 mod 366 days into 2024."""
-    entries = spark.createDataFrame(URL_LIST, "key string, day string, category string").select("key", F.to_date("day").alias("dated"), "category")
+    entries = spark.sql(f"SELECT * FROM VALUES {_listed} AS listed(key, dated, category)")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
     found = url_filter(table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched")), entries)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -138,7 +141,6 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)""",
 }
 
-_listed = ",\n  ".join(f"('{k}', DATE '{d}', {'NULL' if c is None else repr(c)})" for k, d, c in URL_LIST)
 SQL["op9_url_filters"] = rf"""
 WITH entries(key, since, category) AS (VALUES
   {_listed}
@@ -146,7 +148,7 @@ WITH entries(key, since, category) AS (VALUES
   SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM entries) WHERE category IS NOT NULL
 ), captures AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched,
-         regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '') AS url_host
+         regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', ''), '\.$', '') AS url_host
   FROM pages
 ), held AS (
   SELECT page_id, url_host, fetched, key, since, category, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC NULLS LAST) AS nth

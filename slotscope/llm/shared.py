@@ -63,15 +63,16 @@ def stash(df: DataFrame, kind: str) -> DataFrame:
 def n_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for work on df: the session's shuffle partitions, and more where df's bytes ask for them.
 
-    Files have an estimate of their stored bytes. What was made from rows of the driver or from an RDD has an absurdly large
-    one; its texts are measured, and count for half.
+    Files count by their stored bytes. What was made from rows of the driver or from an RDD has no estimate; then
+    the texts themselves are measured, and count for half.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if estimate >= 1 << 60:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    estimate = sum(sizes)
+    if any(n >= 1 << 60 for n in sizes):
         texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
-        estimate = df.agg(F.sum(sum(texts, F.lit(16)))).first()[0] or 0
-        estimate //= 2
+        estimate = (df.agg(F.sum(sum(texts, F.lit(16)))).first()[0] or 0) // 2
     return max(least, estimate // bytes_each)
 
 
