@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slotscope.llm import decontaminate, language_model, mixing, quality, token_counts, toxicity, url_filter
+from slotscope.llm import decontaminate, language_model, mixing, quality, routing, token_counts, toxicity, url_filter
 from slotscope.llm.labelled import fit_scale
 from slotscope.llm.queries import SQL, QUERIES
 
@@ -74,17 +75,50 @@ def test_mixing_of_many_blocks_draws_each_disjointly(spark, monkeypatch):
     assert all(abs(taken[s] - wanted[s]) <= 16 for s in wanted)
 
 
+def test_mixing_of_more_shards_than_slices_have_blocks(spark, monkeypatch):
+    """Slices of two blocks, nodes dealt out after each level, many small shards: none has more than its even part of the blocks and one."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(mixing, "SLICE_BLOCKS", 2)
+    monkeypatch.setattr(mixing, "DEALT_LEVELS", 1)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 7 + 1)), "hot" if i % 3 else f"s{i % 2}") for i in range(400)], "doc_id long, text string, source string")
+    slim = mixing.sized(docs, 7)
+    targets = mixing.source_targets(slim)
+    got = mixing.mix(slim, targets, 3, shard_words=40).collect()
+    assert len({(r.uid, r.copy) for r in got}) == len(got)
+    blocks = defaultdict(set)
+    for r in got:
+        blocks[r.shard].add((r.sid, r.block, r.copy))
+    sizes = [len(b) for b in blocks.values()]
+    assert len(sizes) > 50 and max(sizes) - min(sizes) <= 3
+    taken, wanted = Counter(), {r.sid: r.target for r in targets.collect()}
+    for r in got:
+        taken[r.sid] += r["size"]
+    assert all(abs(taken[s] - wanted[s]) <= 4 for s in wanted)
+
+
+def test_rows_of_one_id_and_text_keep_their_own_source(spark):
+    rows = [(1, "a b c", "s1"), (1, "a b c", "s2"), (1, "a b c", "s2"), (None, "d e f", "s1"), (None, "d e f", "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        copies[(r.doc_id, r.text, r.source)] += 1
+    slim, _, places = mixing.mix_documents(docs)
+    named = {r.uid: (r.doc_id, r.source) for r in slim.collect()}
+    wanted = Counter(named[r.uid] for r in places.collect())
+    assert {(i, s): n for (i, _, s), n in copies.items()} == dict(wanted)
+
+
 def test_splitting_keeps_quotas_and_follows_the_hypergeometric_law(spark):
     quotas = spark.createDataFrame([(0, 40), (1, 25), (2, 0), (3, 7)], "sid long, quota long")
     got = mixing.shard_quotas(quotas, 5, 3).collect()
     for sid, quota in ((0, 40), (1, 25), (2, 0), (3, 7)):
-        mine = [r.n_blocks for r in got if r.sid == sid]
-        assert len(mine) == 5 and sum(mine) == quota and min(mine) >= 0
-    assert max(Counter(r.shard for r in got).values()) == 4
+        mine = sorted((r["first"], r.n_blocks) for r in got if r.sid == sid)
+        assert sum(n for _, n in mine) == quota and all(n > 0 for _, n in mine)
+        assert [f for f, _ in mine] == [sum(n for _, n in mine[:i]) for i in range(len(mine))]  # disjoint stretches that cover all blocks
     total = Counter()
     for r in got:
         total[r.shard] += r.n_blocks
-    assert max(total.values()) - min(total.values()) <= 3
+    assert len(total) == 5 and max(total.values()) - min(total.values()) <= 3
     n, k, d = 60, 20, 15
     draws = spark.range(4000).select(mixing.hypergeometric((F.col("id") + 0.5) / 4000, F.lit(n), F.lit(k), F.lit(d)).alias("x")).groupBy("x").count().collect()
     for r in draws:
@@ -156,6 +190,26 @@ def test_token_counts_and_their_cache(spark, docs, no_docs, rows, tmp_path):
     assert count(more) == Counter([(1, 19, len(coder.encode("a new text </s> <s>"))), (2, len(rows[0][1].encode()), len(coder.encode(rows[0][1])))])
     assert spark.read.parquet(cache).count() == stored + 1
     assert count(no_docs) == Counter()
+    # an empty folder is an empty cache; what a broken append left isn't read
+    path_of = tmp_path / "empty"
+    broken = path_of / "_temporary" / "0" / "_temporary" / "attempt_1"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"half")
+    cache = str(path_of)
+    assert count(more) == Counter([(1, 19, len(coder.encode("a new text </s> <s>"))), (2, len(rows[0][1].encode()), len(coder.encode(rows[0][1])))])
+
+
+def test_token_count_query_cold_and_warm(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    sf, cache = "/root/testdata/sf0.001", str(tmp_path / "cache")
+    coder = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    wanted = sorted((r.doc_id, len((r.text or "").encode()), n := len(coder.encode(r.text or "")), n > 4096) for r in docs)
+    for _ in ("cold", "warm"):
+        assert sorted(tuple(r) for r in QUERIES["op6_token_counts"](spark, sf, cache).collect()) == wanted
+        assert spark.read.parquet(cache).count() == len({r.text or "" for r in docs})
 
 
 @pytest.mark.parametrize("name", ["op7_toxicity", "op8_quality"])
@@ -257,6 +311,38 @@ def test_language_model(spark, docs, no_docs, rows, monkeypatch):
     assert {(r.train_tokens, r.n_known, r.score) for r in language_model.language_model(untrained).collect()} == {(0, 0, 0.0)}
 
 
+def test_language_model_over_hops(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(routing, "FAN", 2)
+    monkeypatch.setattr(language_model, "n_parts", lambda *_: 6)
+    monkeypatch.setattr(language_model, "COUNTED_TOKENS", 5_000)
+    got = language_model.language_model(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == language_truth(rows)
+
+
+def test_language_model_raises_where_an_array_is_missing(spark, tmp_path):
+    texts = spark.createDataFrame([("a b c d",), ("a b x",)], "text string")
+    model = language_model.train(texts, str(tmp_path))
+    shard = sorted(model.gram_shards)[0]
+    (tmp_path / f"gram-{shard}.npy").unlink()
+    scored = language_model.score(spark.createDataFrame([(1, "a b c d a b x", False)], "doc_id long, text string, held_out boolean"), model)
+    with pytest.raises(Exception, match="FileNotFound"):
+        scored.collect()
+
+
+def test_packed_columns_and_counts_beyond_32_bits():
+    import zstandard
+
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 2**64 - 1, 50, np.uint64), np.arange(50) + 2**33, np.zeros(0, np.int64), np.zeros(3, np.int64)]
+    got = language_model._unpack(language_model._pack(columns, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
+    assert all(np.array_equal(a.astype(np.uint64), b) for a, b in zip(columns, got, strict=True))
+    routes = routing.plan_routes(1, 1)
+    before, words, n = np.array([5, 5], np.uint64), np.array([8, 9], np.uint64), np.array([2**33, 1])
+    twice = pa.concat_tables([language_model._gram_messages(routes, k, k, 1, 0, before, words, n) for k in (0, 1)])
+    _, _, w, counts = language_model._grams(twice)
+    assert dict(zip(w.tolist(), counts.tolist())) == {8: 2**34, 9: 2}
+
+
 def test_language_model_needs_a_mounted_folder():
     assert language_model.local_path("file:///a%20b") == "/a b"
     with pytest.raises(ValueError):
