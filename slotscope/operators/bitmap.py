@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Details that an integrity scan lists.
 DETAILS = 256
 
 
@@ -84,6 +85,14 @@ def integrity(zones: DataFrame, records: DataFrame, capacity: int) -> DataFrame:
     return bad_zone.crossJoin(records.agg(F.count_if(broken).alias("corrupt_records"), F.count_if(F.col("owner") == 0).alias("zero_owner")))  # one row each
 
 
+def integrity_details(zones: DataFrame, records: DataFrame, capacity: int, most: int = DETAILS) -> DataFrame:
+    """What integrity counts, one by one: (kind, zone_id, unit_offset), the first `most` in order; of a snapshot the offset is -1."""
+    snapshots = zones.where(F.crc32("body") != F.col("checksum")).select(F.lit("corrupt_snapshot").alias("kind"), "zone_id", F.lit(-1).cast("long").alias("unit_offset"))
+    broken = (F.col("unit_count") <= 0) | (F.col("unit_offset") + F.col("unit_count") > capacity)
+    named = lambda kind: records.where(broken if kind == "corrupt_record" else F.col("owner") == 0).select(F.lit(kind).alias("kind"), "zone_id", "unit_offset")
+    return snapshots.unionByName(named("corrupt_record")).unionByName(named("zero_owner")).orderBy("kind", "zone_id", "unit_offset").limit(most)
+
+
 def free_runs(set_bits: DataFrame, capacity: int) -> DataFrame:
     """Stretches (first, length) of clear bits of each zone that has any bit set."""
     order = W.partitionBy("zone_id").orderBy("bit")

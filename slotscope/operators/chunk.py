@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Chunk states, and which commands they allow.
@@ -32,11 +33,9 @@ def fold_commands(commands: DataFrame) -> DataFrame:
 
 def chunks_of(strips: DataFrame) -> DataFrame:
     """Nested chunks from rows of strips; a strip's offset is the capacity of those before it."""
-    nested = strips.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("strip_index", "capacity", "segments"))).alias("strips"))
-    # every strip with the capacity before it, by a running sum over the ordered array
-    begin = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<struct<strip_index:bigint,capacity:bigint,chunk_offset:bigint,segments:array<bigint>>>").alias("out"))
-    step = lambda a, s: F.struct((a["upto"] + s["capacity"]).alias("upto"), F.concat(a["out"], F.array(F.struct(s["strip_index"].alias("strip_index"), s["capacity"].alias("capacity"), a["upto"].alias("chunk_offset"), s["segments"].alias("segments")))).alias("out"))
-    return nested.select("chunk_id", F.aggregate("strips", begin, step, lambda a: a["out"]).alias("strips"))
+    before = F.sum("capacity").over(W.partitionBy("chunk_id").orderBy("strip_index").rowsBetween(W.unboundedPreceding, -1))
+    placed = strips.withColumn("chunk_offset", F.coalesce(before, F.lit(0)).cast("long"))
+    return placed.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("strip_index", "capacity", "chunk_offset", "segments"))).alias("strips"))
 
 
 def segments(chunks: DataFrame) -> DataFrame:
@@ -64,12 +63,24 @@ def cascade(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_semi")
 
 
-def flatten_config(config: DataFrame) -> DataFrame:
-    """(path, value) of a config given as a map of maps."""
-    return config.select(F.explode("config").alias("section", "entries")).select("section", F.explode("entries").alias("name", "value")).select(F.concat_ws(".", "section", "name").alias("path"), "value")
+def flatten_config(config: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value) of JSON configs, however deep: a row for each value that isn't an object; a path's names are joined by dots. An empty object has no rows.
 
+    Each round opens the objects of one level; there are as many rounds as the deepest config has levels.
+    """
+    parsed = config.select(key, F.lit("").alias("path"), F.parse_json(text).alias("value"))
+    found, is_object = None, F.schema_of_variant("value").startswith("OBJECT")
+    while True:
+        leaves = parsed.where(~is_object).select(key, F.substring("path", 2, 1 << 20).alias("path"), F.col("value").try_cast("string").alias("value"))
+        found = leaves if found is None else found.unionByName(leaves)
+        opened = parsed.where(is_object)
+        if not opened.head(1):
+            return found
+        names = F.variant_get("value", "$", "map<string,variant>")
+        parsed = opened.select(key, "path", F.explode(names).alias("name", "inner")).select(key, F.concat("path", F.lit("."), "name").alias("path"), F.col("inner").alias("value"))
 
-def config_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Paths that were added, removed or changed."""
-    both = old.withColumnRenamed("value", "old").join(new.withColumnRenamed("value", "new"), "path", "full")
-    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"), "old", "new")
+
+def config_diff(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """Paths (of each key) that were added, removed or changed."""
+    both = old.withColumnRenamed("value", "old").join(new.withColumnRenamed("value", "new"), [*keys, "path"], "full")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(*keys, "path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"), "old", "new")

@@ -61,6 +61,6 @@ def commit_blocks(busy: DataFrame, committed: DataFrame) -> DataFrame:
 
 
 def workload(spark, n: int, key_space: int, read_percent: int, seed: int) -> DataFrame:
-    """n operations with keys drawn by hash from the key space, reads and writes mixed by percent."""
-    h = F.xxhash64(F.lit(seed), "id")
-    return spark.range(n).select("id", F.pmod(h, F.lit(key_space)).alias("key_id"), F.when(F.pmod(F.shiftrightunsigned(h, 32), F.lit(100)) < read_percent, "get").otherwise("put").alias("op"))
+    """n operations with keys drawn from the key space, reads and writes mixed by percent; draws are a linear congruence of the number and the seed."""
+    drawn = lambda salt: F.pmod(F.pmod(F.col("id") + seed, F.lit(1_000_003)) * 1_103_515_245 + salt * 12_345, F.lit(2_147_483_647))
+    return spark.range(n).select("id", (drawn(1) % key_space).alias("key_id"), F.when(drawn(2) % 100 < read_percent, "get").otherwise("put").alias("op"))

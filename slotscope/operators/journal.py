@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotscope.functions.hashing import crc32c
+
 
 class GapError(ValueError):
     """Slots below the retained log were asked for."""
@@ -35,17 +37,26 @@ def journal_scan(log: DataFrame, min_slot: int, max_slot: int = 0, prefix: str =
     return page.withColumn("truncated", F.count("*").over(W.partitionBy(F.lit(0))) >= limit)
 
 
+#: Levels of stretches that slots are looked at in; width to this power is far above any slot.
+LEVELS = 4
+
+
 def gaps(log: DataFrame, width: int = 1 << 14) -> DataFrame:
     """Missing stretches (first, last) of slots from 1 to the tip.
 
-    Gaps are found within stretches of `width` slots, in parallel; only the stretches' first and last slots are looked at in one order.
+    Gaps are found within stretches of `width` slots, in parallel; then, of stretches, first and last slots within stretches of `width` stretches, and so on. What is left
+    to be looked at in one order are the ends of at most tip / width ** LEVELS stretches.
     """
-    slots = log.where(F.col("slot") >= 1).select("slot").distinct().withColumn("stretch", F.floor(F.col("slot") / width))
-    before = F.lag("slot").over(W.partitionBy("stretch").orderBy("slot"))
-    within = slots.select("slot", before.alias("before"))
-    ends = slots.groupBy("stretch").agg(F.min("slot").alias("slot"), F.max("slot").alias("last"))
-    between = ends.select("slot", F.coalesce(F.lag("last").over(W.orderBy("stretch")), F.lit(0)).alias("before"))
-    return within.unionByName(between).where(F.col("slot") > F.col("before") + 1).select((F.col("before") + 1).alias("first_missing"), (F.col("slot") - 1).alias("last_missing"))
+    runs = log.where(F.col("slot") >= 1).select(F.col("slot").alias("first"), F.col("slot").alias("last")).distinct().withColumn("stretch", F.col("first"))
+    found = None
+    for _ in range(LEVELS):
+        runs = runs.withColumn("stretch", F.expr(f"stretch div {width}"))
+        before = F.lag("last").over(W.partitionBy("stretch").orderBy("first"))
+        within = runs.select("first", before.alias("before"))
+        found = within if found is None else found.unionByName(within)
+        runs = runs.groupBy("stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ends = runs.select("first", F.coalesce(F.lag("last").over(W.orderBy("stretch")), F.lit(0)).alias("before"))
+    return found.unionByName(ends).where(F.col("first") > F.col("before") + 1).select((F.col("before") + 1).alias("first_missing"), (F.col("first") - 1).alias("last_missing"))
 
 
 def frontier(log: DataFrame, width: int = 1 << 14) -> DataFrame:
@@ -80,11 +91,23 @@ def snapshot_watermarks(reports: DataFrame) -> DataFrame:
     return reports.groupBy("group_id").agg(F.least(local, peers).alias("watermark"))
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """records with ok: whether the payload's CRC-32C is the one that was stored."""
+    return records.withColumn("ok", crc32c("payload") == F.col("checksum"))
+
+
 def replay(records: DataFrame) -> DataFrame:
-    """Per group from checked records (group_id, segment, position, kind, term, slot, ok): what replay restores.
+    """Per group from checked records (group_id, segment, position, kind, term, slot, voted_for, sealed, ok): what replay restores.
 
-    Replay reads a group's records in order and stops at the first that fails its check.
+    A segment is read up to its first record that fails its check; what follows in it is cut off. In a sealed segment that isn't the group's last such
+    a record raises: the group has to be rebuilt from its peers. The vote is the latest of the highest term.
     """
-    bad = records.where(~F.col("ok")).groupBy("group_id").agg(F.min(F.struct("segment", "position")).alias("cut"))
-    good = records.join(bad, "group_id", "left").where(F.col("cut").isNull() | (F.struct("segment", "position") < F.col("cut")))
-    return good.groupBy("group_id").agg(F.max("term").alias("term"), F.count("*").alias("n_records"), F.max(F.when(F.col("kind") == "accepted", F.col("slot"))).alias("max_slot"), F.max(F.when(F.col("kind") == "vote", F.col("term"))).alias("voted_term"))
+    last = records.groupBy("group_id").agg(F.max("segment").alias("last_segment"))
+    bad = records.where(~F.col("ok")).groupBy("group_id", "segment").agg(F.min("position").alias("cut"))
+    met = records.join(bad, ["group_id", "segment"], "left").join(last, "group_id")
+    corrupt = F.col("cut").isNotNull() & F.col("sealed") & (F.col("segment") < F.col("last_segment"))
+    error = F.concat(F.lit("corruption in sealed segment "), F.col("segment").cast("string"), F.lit(" of group "), F.col("group_id").cast("string"))
+    good = met.withColumn("cut", F.when(corrupt, F.raise_error(error).cast("long")).otherwise(F.col("cut"))).where(F.col("cut").isNull() | (F.col("position") < F.col("cut")))
+    vote = F.max(F.when(F.col("kind") == "vote", F.struct("term", "segment", "position", "voted_for")))
+    found = good.groupBy("group_id").agg(F.max("term").alias("term"), F.count("*").alias("n_records"), F.max(F.when(F.col("kind") == "accepted", F.col("slot"))).alias("max_slot"), vote.alias("vote"))
+    return found.select("group_id", "term", "n_records", "max_slot", F.when(F.col("vote.term") == F.col("term"), F.col("vote.voted_for")).alias("voted_for"))

@@ -70,17 +70,36 @@ def scan_count(log: DataFrame, prefix: str = "", limit: int = 0) -> DataFrame:
     return n.select((F.least("n", F.lit(limit)) if limit else F.col("n")).alias("n"))
 
 
-def byte_budget_page(log: DataFrame, prefix: str, budget: int, most_rows: int) -> DataFrame:
+def byte_budget_page(log: DataFrame, prefix: str, budget: int) -> DataFrame:
     """Live rows in key order while keys and values fit the budget; the first row always does.
 
-    The running sum stands over the first most_rows rows alone, more of which no budget of so many bytes can hold.
+    The running sum stands over as many rows as the budget can hold, each of which has the prefix's bytes and one more at least.
     """
-    size = F.length("key") + F.length(F.col("value").cast("string"))
+    size = F.octet_length("key") + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))
+    most_rows = budget // max(1, len(prefix.encode())) + 1
     upto = W.orderBy("key").rowsBetween(W.unboundedPreceding, 0)
     ahead = live(in_range(log, prefix)).orderBy("key").limit(most_rows)
     return ahead.withColumn("bytes", F.sum(size).over(upto)).withColumn("place", F.row_number().over(W.orderBy("key"))).where((F.col("bytes") <= budget) | (F.col("place") == 1)).select("key", "slot", "value", F.col("bytes").cast("long").alias("bytes"))
 
 
+def numbered(rows: DataFrame, key: str, folder: str) -> DataFrame:
+    """rows with place, from 0 in order of key, without sorting them in one task: ranges of keys are sorted apart and numbered on top of the ranges before.
+
+    The sorted rows are written to folder, so that the ranges are the same when they are counted and when they are numbered.
+    """
+    sorted_rows = rows.repartitionByRange(key).sortWithinPartitions(key)
+    sorted_rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")).write.parquet(folder)
+    written = rows.sparkSession.read.parquet(folder)
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = written.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # a row a partition
+    return written.join(F.broadcast(offsets), "part").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("before") + F.col("nth")).alias("place"))
+
+
+def pages(log: DataFrame, limit: int, folder: str, as_of: int | None = None) -> DataFrame:
+    """Every live key with its page of `limit` keys, as a cursor that goes on after each page's last key gives them; versions are resolved once."""
+    return numbered(live(log, as_of).select("key"), "key", folder).select("key", F.expr(f"cast(place div {limit} AS int)").alias("page"))
+
+
 def merge_sources(sources: list[DataFrame]) -> DataFrame:
     """Several logs as one: lowest key, then highest slot, then the first source, as in a merge of sorted runs."""
     tagged = [s.select("key", "slot", "is_delete", "value", F.lit(-i).alias("source")) for i, s in enumerate(sources)]

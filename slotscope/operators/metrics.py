@@ -133,6 +133,22 @@ def parse_metrics_log(lines: DataFrame) -> DataFrame:
     return lines.select("file", in_section.alias("section"), fields[0].alias("name"), fields[1].alias("value")).where("name != ''").withColumn("value", F.col("value").cast("long"))
 
 
+def write_metrics_log(numbers: DataFrame, path: str) -> None:
+    """The sectioned text log of (file, section, name, value), compressed, a folder a file; names without a count are left out."""
+    active = numbers.where(F.col("value") != 0)
+    lines = active.select("file", "section", F.lit(1).alias("kind"), "name", F.concat(F.lit("  "), "name", F.lit(" count="), F.col("value").cast("string")).alias("line"))
+    heads = active.select("file", "section").distinct().select("file", "section", F.lit(0).alias("kind"), F.lit("").alias("name"), F.concat(F.lit("["), "section", F.lit("]")).alias("line"))
+    # the folder's name is a column of its own
+    sorted_lines = lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "section", "kind", "name")
+    sorted_lines.select(F.col("file").alias("log"), "line").write.mode("append").partitionBy("log").option("compression", "gzip").text(path)
+
+
+def read_metrics_log(spark, path: str) -> DataFrame:
+    """The lines (file, line_no, line) of such logs; a file is read whole, as lines have no numbers of their own."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.concat_ws("/", F.col("log").cast("string"), F.col("_metadata.file_name")).alias("file"), F.split("value", "\n").alias("lines"))
+    return whole.select("file", F.posexplode("lines").alias("line_no", "line")).where("line != ''")
+
+
 def log_totals(parsed: DataFrame) -> DataFrame:
     """Per section and name: window deltas added up, but the peak of what is absolute."""
     return parsed.groupBy("section", "name").agg(F.when(F.col("name") == "rss_kb", F.max("value")).otherwise(F.sum("value")).alias("value"))

@@ -1,69 +1,165 @@
-"""Where blocks go: mirrors over racks, erasure-coded blocks over nodes, and units within zones."""
+"""Where blocks go: mirrors over racks, erasure-coded blocks over nodes, units within zones, and blocks over a group's disks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def mirror(requests: DataFrame, groups: DataFrame, copies: int, seed: int = 1) -> DataFrame:
-    """For each request, `copies` disk groups: racks in shuffled turn, each turn a node not used yet.
+def draw(request: Column, salt: int, n: Column) -> Column:
+    """A fixed pseudo-random number below n for a request."""
+    return F.pmod(F.pmod(request, F.lit(1_000_003)) * 1_103_515_245 + salt * 12_345, F.lit(2_147_483_647)) % n
+
+
+def _by_node(groups: DataFrame, *keys: str) -> DataFrame:
+    return groups.groupBy(*keys, "node_id").agg(F.sort_array(F.collect_list("dg_id")).alias("dgs"))
+
 
-    The topology is small and every request ranks it for itself, by a seeded hash; a request's candidates are bounded by the nodes.
+def mirror(requests: DataFrame, groups: DataFrame, copies: int) -> DataFrame:
+    """For each request, `copies` disk groups: racks in a permuted turn, and each time a rack's turn comes a node of it not used yet.
+
+    The topology, a row of nested arrays, is beside each request, which picks by index arithmetic: the turn begins at a drawn rack and goes on by a
+    drawn stride that has no factor in common with the racks' number. Only as many places are looked at as copies ask for.
     """
-    per_node = groups.groupBy("rack_id", "node_id").agg(F.min_by("dg_id", F.xxhash64(F.lit(seed), "dg_id")).alias("dg_id"))
-    ranked = per_node.agg(F.collect_list(F.struct("rack_id", "node_id", "dg_id")).alias("nodes"))  # one row, of the topology
-    tried = requests.crossJoin(F.broadcast(ranked)).select("request", F.explode("nodes").alias("n")).select("request", "n.rack_id", "n.node_id", "n.dg_id")
-    in_rack = tried.withColumn("turn", F.row_number().over(W.partitionBy("request", "rack_id").orderBy(F.xxhash64(F.lit(seed), "request", "node_id"))))
-    order = W.partitionBy("request").orderBy("turn", F.xxhash64(F.lit(seed), "request", "rack_id"))
-    return in_rack.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= copies).select("request", "nth", "rack_id", "node_id", "dg_id")
+    nested = _by_node(groups, "rack_id").groupBy("rack_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "dgs"))).alias("nodes"))
+    whole = nested.agg(F.array_sort(F.collect_list(F.struct("rack_id", "nodes"))).alias("racks"))
+    coprime = lambda s: (s == 1) | ~F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), s)), lambda d: (s % d == 0) & (F.size("racks") % d == 0))
+    topology = whole.where(F.size("racks") > 0).withColumn("strides", F.filter(F.sequence(F.lit(1), F.size("racks")), coprime))
+    n, request = F.size("racks"), F.col("request")
+    first, stride = draw(request, 1, n), F.get("strides", draw(request, 2, F.size("strides")).cast("int"))
+
+    def candidate(i: Column) -> Column:
+        rack = F.get("racks", ((first + i * stride) % n).cast("int"))
+        turn, size = F.floor(i / n), F.size(rack["nodes"])
+        node = F.get(rack["nodes"], ((draw(request, 3, size) + turn) % size).cast("int"))
+        dg = F.get(node["dgs"], draw(request, 4, F.size(node["dgs"])).cast("int"))
+        return F.struct((turn < size).alias("free"), rack["rack_id"].alias("rack_id"), node["node_id"].alias("node_id"), dg.alias("dg_id"))
+
+    # with as many racks as copies each has its first turn at most; with fewer, turns go round
+    places = F.sequence(F.lit(0), F.when(n >= copies, F.lit(copies)).otherwise(n * copies) - 1)
+    picked = F.slice(F.filter(F.transform(places, candidate), lambda c: c["free"]), 1, copies)
+    met = requests.crossJoin(F.broadcast(topology))  # one row, of the topology
+    return met.select("request", F.posexplode(picked).alias("at", "c")).select("request", (F.col("at") + 1).alias("nth"), "c.rack_id", "c.node_id", "c.dg_id")
 
 
-def erasure_coded(requests: DataFrame, groups: pd.DataFrame, data: int, parity: int, safe: bool = True) -> DataFrame:
-    """For each request, data + parity disk groups, with at most `parity` blocks a node where that is asked for.
+def erasure_coded(requests: DataFrame, groups: DataFrame, data: int, parity: int, safe: bool = True) -> DataFrame:
+    """For each request, data + parity disk groups, with at most `parity` blocks a node where that is asked for; without room one row of -1.
 
-    The topology is a small table that the closure carries; requests are placed batch by batch.
+    Nodes have turns from the request's own first one on; with enough nodes each has one turn, with fewer turns go round.
     """
-    by_node = [(n, g["dg_id"].tolist()) for n, g in groups.sort_values(["node_id", "dg_id"]).groupby("node_id")]
+    wanted, most = data + parity, parity if safe else data + parity
+    whole = _by_node(groups).agg(F.array_sort(F.collect_list(F.struct("node_id", "dgs"))).alias("nodes"))
+    n, request = F.size("nodes"), F.col("request")
 
-    def place(batches):
+    def candidate(i: Column) -> Column:
+        turn = F.floor(i / n)
+        node = F.get("nodes", ((request + i) % n).cast("int"))
+        size = F.size(node["dgs"])
+        dg = F.get(node["dgs"], ((turn + request) % size).cast("int"))
+        return F.struct((turn < size).alias("free"), node["node_id"].alias("node_id"), dg.alias("dg_id"))
+
+    places = F.sequence(F.lit(0), F.when(n >= wanted, F.lit(wanted)).otherwise(n * most) - 1)
+    picked = F.slice(F.filter(F.transform(places, candidate), lambda c: c["free"]), 1, wanted)
+    none = F.array(F.struct(F.lit(True).alias("free"), F.lit(-1).cast("long").alias("node_id"), F.lit(-1).cast("long").alias("dg_id")))
+    met = requests.select("request").crossJoin(F.broadcast(whole))  # one row, of the topology
+    found = met.select("request", F.when(n == 0, none).otherwise(picked).alias("p")).select("request", F.when(F.size("p") == wanted, F.col("p")).otherwise(none).alias("p"))
+    return found.select("request", F.posexplode("p").alias("at", "c")).select("request", F.when(F.col("c.node_id") < 0, -1).otherwise(F.col("at")).alias("block"), "c.node_id", "c.dg_id")
+
+
+def in_turn(rows: DataFrame, key: str, order: str, start: Callable, schema: str) -> DataFrame:
+    """Rows of each key in order, through a state of the key alone: start() gives a function from a row to rows.
+
+    A partition is sorted and read batch by batch, so that a key with very many rows needs no more memory than its state.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        now, step = None, None
         for batch in batches:
-            rows = []
-            for request in batch["request"]:
-                first = int(request) % len(by_node)
-                turn = by_node[first:] + by_node[:first]
-                used: dict[int, int] = {}
-                picked: list[tuple[int, int]] = []
-                most = parity if safe else data + parity
-                for level in range(most):
-                    for node, ids in turn:
-                        if len(picked) < data + parity and used.get(node, 0) == level and level < len(ids):
-                            used[node] = level + 1
-                            picked.append((node, ids[(level + int(request)) % len(ids)]))
-                ok = len(picked) == data + parity
-                rows += [(request, i, node, dg) for i, (node, dg) in enumerate(picked)] if ok else [(request, -1, -1, -1)]
-            yield pd.DataFrame(rows, columns=["request", "block", "node_id", "dg_id"])
-
-    return requests.select("request").mapInPandas(place, "request long, block int, node_id long, dg_id long")
+            out = []
+            for row in batch.itertuples(index=False):
+                if step is None or getattr(row, key) != now:
+                    now, step = getattr(row, key), start()
+                out += step(row)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
+class Zone:
+    """A zone's bitmap, of a fixed size, and where the next search begins."""
+
+    def __init__(self, capacity: int):
+        self.used, self.hint = bytearray(capacity), 0
+
+    def take(self, units: int) -> int:
+        """The offset of so many units in a row from the hint on, then from the beginning; -1 without room."""
+        gap = bytes(units)
+        found = self.used.find(gap, self.hint)
+        found = self.used.find(gap, 0) if found < 0 else found
+        if found >= 0:
+            self.used[found : found + units] = b"\1" * units
+            self.hint = (found + units) % len(self.used)
+        return found
+
+    def give_back(self, offset: int, units: int) -> None:
+        self.used[offset : offset + units] = bytes(units)
 
 
 def allocate(requests: DataFrame, capacity: int) -> DataFrame:
-    """Per zone, requests (at, units) in order, by rotating first fit: units' offset, or -1 without room.
+    """Per zone, requests (at, units) in order, by rotating first fit: units' offset, or -1 without room."""
+    def start():
+        zone = Zone(capacity)
+        return lambda r: [(r.zone_id, r.at, r.units, zone.take(int(r.units)))]
+
+    return in_turn(requests.select("zone_id", "at", "units"), "zone_id", "at", start, "zone_id long, at long, units long, unit_offset long")
+
 
-    A zone's requests depend on each other, so a zone is one group; its bitmap is bounded by the capacity.
+def allocate_blocks(requests: DataFrame, disks: DataFrame, zones_each: int, capacity: int) -> DataFrame:
+    """Per disk group, requests (dg_id, at, units, n) in order: n blocks of so many units on n different disks, or none.
+
+    Disks that may be allocated from have turns, each request beginning one further on; within a disk its zones have turns too. What the first round leaves open
+    a second one over all disks not used yet tries again. Without room for all n what was claimed is given back, and the request has one row with nth -1.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used, hint, out = bytearray(capacity), 0, []
-        for zone, at, units in rows.sort_values("at")[["zone_id", "at", "units"]].itertuples(index=False):
-            gap = bytes(int(units))
-            found = used.find(gap, hint)
-            found = used.find(gap, 0) if found < 0 else found
-            if found >= 0:
-                used[found : found + units] = b"\1" * int(units)
-                hint = (found + units) % capacity
-            out.append((zone, at, units, found))
-        return pd.DataFrame(out, columns=["zone_id", "at", "units", "unit_offset"])
-
-    return requests.groupBy("zone_id").applyInPandas(run, "zone_id long, at long, units long, unit_offset long")
+    per_group = disks.groupBy("dg_id").agg(F.sort_array(F.collect_list("disk_no")).alias("disk_list"))
+    met = requests.join(per_group, "dg_id", "left").select("dg_id", "at", "units", "n", F.coalesce("disk_list", F.array().cast("array<bigint>")).alias("disk_list"))
+
+    def start():
+        zones: dict[int, list[Zone]] = {}
+        turns: dict[int, int] = {}
+        turn = 0
+
+        def take(disk: int, units: int) -> tuple[int, int] | None:
+            mine = zones.setdefault(disk, [Zone(capacity) for _ in range(zones_each)])
+            begin = turns[disk] = turns.get(disk, -1) + 1
+            for i in range(zones_each):
+                k = (begin + i) % zones_each
+                if (offset := mine[k].take(units)) >= 0:
+                    return k, offset
+            return None
+
+        def step(r):
+            nonlocal turn
+            disk_list, units, claims, used = [int(d) for d in r.disk_list], int(r.units), [], set()
+            for second in (False, True):
+                for _ in range(int(r.n) - len(claims)):
+                    begin, turn = turn, turn + (not second)
+                    for i in range(len(disk_list)):
+                        disk = disk_list[(begin + i) % len(disk_list)]
+                        if disk not in used and (place := take(disk, units)) is not None:
+                            used.add(disk)
+                            claims.append((disk, *place))
+                            break
+                    else:
+                        break
+            if len(claims) < r.n:
+                for disk, k, offset in claims:
+                    zones[disk][k].give_back(offset, units)
+                return [(r.dg_id, r.at, -1, -1, -1, -1, units)]
+            return [(r.dg_id, r.at, i, *c, units) for i, c in enumerate(claims)]
+
+        return step
+
+    return in_turn(met, "dg_id", "at", start, "dg_id long, at long, nth long, disk_no long, zone long, unit_offset long, units long")

@@ -101,10 +101,10 @@ def assign_ranges(instances: DataFrame, n_ranges: int, buckets: int = 1 << 16) -
 
 
 def binding_changes(desired: DataFrame, current: DataFrame) -> DataFrame:
-    """What to write: desired ranges whose owner differs; those in transition keep what they have."""
+    """What to write: desired ranges whose owner differs; those in transition keep what they have. Without any instance nothing is desired, and all keep what they have."""
     now = current.select("sub_range", F.col("instance_id").alias("current_id"), "in_transition")
-    action = F.when(F.col("current_id").isNull(), "create").when(F.col("in_transition"), "keep").when(F.col("current_id") == F.col("instance_id"), "keep").otherwise("move")
-    return desired.join(now, "sub_range", "left").select("sub_range", "instance_id", action.alias("action"))
+    action = F.when(F.col("current_id").isNull(), "create").when(F.col("in_transition") | F.col("instance_id").isNull(), "keep").when(F.col("current_id") == F.col("instance_id"), "keep").otherwise("move")
+    return desired.join(now, "sub_range", "full").select("sub_range", F.coalesce("instance_id", "current_id").alias("instance_id"), action.alias("action"))
 
 
 def route(buckets: DataFrame, ranges: DataFrame, n_ranges: int = 256) -> DataFrame:

@@ -78,7 +78,17 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.config_diff(old, new).select("path", "change", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_segments, chunk_capacity, delete_range, update_strip, chunk_states, chunk_list, cascade_delete, tree_expand, recovery_scan, bucket_migration, config_diff)}
+def config_diff_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs of three levels, a config a part; some lose a whole branch and some values change."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    size = lambda n: F.struct(F.struct(n.alias("units"), F.struct(F.col("p_type").alias("kind")).alias("box")).alias("size"), F.col("p_brand").alias("brand"))
+    old = p.select(k, F.to_json(size(F.col("p_size"))).alias("config"))
+    new = p.select(k, F.to_json(F.when(k % 4 == 0, F.struct(F.lit(None).cast("struct<units:bigint,box:struct<kind:string>>").alias("size"), F.col("p_brand").alias("brand"))).otherwise(size(F.col("p_size") + k % 2))).alias("config"))
+    found = chunk.config_diff(chunk.flatten_config(old, "p_partkey", "config"), chunk.flatten_config(new, "p_partkey", "config"), "p_partkey")
+    return found.select("p_partkey", "path", "change", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_segments, chunk_capacity, delete_range, update_strip, chunk_states, chunk_list, cascade_delete, tree_expand, recovery_scan, bucket_migration, config_diff, config_diff_nested)}
 
 _S = "SELECT l_orderkey AS chunk_id, l_linenumber::BIGINT AS strip_index, sum(l_quantity)::BIGINT AS capacity FROM lineitem GROUP BY 1, 2"
 _AT = f"SELECT *, coalesce(sum(capacity) OVER (PARTITION BY chunk_id ORDER BY strip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_offset FROM ({_S})"
@@ -97,5 +107,6 @@ SELECT chunk_id, CASE WHEN any_value(deleted) IS NOT NULL THEN 'DELETED' WHEN an
     "tree_expand": "WITH g AS (SELECT n_regionkey::BIGINT AS rack_id, n_nationkey AS node_id, s_suppkey AS dg_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS nth FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey) SELECT rack_id, count(DISTINCT node_id) AS n_nodes, count(DISTINCT node_id) FILTER (nth > 3) AS n_cut, coalesce(string_agg(dg_id::VARCHAR, ',' ORDER BY node_id, dg_id) FILTER (nth <= 3), '') AS shown FROM g GROUP BY 1",
     "recovery_scan": "SELECT l_suppkey AS zone_id, count(*) AS blocks, count(DISTINCT l_orderkey) AS chunks FROM lineitem WHERE l_linenumber = 3 AND l_suppkey > 20 AND l_returnflag <> 'R' GROUP BY 1",
     "bucket_migration": "SELECT CASE WHEN b BETWEEN 100 AND 299 AND g = 0 THEN 1 ELSE g END AS \"group\", count(*) AS n, sum(b)::BIGINT AS buckets FROM (SELECT o_orderkey * 31 % 1024 AS b, o_custkey % 2 AS g FROM orders) GROUP BY 1",
+    "config_diff_nested": "SELECT p_partkey, 'size.units' AS path, CASE WHEN p_partkey % 4 = 0 THEN 'removed' ELSE 'changed' END AS change, p_size::VARCHAR AS old, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE (p_size + 1)::VARCHAR END AS new FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 'size.box.kind', 'removed', p_type, '' FROM part WHERE p_partkey % 4 = 0",
     "config_diff": "WITH o AS (SELECT p_brand || '.' || p_partkey AS path, p_size::VARCHAR AS value FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_brand || '.' || p_partkey AS path, (p_size - p_partkey % 2)::VARCHAR AS value FROM part WHERE p_partkey % 4 <> 0) SELECT path, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(o.value, '') AS old, coalesce(n.value, '') AS new FROM o FULL JOIN n USING (path) WHERE o.value IS DISTINCT FROM n.value",
 }

@@ -2,45 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from itertools import count
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotscope.operators import fleet, kv
 from slotscope.plans.kv import live
 from slotscope.sources import log
+from slotscope.sources.folders import shared_folder
 from slotscope.sources.tables import block_records, dg_usage_rows, disk_groups, mutation_log, nodes, racks, table
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotscope-log-")
-    return f"{shared.rstrip('/')}/log-{uuid.uuid4().hex}"
-
-
 def kv_write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two commits of the mutation log, then a put and a delete; the live table of what was written."""
-    path, rows = _folder(spark), mutation_log(spark, sf_dir)
+    """Two commits of the mutation log, then a put and a delete in a third; the live table of what was written."""
+    path, rows = shared_folder(spark, "log"), mutation_log(spark, sf_dir)
     log.append(rows.where("slot <= 7000"), path)
     log.append(rows.where("slot > 7000"), path)
-    log.put(spark, path, 20_000_001, "a new key", 1.5)
-    log.delete(spark, path, 20_000_002, "p" + "0" * 17 + "042")
+    with log.Commit(spark, path) as commit:
+        commit.put(20_000_001, "a new key", 1.5)
+        commit.delete(20_000_002, "p" + "0" * 17 + "042")
     return kv.live(log.read(spark, path))
 
 
 def kv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 1,000 keys of one pinned state, each from the last key of the page before, until one is not truncated."""
-    state, pages, after = mutation_log(spark, sf_dir), None, None
-    for n in count():
-        page = kv.scan(state, start_after=after, limit=1000, as_of=14_000).withColumn("page", F.lit(n)).cache()
-        last = page.agg(F.max("key").alias("key"), F.max("truncated").alias("more")).first()
-        pages = page if pages is None else pages.unionByName(page)
-        if not last["more"]:
-            break
-        after = last["key"]
-    return pages.select("key", "page")
+    """Pages of 1,000 keys of one pinned state."""
+    return kv.pages(mutation_log(spark, sf_dir), 1000, shared_folder(spark, "pages"), as_of=14_000)
 
 
 def sysdata_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +35,7 @@ def sysdata_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def operations_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as JSON lines and read again."""
-    path = _folder(spark)
+    path = shared_folder(spark, "operations")
     log.write_operations(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), path)
     return spark.read.schema("event_id long, user_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
@@ -120,9 +105,10 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (kv_write_log, kv_pages, sysdata_decode, operations_log, replica_views, replica_reconcile, topology_merge, least_loaded, disk_counters, free_blocks, commit_blocks, cluster_usage, workload)}
 
 _R = "SELECT o_custkey % 20 AS store_id, o_custkey % 300 AS group_id, o_orderkey % 5 AS replica_id, o_orderkey % 9 AS node_id FROM orders"
-_B = "SELECT l_suppkey AS zone_id, (l_partkey % 512 * 8 + l_linenumber)::BIGINT AS unit_offset, l_returnflag <> 'R' AS is_busy, l_orderkey AS stamp FROM lineitem"
+_B = "SELECT l_suppkey AS zone_id, (l_partkey * 64 + l_linenumber)::BIGINT AS unit_offset, l_returnflag <> 'R' AS is_busy, l_orderkey AS stamp FROM lineitem"
 
 SQL = {
+    "workload": "SELECT op, count(*) AS n, count(DISTINCT key_id) AS keys FROM (SELECT (((id + 9) % 1000003) * 1103515245 + 12345) % 2147483647 % 500 AS key_id, CASE WHEN (((id + 9) % 1000003) * 1103515245 + 24690) % 2147483647 % 100 < 50 THEN 'get' ELSE 'put' END AS op FROM range(10000) t(id)) GROUP BY 1",
     "kv_write_log": f"SELECT key, slot, value FROM ({live()}) WHERE key <> 'p{'0' * 17}042' UNION ALL SELECT 'a new key', 20000001, 1.5",
     "kv_pages": f"SELECT key, ((row_number() OVER (ORDER BY key) - 1) // 1000)::INTEGER AS page FROM ({live('slot <= 14000')})",
     "sysdata_decode": "SELECT (props ->> 'k')::BIGINT AS k, count(*) AS n, min('/sys/' || event_id) AS first_key FROM events GROUP BY 1",

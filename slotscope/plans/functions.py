@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotscope.functions import erasure, hashing, keys
-from slotscope.operators import placement
-from slotscope.sources.tables import disk_groups, nodes, table
+from slotscope.operators import kv, placement
+from slotscope.sources.folders import shared_folder
+from slotscope.sources.tables import disk_groups, disks, nodes, table
 
 MIX = ((64, 70), (1024, 20), (16384, 10))
 
@@ -27,9 +29,9 @@ def key_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in text keys come in order of text."""
-    path = keys.text_path("dg", F.col("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select(path.alias("path")).orderBy("path").limit(30)
+    """Numbers in text keys come in order of text: each key with its place."""
+    paths = table(spark, sf_dir, "supplier").select(keys.text_path("dg", F.col("s_suppkey")).alias("path"))
+    return kv.numbered(paths, "path", shared_folder(spark, "paths"))
 
 
 def id_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,29 +70,51 @@ def crc32_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.crc32(F.concat(F.encode("s_name", "UTF-8"), F.unhex(F.array_join(stamp, "")))).alias("checksum"))
 
 
+def crc32c_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32C of repetitions of the usual check text, whose sums are known."""
+    o = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.encode(F.repeat(F.lit("123456789"), (o % 3).cast("int")), "UTF-8").alias("body"))
+    return rows.select("o_orderkey", hashing.crc32c("body").alias("checksum"))
+
+
+def value_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose last byte isn't UTF-8, in hex and as text."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.encode("o_orderpriority", "UTF-8"), F.unhex(F.lit("FF"))).alias("body"))
+    in_hex, as_text = hashing.rendered(F.col("body"))
+    return o.select("o_orderkey", in_hex.alias("hex"), as_text.alias("text"))
+
+
 def ec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier's name in 4 + 2 shards, two of them lost, and back."""
+    """Every document's text in 4 + 2 shards, two of them lost, and back."""
     def run(batches):
         for b in batches:
             rows = []
-            for i, name in zip(b["s_suppkey"], b["s_name"], strict=True):
-                data = name.encode()
+            for i, text in zip(b["doc_id"], b["text"], strict=True):
+                data = (text or "").encode()
                 shards = erasure.encode(data, 4, 2)
                 lost = {int(i) % 6, int(i) * 5 % 6}
                 rows.append((i, len(shards[0]), erasure.decode([None if k in lost else s for k, s in enumerate(shards)], 4, 2, len(data)) == data))
-            yield pd.DataFrame(rows, columns=["s_suppkey", "shard_bytes", "ok"])
+            yield pd.DataFrame(rows, columns=["doc_id", "shard_bytes", "ok"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, shard_bytes long, ok boolean")
 
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").mapInPandas(run, "s_suppkey long, shard_bytes long, ok boolean")
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"))
 
 
 def mirror_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = disk_groups(spark, sf_dir).join(nodes(spark, sf_dir), "node_id")
-    return placement.mirror(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request")), groups, 3)
+    return placement.mirror(_customers(spark, sf_dir), groups, 3)
 
 
 def ec_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = disk_groups(spark, sf_dir).select("dg_id", "node_id").toPandas()  # the topology: a row a disk group
-    return placement.erasure_coded(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request")), groups, 6, 2)
+    return placement.erasure_coded(_customers(spark, sf_dir), disk_groups(spark, sf_dir), 6, 2)
+
+
+def ec_placement_few_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four nodes, which take two blocks each where they have two groups."""
+    return placement.erasure_coded(_customers(spark, sf_dir), disk_groups(spark, sf_dir).withColumn("node_id", F.col("node_id") % 4), 6, 2)
 
 
 def zone_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +122,73 @@ def zone_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.allocate(requests, 2048)
 
 
-QUERIES = {f.__name__: f for f in (key_codec_roundtrip, key_errors, text_key_order, id_fields, xxh64_bucket, splitmix_value, size_mix, batch_decode, crc32_zone, ec_roundtrip, mirror_placement, ec_placement, zone_allocate)}
+def zone_allocate_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each zone: its requests, those whose units overlap others or leave the zone (none), and whether what got no room would have found none."""
+    found = zone_allocate(spark, sf_dir)
+    before = F.max(F.col("unit_offset") + F.col("units")).over(W.partitionBy("zone_id").orderBy("unit_offset").rowsBetween(W.unboundedPreceding, -1))
+    placed = found.where("unit_offset >= 0").withColumn("bad", (F.col("unit_offset") < F.coalesce(before, F.lit(0))) | (F.col("unit_offset") + F.col("units") > 2048))
+    bad = placed.groupBy("zone_id").agg(F.count_if("bad").alias("n_bad"), F.sum("units").alias("used"))
+    counts = found.groupBy("zone_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("unit_offset") < 0, F.col("units"))).alias("least_refused"))
+    return counts.join(bad, "zone_id", "left").select("zone_id", "n", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), (F.coalesce("used", F.lit(0)) <= 2048).alias("fits"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("dg_id"), F.col("l_orderkey").alias("at"))
+    requests = line.agg(F.sum("l_linenumber").cast("long").alias("units"), (F.min("l_linenumber") % 3 + 1).cast("long").alias("n"))
+    return requests, disks(spark, sf_dir).where("disk_status = 1").select("dg_id", "disk_no")
+
+
+def dg_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, up = _blocks(spark, sf_dir)
+    return placement.allocate_blocks(requests, up, zones_each=2, capacity=512)
+
+
+def dg_allocate_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each group: its requests, and blocks that share a disk with one of their request, overlap, or stand beyond their zone (none of them)."""
+    found = dg_allocate(spark, sf_dir)
+    placed = found.where("nth >= 0")
+    shared = placed.groupBy("dg_id", "at").agg((F.count("*") - F.count_distinct("disk_no")).alias("shared")).groupBy("dg_id").agg(F.sum("shared").alias("n_shared"))
+    before = F.max(F.col("unit_offset") + F.col("units")).over(W.partitionBy("dg_id", "disk_no", "zone").orderBy("unit_offset").rowsBetween(W.unboundedPreceding, -1))
+    bad = placed.withColumn("bad", (F.col("unit_offset") < F.coalesce(before, F.lit(0))) | (F.col("unit_offset") + F.col("units") > 512)).groupBy("dg_id").agg(F.count_if("bad").alias("n_bad"))
+    counts = found.groupBy("dg_id").agg(F.count_distinct("at").alias("n"))
+    return counts.join(shared, "dg_id", "left").join(bad, "dg_id", "left").select("dg_id", "n", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+
+
+QUERIES = {f.__name__: f for f in (key_codec_roundtrip, key_errors, text_key_order, id_fields, xxh64_bucket, splitmix_value, size_mix, batch_decode, crc32_zone, crc32c_known, value_render, ec_roundtrip, mirror_placement, ec_placement, ec_placement_few_nodes, zone_allocate, zone_allocate_checked, dg_allocate, dg_allocate_checked)}
+
+_DRAW = "((request % 1000003) * 1103515245 + {salt} * 12345) % 2147483647 % {n}"
+_MIRROR = f"""WITH n AS (SELECT n_regionkey::BIGINT AS rack_id, n_nationkey::BIGINT AS node_id, list(s_suppkey ORDER BY s_suppkey) AS dgs FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+r AS (SELECT rack_id, list({{'node_id': node_id, 'dgs': dgs}} ORDER BY node_id) AS nodes FROM n GROUP BY 1),
+t AS (SELECT list({{'rack_id': rack_id, 'nodes': nodes}} ORDER BY rack_id) AS racks, count(*) AS n FROM r),
+s AS (SELECT list(x ORDER BY x) AS strides FROM range(1, 1000) q(x), t WHERE x <= n AND gcd(x, n) = 1),
+c AS (SELECT c_custkey AS request, unnest(range(0, CASE WHEN n >= 3 THEN 3 ELSE 3 * n END)) AS i, n, racks, strides FROM customer, t, s),
+k AS (SELECT request, i, i // n AS turn, racks[({_DRAW.format(salt=1, n='n')} + i * strides[{_DRAW.format(salt=2, n='len(strides)')} + 1]) % n + 1] AS rack FROM c),
+m AS (SELECT request, i, turn, rack, rack.nodes[({_DRAW.format(salt=3, n='len(rack.nodes)')} + turn) % len(rack.nodes) + 1] AS node FROM k WHERE turn < len(rack.nodes))
+SELECT request, nth, rack_id, node_id, dg_id FROM (SELECT request, row_number() OVER (PARTITION BY request ORDER BY i)::INTEGER AS nth, rack.rack_id AS rack_id, node.node_id AS node_id, node.dgs[{_DRAW.format(salt=4, n='len(node.dgs)')} + 1] AS dg_id FROM m) WHERE nth <= 3"""
+
+
+def _coded(node: str) -> str:
+    return f"""WITH n AS (SELECT ({node})::BIGINT AS node_id, list(s_suppkey ORDER BY s_suppkey) AS dgs FROM supplier GROUP BY 1),
+t AS (SELECT list({{'node_id': node_id, 'dgs': dgs}} ORDER BY node_id) AS nodes, count(*) AS n FROM n),
+c AS (SELECT c_custkey AS request, n, unnest(range(0, CASE WHEN n >= 8 THEN 8 ELSE 2 * n END)) AS i, nodes FROM customer, t),
+m AS (SELECT request, i, i // n AS turn, nodes[(request + i) % n + 1] AS node FROM c),
+p AS (SELECT request, row_number() OVER (PARTITION BY request ORDER BY i) - 1 AS block, node.node_id AS node_id, node.dgs[(turn + request) % len(node.dgs) + 1] AS dg_id FROM m WHERE turn < len(node.dgs)),
+f AS (SELECT *, count(*) OVER (PARTITION BY request) AS found FROM p)
+SELECT request, block::INTEGER AS block, node_id, dg_id FROM f WHERE found >= 8 AND block < 8 UNION ALL SELECT c_custkey, -1, -1, -1 FROM customer WHERE c_custkey NOT IN (SELECT request FROM f WHERE found >= 8)"""
+
 
 SQL = {
+    "mirror_placement": _MIRROR,
+    "ec_placement": _coded("s_nationkey"),
+    "ec_placement_few_nodes": _coded("s_nationkey % 4"),
+    "ec_roundtrip": "SELECT doc_id, greatest(1, (strlen(coalesce(text, '')) + 3) // 4)::BIGINT AS shard_bytes, true AS ok FROM documents",
+    "crc32c_known": f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN {hashing.crc32c_of([b'123456789'])[0]} ELSE {hashing.crc32c_of([b'123456789' * 2])[0]} END AS checksum FROM orders",
+    "value_render": "SELECT o_orderkey, lower(hex(encode(o_orderpriority))) || 'ff' AS hex, o_orderpriority || chr(65533) AS text FROM orders",
+    "zone_allocate_checked": "SELECT l_suppkey AS zone_id, count(DISTINCT l_orderkey) AS n, 0::BIGINT AS n_bad, true AS fits FROM lineitem GROUP BY 1",
+    "dg_allocate_checked": "SELECT l_suppkey AS dg_id, count(DISTINCT l_orderkey) AS n, 0::BIGINT AS n_shared, 0::BIGINT AS n_bad FROM lineitem GROUP BY 1",
     "key_codec_roundtrip": "SELECT DISTINCT 'c00006' || lpad(lower(to_hex(l_suppkey)), 16, '0') || lpad(lower(to_hex(l_orderkey)), 16, '0') AS key, l_suppkey AS zone, l_orderkey AS unit_offset, true AS ok FROM lineitem",
     "key_errors": "SELECT CASE o_orderkey % 5 WHEN 1 THEN 'ShortInput' WHEN 2 THEN 'BadMagic' WHEN 3 THEN 'BadTag' WHEN 4 THEN 'TrailingBytes' ELSE 'ok' END AS error, count(*) AS n FROM orders GROUP BY 1",
-    "text_key_order": "SELECT '/slot/dg/' || s_suppkey AS path FROM supplier ORDER BY path LIMIT 30",
+    "text_key_order": "SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT '/slot/dg/' || s_suppkey AS path FROM supplier)",
     "id_fields": "SELECT o_orderkey, (o_orderkey * 72057594037 + o_custkey) >> 56 AS kind, ((o_orderkey * 72057594037 + o_custkey) >> 8) & 281474976710655 AS millis FROM orders",
     "size_mix": "SELECT CASE WHEN o_orderkey % 100 < 70 THEN 64 WHEN o_orderkey % 100 < 90 THEN 1024 ELSE 16384 END AS size, count(*) AS n FROM orders GROUP BY 1",
     "batch_decode": "SELECT o_orderkey AS slot, seq, seq = 1 AS is_delete, lpad(o_orderkey::VARCHAR, 8, '0') AS key, CASE seq WHEN 0 THEN 'abc' ELSE '' END AS value FROM orders, (VALUES (0), (1)) s(seq) WHERE seq = 0 OR o_orderkey % 7 <> 0",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotscope.operators import journal, kv, snapshot
+from slotscope.functions.hashing import crc32c
 from slotscope.plans.kv import LOG, P, cells, live
+from slotscope.sources.folders import shared_folder
 from slotscope.sources.tables import mutation_log, table
 
 
@@ -55,14 +54,17 @@ def snapshot_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderkey") % 10 == 0, "vote").when(F.col("o_orderkey") % 10 == 1, "promised").otherwise("accepted")
-    records = o.select((F.col("o_custkey") % 20).alias("group_id"), F.floor(F.col("o_orderkey") / 1000).cast("long").alias("segment"), F.col("o_orderkey").alias("position"), kind.alias("kind"), F.floor(F.col("o_orderkey") / 400).cast("long").alias("term"), F.col("o_orderkey").alias("slot"), (F.col("o_orderkey") % 1409 != 0).alias("ok"))
-    return journal.replay(records)
+    segment = F.expr("o_orderkey div 1000")
+    payload = F.encode(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "UTF-8")
+    spoilt = (F.col("o_orderkey") % 109 == 0) & (segment % 2 == 1)  # in segments that aren't sealed
+    records = o.select((F.col("o_custkey") % 20).alias("group_id"), segment.alias("segment"), F.col("o_orderkey").alias("position"), kind.alias("kind"), F.expr("o_orderkey div 400").alias("term"), F.col("o_orderkey").alias("slot"), (F.col("o_orderkey") % 3).alias("voted_for"), (segment % 2 == 0).alias("sealed"), payload.alias("payload"), spoilt.alias("spoilt"))
+    stored = records.withColumn("checksum", crc32c("payload")).withColumn("payload", F.when(F.col("spoilt"), F.concat(F.col("payload"), F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("payload")))
+    return journal.replay(journal.checked(stored)).withColumn("voted_for", F.coalesce("voted_for", F.lit(-1)))
 
 
 def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Created, listed and scanned; the folder is the shared one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotscope-snapshots-")
-    root, handle = f"{shared.rstrip('/')}/snapshots-{uuid.uuid4().hex}", "s1"
+    root, handle = shared_folder(spark, "snapshots"), "s1"
     snapshot.create(mutation_log(spark, sf_dir), root, handle, at_slot=9000, now_ms=1_000)
     assert snapshot.manifest(spark, root, now_ms=2_000).where(F.col("handle") == handle).count() == 1
     return snapshot.scan(spark, root, handle, prefix=P + "1", limit=60)
@@ -70,8 +72,7 @@ def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_with_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot and the log after it give what the whole log gives."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotscope-snapshots-")
-    root = f"{shared.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "snapshots")
     snapshot.create(mutation_log(spark, sf_dir), root, "s2", at_slot=7000, now_ms=1_000)
     return snapshot.with_tail(spark, root, "s2", 7000, mutation_log(spark, sf_dir)).where("NOT is_delete").select("key", "slot", "value")
 
@@ -79,7 +80,7 @@ def snapshot_with_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (journal_scan, journal_exact_fit, journal_frontier, journal_gaps, journal_gc, wal_segment_gc, safe_slot, snapshot_watermark, wal_replay, snapshot_scan, snapshot_with_tail)}
 
 _SLOTS = "SELECT DISTINCT l_orderkey AS slot FROM lineitem"
-_REPLAY = "SELECT o_custkey % 20 AS group_id, o_orderkey // 1000 AS segment, o_orderkey AS position, CASE o_orderkey % 10 WHEN 0 THEN 'vote' WHEN 1 THEN 'promised' ELSE 'accepted' END AS kind, o_orderkey // 400 AS term, o_orderkey AS slot, o_orderkey % 1409 <> 0 AS ok FROM orders"
+_REPLAY = "SELECT o_custkey % 20 AS group_id, o_orderkey // 1000 AS segment, o_orderkey AS position, CASE o_orderkey % 10 WHEN 0 THEN 'vote' WHEN 1 THEN 'promised' ELSE 'accepted' END AS kind, o_orderkey // 400 AS term, o_orderkey AS slot, o_orderkey % 3 AS voted_for, NOT (o_orderkey % 109 = 0 AND o_orderkey // 1000 % 2 = 1) AS ok FROM orders"
 
 SQL = {
     "journal_scan": f"WITH m AS (SELECT slot, seq, key, is_delete, value FROM ({LOG}) WHERE slot BETWEEN 1000 AND 3000 AND starts_with(key, '{P}0') ORDER BY slot, seq, key, is_delete, value LIMIT 50) SELECT *, (SELECT count(*) FROM m) >= 50 AS truncated FROM m",
@@ -90,7 +91,7 @@ SQL = {
     "wal_segment_gc": "SELECT l_orderkey // 500 AS segment, max(l_orderkey) AS max_slot, count(*) AS n_ops, max(l_orderkey) > 0 AND max(l_orderkey) < 7499 AS removed FROM lineitem GROUP BY 1",
     "safe_slot": "WITH m AS (SELECT o_custkey % 5 AS group_id, o_orderkey % 3 AS tenure, o_orderkey // 300 AS round, min(CASE WHEN o_orderkey % 997 <> 0 THEN floor(o_totalprice)::BIGINT ELSE 0 END) AS least FROM orders GROUP BY ALL) SELECT group_id, tenure, round, max(least) OVER (PARTITION BY group_id, tenure ORDER BY round ROWS UNBOUNDED PRECEDING) AS safe_slot FROM m",
     "snapshot_watermark": "SELECT o_custkey % 50 AS group_id, least(max(floor(o_totalprice)::BIGINT) FILTER (o_orderkey % 3 = 0), max(floor(o_totalprice)::BIGINT) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 > 0)) AS watermark FROM orders GROUP BY 1",
-    "wal_replay": f"WITH r AS ({_REPLAY}), bad AS (SELECT group_id, min(position) AS cut FROM r WHERE NOT ok GROUP BY 1) SELECT group_id, max(term) AS term, count(*) AS n_records, max(slot) FILTER (kind = 'accepted') AS max_slot, max(term) FILTER (kind = 'vote') AS voted_term FROM r LEFT JOIN bad USING (group_id) WHERE cut IS NULL OR position < cut GROUP BY 1",
+    "wal_replay": f"WITH r AS ({_REPLAY}), bad AS (SELECT group_id, segment, min(position) AS cut FROM r WHERE NOT ok GROUP BY 1, 2), g AS (SELECT r.*, max(term) OVER (PARTITION BY group_id) AS top FROM r LEFT JOIN bad USING (group_id, segment) WHERE cut IS NULL OR position < cut) SELECT group_id, max(term) AS term, count(*) AS n_records, max(slot) FILTER (kind = 'accepted') AS max_slot, coalesce(arg_max(voted_for, position) FILTER (kind = 'vote' AND term = top), -1) AS voted_for FROM g GROUP BY 1",
     "snapshot_scan": f"{live('slot <= 9000')} AND starts_with(key, '{P}1') ORDER BY key LIMIT 60",
     "snapshot_with_tail": live(),
 }

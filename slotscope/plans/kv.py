@@ -10,6 +10,7 @@ from slotscope.sources.tables import event_log, mutation_log
 
 P = "p" + "0" * 17
 LOG = "SELECT 'p' || lpad(l_partkey::VARCHAR, 20, '0') AS key, l_orderkey AS slot, l_linenumber AS seq, l_returnflag = 'R' AS is_delete, l_quantity AS value FROM lineitem"
+SOURCES = ("slot % 3 = 0 OR slot % 5 = 0", "slot % 3 = 1", "slot % 3 = 2")
 EVENTS = "SELECT 'u' || lpad(user_id::VARCHAR, 20, '0') AS key, event_id AS slot, 0 AS seq, event_type = 'error' AS is_delete, value, ts FROM events"
 
 
@@ -60,7 +61,7 @@ def kv_scan_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_scan_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.byte_budget_page(mutation_log(spark, sf_dir), "p", budget=1000, most_rows=1000)
+    return kv.byte_budget_page(mutation_log(spark, sf_dir), "p", budget=1000)
 
 
 def kv_scan_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,9 @@ def kv_prefix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells_ = kv.resolve(mutation_log(spark, sf_dir).where("slot % 2 = 0")), kv.resolve(mutation_log(spark, sf_dir).where("slot % 3 = 0")), kv.resolve(mutation_log(spark, sf_dir).where("slot % 5 = 0"))
-    return kv.merge_sources(list(cells_))
+    """Every slot is in one of three sources, and every fifth in the first as well."""
+    log = mutation_log(spark, sf_dir)
+    return kv.merge_sources([kv.resolve(log.where(w)) for w in SOURCES])
 
 
 def kv_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ SQL = {
     "kv_scan_byte_budget": f"WITH m AS (SELECT *, row_number() OVER (ORDER BY key) AS nth, sum(length(key) + length(value::VARCHAR)) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS bytes FROM ({live()})) SELECT key, slot, value, bytes::BIGINT AS bytes FROM m WHERE bytes <= 1000 OR nth = 1",
     "kv_scan_tombstones": f"SELECT key, slot, is_delete, value FROM ({cells()})",
     "kv_prefix_count": f"SELECT substr(key, 1, 20) AS prefix, count(*) AS n FROM ({live()}) GROUP BY 1",
-    "kv_merge_sources": "WITH m AS (" + " UNION ALL ".join(f"SELECT key, slot, is_delete, value, {i} AS source FROM ({cells(f'slot % {d} = 0')})" for i, d in enumerate((2, 3, 5))) + ") SELECT key, slot, source, is_delete, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot DESC, source) AS nth FROM m) WHERE nth = 1",
+    "kv_merge_sources": "WITH m AS (" + " UNION ALL ".join(f"SELECT key, slot, is_delete, value, {i} AS source FROM ({cells(w)})" for i, w in enumerate(SOURCES)) + ") SELECT key, slot, source, is_delete, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot DESC, source) AS nth FROM m) WHERE nth = 1",
     "kv_snapshot_diff": f"""SELECT key, kind, coalesce(ls, -1) AS left_slot, coalesce(rs, -1) AS right_slot FROM (
   SELECT key, ls, rs, CASE WHEN rs IS NULL THEN 'ONLY_LEFT' WHEN ls IS NULL THEN 'ONLY_RIGHT' WHEN ls <> rs THEN 'SLOT_DIFFERS' WHEN lv IS DISTINCT FROM rv OR ld IS DISTINCT FROM rd THEN 'VALUE_DIFFERS' END AS kind
   FROM (SELECT key, slot AS ls, is_delete AS ld, value AS lv FROM ({cells('slot <= 2000')})) FULL JOIN (SELECT key, slot AS rs, is_delete AS rd, value AS rv FROM ({cells('slot <= 9000')})) USING (key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotscope.operators import metrics
+from slotscope.sources.folders import shared_folder
 from slotscope.sources.tables import latency_samples, table
 
 
@@ -88,7 +89,15 @@ def metrics_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.log_totals(metrics.parse_metrics_log(lines).where("section IS NOT NULL"))
 
 
-QUERIES = {f.__name__: f for f in (metric_counter_window, metric_gauge, metric_summary, metric_bandwidth, metric_delta, metric_names, hist_fixed, hist_fixed_small, hist_precise, op_report, report_compare, cluster_metrics, rtt_ewma, metrics_log_totals)}
+def metrics_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a metrics log that is written and read again."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 7).alias("file"), F.col("event_type").alias("section"), F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string")).alias("name")).agg(F.sum(F.floor("value")).cast("long").alias("value"))
+    path = shared_folder(spark, "metrics-log")
+    metrics.write_metrics_log(e, path)
+    return metrics.log_totals(metrics.parse_metrics_log(metrics.read_metrics_log(spark, path)))
+
+
+QUERIES = {f.__name__: f for f in (metric_counter_window, metric_gauge, metric_summary, metric_bandwidth, metric_delta, metric_names, hist_fixed, hist_fixed_small, hist_precise, op_report, report_compare, cluster_metrics, rtt_ewma, metrics_log_totals, metrics_log_sink)}
 
 _E = "SELECT event_type AS op, event_type AS metric, greatest(1, floor(value * 1000))::BIGINT AS micros, greatest(1, floor(value * 1000))::BIGINT AS value, ts, event_id, user_id FROM events"
 
@@ -114,6 +123,7 @@ _QUANTILES = ", ".join(f"quantile_disc({_PART}, {q}) AS {f'p{q * 100:g}'.replace
 _A = f"SELECT *, CASE WHEN event_id % 31 = 0 THEN 'no_leader' WHEN event_id % 23 = 0 THEN 'not_found' WHEN event_id % 101 = 0 THEN 'wrong' ELSE 'ok' END AS outcome FROM ({_E})"
 
 SQL = {
+    "metrics_log_sink": "SELECT section, name, sum(value)::BIGINT AS value FROM (SELECT user_id % 7 AS file, event_type AS section, 'm' || event_id % 5 AS name, sum(floor(value))::BIGINT AS value FROM events GROUP BY 1, 2, 3) WHERE value <> 0 GROUP BY 1, 2",
     "metric_counter_window": f"SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY \"window\")::BIGINT AS total, n // 3600 AS tps FROM (SELECT metric, {_window(3600)}, count(*) AS n FROM ({_E}) GROUP BY 1, 2)",
     "metric_gauge": f"SELECT metric, {_window(3600)}, arg_max(value, (ts, event_id)) AS value FROM ({_E}) GROUP BY 1, 2",
     "metric_summary": f"SELECT metric, {_window(3600)}, count(*) AS n, (sum(value) // count(*))::BIGINT AS avg, max(value) AS max, sum(value)::BIGINT AS total FROM ({_E}) GROUP BY 1, 2",

@@ -73,7 +73,7 @@ def suspect_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").where(o % 4 < 3).select((c % 20).alias("store_id"), (c % 300).alias("group_id"), o.alias("replica_id"), o.alias("node_id"), (o % 3 < 2).alias("alive"), (o % 5 == 0).alias("is_leader"), F.when(o % 6 == 1, c).alias("leader_hint"))
+    return table(spark, sf_dir, "orders").select((c % 20).alias("store_id"), (c % 300).alias("group_id"), o.alias("replica_id"), o.alias("node_id"), (o % 3 < 2).alias("alive"), (o % 5 == 0).alias("is_leader"), F.when(o % 6 == 1, c).alias("leader_hint"))
 
 
 def group_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,12 @@ def incremental_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.binding_changes(space.assign_ranges(_instances(spark, sf_dir, 3), 64), before)
 
 
+def binding_without_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All instances are gone: what is bound stays so."""
+    before = space.assign_ranges(_instances(spark, sf_dir, 1), 64).withColumn("in_transition", F.lit(False))
+    return space.binding_changes(space.assign_ranges(_instances(spark, sf_dir, 1).where("instance_id < 0"), 64), before)
+
+
 def bucket_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = space.assign_ranges(_instances(spark, sf_dir, 1), 64)
     buckets = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 65536).alias("bucket"))
@@ -124,14 +130,14 @@ def disk_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.reconcile_disks(desired, known)
 
 
-QUERIES = {f.__name__: f for f in (capacity_rollup, rack_usage, node_usage, dg_usage, usage_merge, disk_drilldown, live_instances, healthy_dgs, excluded_dgs, effective_status, illegal_transitions, suspect_timeout, group_health, store_summary, range_assignment, incremental_binding, bucket_route, range_guard, primary_fallback, disk_reconcile)}
+QUERIES = {f.__name__: f for f in (capacity_rollup, rack_usage, node_usage, dg_usage, usage_merge, disk_drilldown, live_instances, healthy_dgs, excluded_dgs, effective_status, illegal_transitions, suspect_timeout, group_health, store_summary, range_assignment, incremental_binding, binding_without_instances, bucket_route, range_guard, primary_fallback, disk_reconcile)}
 
 _WITH = """WITH racks AS (SELECT r_regionkey::BIGINT AS rack_id, CASE WHEN r_regionkey = 4 THEN 2 ELSE 1 END AS rack_status FROM region),
 nodes AS (SELECT n_nationkey::BIGINT AS node_id, n_regionkey::BIGINT AS rack_id, CASE WHEN n_nationkey % 7 = 3 THEN 3 ELSE 1 END AS node_status FROM nation),
 dgs AS (SELECT s_suppkey AS dg_id, s_nationkey::BIGINT AS node_id, CASE WHEN s_suppkey % 11 = 5 THEN 5 ELSE 1 END AS dg_status FROM supplier),
 disks AS (SELECT *, CASE WHEN (dg_id + disk_no) % 13 = 0 THEN 5 ELSE 1 END AS disk_status FROM (SELECT l_suppkey AS dg_id, l_linenumber::BIGINT AS disk_no, count(*) * 64 AS capacity_bytes, sum(CASE WHEN l_returnflag = 'N' THEN 64 ELSE l_linenumber END)::BIGINT AS busy_bytes FROM lineitem GROUP BY 1, 2)),
 usage AS (SELECT *, greatest(0, capacity_bytes - used_bytes) AS free_bytes FROM (SELECT l_suppkey AS dg_id, count(*) * 100 AS capacity_bytes, sum(l_quantity)::BIGINT AS used_bytes FROM lineitem GROUP BY 1)),
-replicas AS (SELECT o_custkey % 20 AS store_id, o_custkey % 300 AS group_id, o_orderkey AS replica_id, o_orderkey AS node_id, o_orderkey % 3 < 2 AS alive, o_orderkey % 5 = 0 AS is_leader, CASE WHEN o_orderkey % 6 = 1 THEN o_custkey END AS leader_hint FROM orders WHERE o_orderkey % 4 < 3)
+replicas AS (SELECT o_custkey % 20 AS store_id, o_custkey % 300 AS group_id, o_orderkey AS replica_id, o_orderkey AS node_id, o_orderkey % 3 < 2 AS alive, o_orderkey % 5 = 0 AS is_leader, CASE WHEN o_orderkey % 6 = 1 THEN o_custkey END AS leader_hint FROM orders)
 """
 
 
@@ -163,6 +169,7 @@ UNION ALL SELECT 'group', rack_id, node_id, dg_id, {_SUMS} {_TREE} WHERE dg_id I
     "store_summary": _WITH + "SELECT store_id, group_id, count(*) AS replica_count, coalesce(arg_min(leader_hint, node_id) FILTER (leader_hint IS NOT NULL), -1) AS leader_hint FROM replicas GROUP BY 1, 2",
     "range_assignment": f"WITH {_ranges(1, 'a')} SELECT * FROM a",
     "incremental_binding": f"WITH {_ranges(1, 'b')}, {_ranges(3, 'a')} SELECT a.sub_range, a.instance_id, CASE WHEN c.instance_id IS NULL THEN 'create' WHEN c.sub_range % 8 = 3 THEN 'keep' WHEN c.instance_id = a.instance_id THEN 'keep' ELSE 'move' END AS action FROM a LEFT JOIN (SELECT * FROM b WHERE sub_range % 10 <> 7) c USING (sub_range)",
+    "binding_without_instances": f"WITH {_ranges(1, 'a')} SELECT sub_range, instance_id, 'keep' AS action FROM a",
     "bucket_route": f"WITH {_ranges(1, 'a')} SELECT instance_id, count(*) AS n, min(bucket) AS least, max(bucket) AS most FROM (SELECT o_orderkey * 7919 % 65536 AS bucket FROM orders) JOIN a ON bucket BETWEEN start AND \"end\" GROUP BY 1",
     "range_guard": "SELECT count(*) AS refused, sum(b)::BIGINT AS buckets FROM (SELECT o_orderkey * 7919 % 65536 AS b FROM orders) WHERE NOT (b BETWEEN 0 AND 999 OR b BETWEEN 5000 AND 5999 OR b >= 60000)",
     "primary_fallback": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 OR (o_orderkey % 2 = 0 AND o_orderstatus <> 'F') THEN o_custkey ELSE -1 END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'F' THEN 'old' ELSE 'none' END AS place FROM orders",

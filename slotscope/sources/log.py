@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import TracebackType
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,39 @@ def append(batch: DataFrame, path: str) -> None:
     batch.select("key", F.col("slot").cast("long").alias("slot"), F.col("seq").cast("int").alias("seq"), "is_delete", F.col("value").cast("double").alias("value")).write.mode("append").parquet(path)
 
 
-def put(spark: SparkSession, path: str, slot: int, key: str, value: float) -> None:
-    append(spark.createDataFrame([(key, slot, 0, False, value)], LOG), path)
+class Commit:
+    """Puts and deletes of a client, gathered and appended together at the end of a with block, or earlier once there are `most` of them.
+
+    A block that raises appends nothing of what is still gathered.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 10_000):
+        self.spark, self.path, self.most = spark, path, most
+        self.rows: list[tuple] = []
+
+    def put(self, slot: int, key: str, value: float) -> None:
+        self._add(slot, key, False, value)
+
+    def delete(self, slot: int, key: str) -> None:
+        self._add(slot, key, True, None)
+
+    def _add(self, slot: int, key: str, is_delete: bool, value: float | None) -> None:
+        seq = sum(r[1] == slot for r in self.rows[-1:]) and self.rows[-1][2] + 1
+        if not seq and len(self.rows) >= self.most:  # never within a slot
+            self.flush()
+        self.rows.append((key, slot, seq, is_delete, value))
+
+    def flush(self) -> None:
+        if self.rows:
+            append(self.spark.createDataFrame(self.rows, LOG), self.path)
+        self.rows = []
 
+    def __enter__(self) -> Commit:
+        return self
 
-def delete(spark: SparkSession, path: str, slot: int, key: str) -> None:
-    append(spark.createDataFrame([(key, slot, 0, True, None)], LOG), path)
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        if kind is None:
+            self.flush()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -62,6 +62,6 @@ def dg_usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Busy and free records of zones: offset, units, and when a block was freed."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("zone_id"), (F.col("l_partkey") % 512 * 8 + F.col("l_linenumber")).cast("long").alias("unit_offset"),
+        F.col("l_suppkey").alias("zone_id"), (F.col("l_partkey") * 64 + F.col("l_linenumber")).cast("long").alias("unit_offset"),
         (F.col("l_quantity") % 4 + 1).cast("long").alias("unit_count"), (F.col("l_returnflag") != "R").alias("is_busy"), F.col("l_orderkey").alias("stamp"), F.col("l_partkey").alias("owner"),
     )

@@ -65,6 +65,29 @@ def on_time(batch: DataFrame, durable_floor: int, allow_old: bool = False) -> Da
     return batch if allow_old else batch.where(F.col("slot") > durable_floor)
 
 
+def guard(stream: DataFrame, floor: int, open_slots: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream of writes (slot, ...) to what is there now; those accepted, and those refused because they came too late.
+
+    A write at or below the durable floor is refused and reported. What a micro-batch accepts is durable once it is written, and the floor then rises to
+    `open_slots` below the highest accepted slot; it never falls. Floors are written with their batches, so a batch that runs again meets the same floor.
+    """
+    spark = stream.sparkSession
+    floors = f"{folder}/floors"
+    spark.createDataFrame([(-1, floor)], "batch long, floor long").write.parquet(floors)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.schema("batch long, floor long").parquet(floors).where(F.col("batch") < batch_id).agg(F.max("floor")).first()[0]
+        on_time(batch, known).write.mode("overwrite").parquet(f"{folder}/accepted/batch={batch_id}")
+        batch.where(F.col("slot") <= known).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        top = spark.read.schema(batch.schema).parquet(f"{folder}/accepted/batch={batch_id}").agg(F.max("slot")).first()[0]
+        spark.createDataFrame([(batch_id, known if top is None else max(known, top - open_slots))], "batch long, floor long").write.mode("append").parquet(floors)
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kinds = stream.schema.add("batch", "long")
+    return tuple(spark.read.schema(kinds).parquet(f"{folder}/{kind}").drop("batch") for kind in ("accepted", "late"))
+
+
 def check_applied(frontier: int, min_slot: int) -> None:
     """Raises where a read asks for more than is applied."""
     if frontier < min_slot:

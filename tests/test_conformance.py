@@ -9,8 +9,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from slotscope.functions import erasure, hashing, keys
-from slotscope.operators import bitmap, journal, kv, metrics, placement, snapshot, space
-from slotscope.streaming.watch import check_applied, first_seen, on_time
+from slotscope.operators import bitmap, chunk, journal, kv, metrics, placement, snapshot, space
+from slotscope.sources import log as log_table
+from slotscope.streaming.watch import check_applied, first_seen, guard, on_time
 
 LOG = "key string, slot long, seq int, is_delete boolean, value long"
 
@@ -64,8 +65,8 @@ def test_journal_is_truncated_once_the_limit_is_reached_and_its_cursor_loses_not
 def test_scan_bounds_are_exclusive_and_budgets_keep_the_first_row(spark):
     rows = log(spark, *((k, i, 0, False, i) for i, k in enumerate(["a", "ab", "abc", "b"])))
     assert [r.key for r in kv.scan(rows, prefix="a", start_after="a", end_key="abc").collect()] == ["ab"]
-    assert [r.key for r in kv.byte_budget_page(rows, "", budget=1, most_rows=10).collect()] == ["a"]
-    assert [r.key for r in kv.byte_budget_page(rows, "", budget=5, most_rows=10).collect()] == ["a", "ab"]
+    assert [r.key for r in kv.byte_budget_page(rows, "", budget=1).collect()] == ["a"]
+    assert [r.key for r in kv.byte_budget_page(rows, "", budget=5).collect()] == ["a", "ab"]
 
 
 def test_diff_reports_slots_before_values(spark):
@@ -180,13 +181,13 @@ def test_mirrors_are_on_different_nodes_and_spread_over_racks(spark):
 
 
 def test_safe_erasure_coding_limits_blocks_of_a_node(spark):
-    groups = spark.createDataFrame([(10 * n + k, n) for n in range(4) for k in range(3)], "dg_id long, node_id long").toPandas()
+    groups = spark.createDataFrame([(10 * n + k, n) for n in range(4) for k in range(3)], "dg_id long, node_id long")
     found = placement.erasure_coded(spark.range(10).withColumnRenamed("id", "request"), groups, 6, 2).collect()
     for request in range(10):
         mine = [r for r in found if r.request == request]
         assert len({r.dg_id for r in mine}) == 8
         assert max(Counter(r.node_id for r in mine).values()) <= 2
-    none = placement.erasure_coded(spark.range(1).withColumnRenamed("id", "request"), groups[groups.node_id < 3], 6, 2).collect()
+    none = placement.erasure_coded(spark.range(1).withColumnRenamed("id", "request"), groups.where("node_id < 3"), 6, 2).collect()
     assert [r.block for r in none] == [-1]
 
 
@@ -210,3 +211,91 @@ def test_bitmaps_keep_zones_that_one_side_lacks(spark):
 
     found = bitmap.set_operations(bits((1, 0), (1, 1), (2, 5), (3, 6)), bits((1, 1), (2, 5), (4, 7)))
     assert {tuple(r) for r in found.collect()} == {(1, 2, 1, 1), (2, 1, 0, 0), (3, 1, 1, 1), (4, 1, 0, 1)}
+
+
+def test_crc32c_known_answers_and_values_of_one_length():
+    assert hashing.crc32c_of([b"123456789", b"", None, b"\0" * 32, b"\xff" * 32]).tolist() == [0xE3069283, 0, 0, 0x8A9136AA, 0x62A8AB43]
+    keys_ = np.array([7, 9, 2**63], np.uint64)
+    assert [v.tobytes() for v in hashing.values_of(keys_, 5)] == [hashing.value_bytes(int(k), 5).tobytes() for k in keys_]
+
+
+RECORD = "group_id long, segment long, position long, kind string, term long, slot long, voted_for long, sealed boolean, ok boolean"
+
+
+def test_replay_cuts_a_tail_and_refuses_a_corrupt_sealed_segment(spark):
+    rows = [(1, 1, 1, "accepted", 1, 5, None, True, True), (1, 2, 2, "vote", 2, 0, 8, False, True), (1, 2, 3, "accepted", 9, 7, None, False, False), (1, 2, 4, "accepted", 3, 6, None, False, True), (1, 3, 5, "accepted", 2, 9, None, True, True), (1, 3, 6, "vote", 2, 0, 4, True, True), (1, 3, 7, "accepted", 4, 8, None, True, False)]
+    records = spark.createDataFrame(rows, RECORD)
+    # of segment 2 the tail from its bad record on is cut, of the last segment too although it is sealed
+    assert [tuple(r) for r in journal.replay(records).collect()] == [(1, 2, 4, 9, 4)]
+    broken = records.withColumn("ok", F.col("position") != 1)
+    with pytest.raises(Exception, match="sealed segment 1 of group 1"):
+        journal.replay(broken).collect()
+    stored = spark.createDataFrame([(b"abc", int(hashing.crc32c_of([b"abc"])[0])), (b"abd", int(hashing.crc32c_of([b"abc"])[0]))], "payload binary, checksum long")
+    assert [r.ok for r in journal.checked(stored).collect()] == [True, False]
+
+
+def test_blocks_of_a_request_are_on_different_disks_or_none_is_placed(spark):
+    disks = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "dg_id long, disk_no long")
+    requests = spark.createDataFrame([(1, 1, 4, 2), (1, 2, 4, 3), (1, 3, 4, 4), (1, 4, 4, 1), (2, 1, 1, 1), (1, 5, 4, 3), (1, 6, 4, 1), (1, 7, 4, 3), (1, 8, 2, 1)], "dg_id long, at long, units long, n long")
+    found = {(r.dg_id, r.at): [] for r in requests.collect()}
+    for r in placement.allocate_blocks(requests, disks, zones_each=1, capacity=12).orderBy("dg_id", "at", "nth").collect():
+        found[(r.dg_id, r.at)].append((r.nth, r.disk_no, r.unit_offset))
+    assert [len(found[(1, at)]) for at in (1, 2, 4, 6)] == [2, 3, 1, 1]
+    # more blocks than disks; no disk; the first disk is full by then
+    assert found[(1, 3)] == found[(2, 1)] == found[(1, 5)] == [(-1, -1, -1)]
+    for mine in found.values():
+        assert len({d for _, d, _ in mine}) == len(mine)
+    # what failed gave its units back
+    assert found[(1, 6)][0][0] == found[(1, 8)][0][0] == 0
+    taken = [(d, o) for mine in found.values() for n, d, o in mine if n >= 0]
+    assert len(taken) == len(set(taken))
+
+
+def test_commits_gather_writes(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with log_table.Commit(spark, path) as commit:
+        commit.put(1, "a", 1.0)
+        commit.put(1, "a", 2.0)
+        commit.delete(2, "b")
+    assert len([p for p in (tmp_path / "log").iterdir() if p.name.startswith("part")]) <= 4
+    assert {(r.key, r.slot, r.value) for r in kv.live(log_table.read(spark, path)).collect()} == {("a", 1, 2.0)}
+    with pytest.raises(RuntimeError):
+        with log_table.Commit(spark, path) as commit:
+            commit.put(3, "c", 1.0)
+            raise RuntimeError
+    assert log_table.read(spark, path).count() == 3
+
+
+def test_pages_are_those_of_a_cursor(spark, tmp_path):
+    rows = log(spark, *((f"k{i:03d}", i, 0, i % 7 == 0, i) for i in range(95)))
+    got = {r.key: r.page for r in kv.pages(rows.repartition(6), 10, str(tmp_path / "pages")).collect()}
+    wanted, after, n = {}, None, 0
+    while True:
+        page = kv.scan(rows, start_after=after, limit=10).orderBy("key").collect()
+        wanted |= {r.key: n for r in page}
+        if not page[-1].truncated:
+            break
+        after, n = page[-1].key, n + 1
+    assert got == wanted
+
+
+def test_a_guarded_stream_refuses_what_is_below_its_floor(spark, tmp_path):
+    source = tmp_path / "in"
+    for i, slots in enumerate(([5, 11, 20], [12, 16, 30], [19, 20, 31])):
+        spark.createDataFrame([(s, i) for s in slots], "slot long, value long").coalesce(1).write.mode("append").parquet(str(source / f"f{i}"))
+    stream = spark.readStream.schema("slot long, value long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+    accepted, late = guard(stream, 10, 5, str(tmp_path / "out"))
+    # the floor is 10, then 15, then 25
+    assert sorted(r.slot for r in accepted.collect()) == [11, 16, 20, 30, 31]
+    assert sorted(r.slot for r in late.collect()) == [5, 12, 19, 20]
+
+
+def test_configs_of_any_depth(spark):
+    flat = chunk.flatten_config(spark.createDataFrame([(1, '{"a": {"b": {"c": 1}, "d": [1, 2]}, "e": "x", "f": {}}'), (2, "{}")], "id long, config string"), "id", "config")
+    assert {tuple(r) for r in flat.collect()} == {(1, "a.b.c", "1"), (1, "a.d", "[1,2]"), (1, "e", "x")}
+
+
+def test_without_instances_bindings_stay(spark):
+    now = spark.createDataFrame([(0, 3, False), (1, 4, True)], "sub_range long, instance_id long, in_transition boolean")
+    none = now.where("sub_range < 0").select("sub_range", "instance_id")
+    assert {tuple(r) for r in space.binding_changes(none, now).collect()} == {(0, 3, "keep"), (1, 4, "keep")}
