@@ -180,9 +180,13 @@ def _send(routes: Routes, threshold: int):
 
 
 class _Strings:
-    """The different strings of several messages, in the order of their anchors, each with its smallest doc_id."""
+    """The different strings of several messages, in the order of their anchors, each with its smallest doc_id.
+
+    Strings of one anchor stand in the order of their senders, so that a hop which reads its messages again meets the same order, however they arrive.
+    """
 
     def __init__(self, messages: pa.Table):
+        self.messages = messages = messages.sort_by("sender")
         open_up = zstandard.ZstdDecompressor()
         known: dict[bytes, int] = {}
         strings: list[bytes] = []
@@ -217,10 +221,10 @@ class _Strings:
         #: Of each message, its strings.
         self.sent = [place[m] for m in sent]
 
-    def answered(self, messages: pa.Table, runs: _Runs) -> pa.Table:
+    def answered(self, runs: _Runs) -> pa.Table:
         """Replies to the messages with the runs of each one's strings."""
         press = zstandard.ZstdCompressor(level=1)
-        return pa.table({"sender": messages.column("sender"), "part": messages.column("part"), "reply": pa.array([runs.of(m).packed(press) for m in self.sent], pa.binary())})
+        return pa.table({"sender": self.messages.column("sender"), "part": self.messages.column("part"), "reply": pa.array([runs.of(m).packed(press) for m in self.sent], pa.binary())})
 
 
 class _Runs:
@@ -296,7 +300,7 @@ def _expand(threshold: int):
             counts.append(np.bincount(of, minlength=len(ends)))
             values.append(least[places])
             stops.append(np.append(places[1:], len(least)) - (ends - n_windows[part])[of])
-        return met.answered(messages, _Runs(*(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (counts, stops, values))))
+        return met.answered(_Runs(*(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (counts, stops, values))))
 
     return expand
 
@@ -323,7 +327,7 @@ def _forward(level: int):
     def forwarded(messages: pa.Table, replies: pa.Table) -> pa.Table:
         if not messages.num_rows:
             return pa.table({"sender": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "reply": pa.array([], pa.binary())})
-        return _Strings(messages).answered(messages, _Runs.read(in_order(replies)))
+        return _Strings(messages).answered(_Runs.read(in_order(replies)))
 
     return forwarded
 

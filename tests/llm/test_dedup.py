@@ -302,6 +302,18 @@ def test_strings_of_one_hash_are_told_apart(monkeypatch):
     assert all(len(set(g)) == 1 for g in got) and sum(map(len, got)) == 4
 
 
+def test_strings_stand_in_one_order_however_messages_arrive():
+    import pyarrow as pa
+    import zstandard
+
+    press, anchor = zstandard.ZstdCompressor(), np.full(3, 7 << 40, np.uint64)
+    blobs = [repeats._pack(anchor, np.arange(3), np.full(3, 50), [bytes([65 + k + j]) * 50 for j in range(3)], press) for k in range(4)]
+    tables = [pa.table({"sender": list(p), "to": [0] * 4, "part": [0] * 4, "blob": [blobs[k] for k in p]}) for p in ((0, 1, 2, 3), (3, 1, 0, 2))]
+    a, b = (repeats._Strings(t) for t in tables)
+    assert a.strings == b.strings and a.ids.tolist() == b.ids.tolist()
+    assert [x.tolist() for x in a.sent] == [x.tolist() for x in b.sent]
+
+
 def test_routes_nest_and_cover(monkeypatch):
     for fan, senders, ranges in ((128, 10, 5), (4, 50, 17), (3, 200, 100)):
         monkeypatch.setattr(routing, "FAN", fan)
