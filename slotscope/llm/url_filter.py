@@ -45,9 +45,10 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     intervals = F.broadcast(intervals) if intervals.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else intervals
     given = ("url_host", "blocked", "list_key", "list_since", "list_category")
     kept = F.struct(*(F.col(f"`{c}`") for c in captures.columns if c not in given))  # columns named as the results give way
-    keyed = captures.select(kept.alias("capture"), F.monotonically_increasing_id().alias("capture_row"), host(F.col(url)).alias("url_host"), F.col(fetched).alias("capture_time"))
-    tried = keyed.select("capture", "capture_row", "url_host", "capture_time", F.explode_outer(domains(F.col("url_host"))).alias("tried_key"))
-    held = tried.join(intervals, (F.col("tried_key") == F.col("listed_key")) & (F.col("since") <= F.col("capture_time")) & (F.col("until").isNull() | (F.col("capture_time") < F.col("until"))), "left")
-    best = F.max(F.when(F.col("listed_key").isNotNull(), F.struct(F.length("listed_key").alias("n"), "listed_key", "since", "category")))
-    judged = held.groupBy("capture_row").agg(F.first("capture").alias("capture"), F.first("url_host").alias("url_host"), best.alias("best"))
+    keyed = captures.select(kept.alias("capture"), host(F.col(url)).alias("url_host"), F.col(fetched).alias("capture_time"))
+    # hosts and times alone are multiplied and looked up, each pair once; what holds for a pair then meets its captures
+    tried = keyed.select("url_host", "capture_time").where("url_host IS NOT NULL AND capture_time IS NOT NULL").distinct().withColumn("tried_key", F.explode(domains(F.col("url_host"))))
+    held = tried.join(intervals, (F.col("tried_key") == F.col("listed_key")) & (F.col("since") <= F.col("capture_time")) & (F.col("until").isNull() | (F.col("capture_time") < F.col("until"))))
+    best = F.max(F.struct(F.length("listed_key").alias("n"), "listed_key", "since", "category"))
+    judged = keyed.join(held.groupBy("url_host", "capture_time").agg(best.alias("best")), ["url_host", "capture_time"], "left")
     return judged.select("capture.*", "url_host", F.col("best").isNotNull().alias("blocked"), F.col("best.listed_key").alias("list_key"), F.col("best.since").alias("list_since"), F.col("best.category").alias("list_category"))
