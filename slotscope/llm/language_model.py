@@ -123,13 +123,17 @@ def _grams(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _count(routes: Routes):
-    def flush(sender: int, words: list[np.ndarray], before: list[np.ndarray]) -> pa.Table:
+    def different(words: list[np.ndarray], before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         named, place = np.unique(np.concatenate([*words, *before]), return_inverse=True)
+        words.clear()
+        before.clear()
         half = len(place) // 2
-        keys = np.sort(place[half:].astype(np.int64) * len(named) + place[:half])
+        keys = place[half:].astype(np.int64) * len(named) + place[:half]
+        del place
+        keys.sort()
         first = _begins(keys)
-        counts, keys = np.diff(first, append=len(keys)), keys[first]
-        return _gram_messages(routes, sender, sender, 1, 0, named[keys // len(named)], named[keys % len(named)], counts)
+        keys, counts = keys[first], np.diff(first, append=len(keys))
+        return named[keys // len(named)], named[keys % len(named)], counts
 
     def count(batches):
         sender = TaskContext.get().partitionId() << 24
@@ -140,10 +144,10 @@ def _count(routes: Routes):
                 before.append(u)
                 held += len(w)
                 if held >= COUNTED_TOKENS:
-                    yield from flush(sender, words, before).to_batches()
-                    words, before, held, sender = [], [], 0, sender + 1
+                    yield from _gram_messages(routes, sender, sender, 1, 0, *different(words, before)).to_batches()
+                    held, sender = 0, sender + 1
         if held:
-            yield from flush(sender, words, before).to_batches()
+            yield from _gram_messages(routes, sender, sender, 1, 0, *different(words, before)).to_batches()
 
     return count
 
