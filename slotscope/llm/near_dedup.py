@@ -153,41 +153,27 @@ def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent:
     return {"x": nodes.take(pa.array(u)), "y": nodes.take(pa.array(v)), "agree": pa.array(agree[u, v - u - 1].astype(np.int64))}
 
 
-#: Pairs, and the rows that stand next to a border of partitions, in order by seq, which is below 0 before the border.
-NEAR = "x binary, y binary, agree long, border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary"
-NEAR_TYPES = dict(zip((c.split()[0] for c in NEAR.split(", ")), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True))
-
-
-def _near_rows(n: int, given: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([given[c].cast(t) if c in given else pa.nulls(n, t) for c, t in NEAR_TYPES.items()], list(NEAR_TYPES))
+PAIRS = "x binary, y binary, agree long"
+#: The rows that stand next to a border of partitions, in order by seq, which is below 0 before the border.
+EDGES = "border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary"
 
 
 def _neighbours(percent: int):
-    """Pairs of near rows of one order; and the rows next to the partition's borders, whose neighbours beyond it are found with the next one's."""
-
-    def edge(rows: pa.Table, border: int, since: int) -> pa.RecordBatch:
-        n = rows.num_rows
-        at = {"border": pa.array([border] * n, pa.int64()), "seq": pa.array(range(since, since + n), pa.int32())}
-        return _near_rows(n, at | {c: pa.concat_arrays(rows.column(c).chunks) for c in ("tree", "prefix", "node", "n_shingles", "sketch")})
+    """Pairs of near rows of one order. What lies beyond the partition's borders isn't looked at, and so the first rows don't look back nor the last ones ahead."""
 
     def neighbours(batches):
-        here = TaskContext.get().partitionId()
         held, done, passed = None, 0, 0  # of the rows held, those that have their pairs; and rows let go before them
-        head = None
 
         def pairs(rows: pa.Table, upto: int, ahead: bool) -> pa.RecordBatch:
             place = np.arange(rows.num_rows)
             mine = (place >= done) & (place < upto)
-            got = _best_pairs(rows, mine & ahead, mine & (place + passed >= REACH), percent)
-            return _near_rows(len(got["x"]), got)
+            return pa.RecordBatch.from_pydict(_best_pairs(rows, mine & ahead, mine & (place + passed >= REACH), percent))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            if head is None and held.num_rows >= REACH:
-                head = held.slice(0, REACH)
             if held.num_rows - REACH > done:
                 held = held.combine_chunks()
                 ready = held.num_rows - REACH
@@ -195,15 +181,31 @@ def _neighbours(percent: int):
                 gone = max(0, ready - REACH)
                 held, done, passed = held.slice(gone), ready - gone, passed + gone
         if held is not None:
-            held = held.combine_chunks()
-            yield pairs(held, held.num_rows, False)
-            yield edge(head if head is not None else held, here, 0)
-            n = min(REACH, held.num_rows)
-            yield edge(held.slice(held.num_rows - n), here + 1, -n)
+            yield pairs(held.combine_chunks(), held.num_rows, False)
 
     return neighbours
 
 
+def _edges(batches):
+    """The first and the last REACH rows of a partition, each for the border that it stands next to."""
+    here, head, tail = TaskContext.get().partitionId(), None, None
+
+    def edge(rows: pa.Table, border: int, since: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        given = {"border": pa.array([border] * n, pa.int64()), "seq": pa.array(range(since, since + n), pa.int32())}
+        return pa.RecordBatch.from_pydict(given | {c: pa.concat_arrays(rows.column(c).chunks) for c in ("tree", "prefix", "node", "n_shingles", "sketch")})
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if head is None or head.num_rows < REACH:
+            head = (rows if head is None else pa.concat_tables([head, rows])).slice(0, REACH)
+        tail = rows if tail is None else pa.concat_tables([tail, rows])
+        tail = tail.slice(max(0, tail.num_rows - REACH))
+    if head is not None and head.num_rows:
+        yield edge(head, here, 0)
+        yield edge(tail, here + 1, -tail.num_rows)
+
+
 def _over_border(percent: int):
     def over(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("seq").combine_chunks()
@@ -328,9 +330,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     parts = max(1, min(max(n, TREES), nodes.count() * TREES // (40 * REACH)))
     orders = nodes.select("node", "n_shingles", "signature").mapInArrow(_orders, "tree int, prefix binary, node binary, n_shingles long, sketch binary")
     sorted_orders = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    near = stash(sorted_orders.mapInArrow(_neighbours(percent), NEAR), "near")
-    over = near.where("x IS NULL").select("border", "seq", "tree", "prefix", "node", "n_shingles", "sketch").groupBy("border").applyInArrow(_over_border(percent), "x binary, y binary, agree long")
-    near = near.where("x IS NOT NULL").select("x", "y", "agree").unionByName(over).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
+    # both read one exchange of the sorted orders
+    over = sorted_orders.mapInArrow(_edges, EDGES).groupBy("border").applyInArrow(_over_border(percent), PAIRS)
+    near = sorted_orders.mapInArrow(_neighbours(percent), PAIRS).unionByName(over).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
     pairs = stash(near.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("agree").alias("agree")), "pairs")
 
     met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()

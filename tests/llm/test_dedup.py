@@ -173,9 +173,9 @@ def test_neighbours_are_the_same_wherever_partitions_and_batches_end(spark, monk
     def found(parts):
         df = spark.createDataFrame(rows, "tree int, prefix binary, node binary, n_shingles long, sketch binary")
         df = df.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-        near = df.mapInArrow(near_dedup._neighbours(85), near_dedup.NEAR).cache()
-        over = near.where("x IS NULL").drop("x", "y", "agree").groupBy("border").applyInArrow(near_dedup._over_border(85), "x binary, y binary, agree long")
-        return {(bytes(r.x), bytes(r.y), r.agree) for r in near.where("x IS NOT NULL").select("x", "y", "agree").unionByName(over).collect()}
+        over = df.mapInArrow(near_dedup._edges, near_dedup.EDGES).groupBy("border").applyInArrow(near_dedup._over_border(85), near_dedup.PAIRS)
+        near = df.mapInArrow(near_dedup._neighbours(85), near_dedup.PAIRS).unionByName(over)
+        return {(bytes(r.x), bytes(r.y), r.agree) for r in near.collect()}
 
     whole = found(1)
     assert len(whole) > 3000
