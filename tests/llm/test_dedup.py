@@ -208,7 +208,9 @@ def test_links_found_in_dense_groups_at_the_threshold(spark, parts):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_truth(rows, 3, 85)
 
 
-def test_components_of_paths_stars_and_rings(spark):
+@pytest.mark.parametrize("edges_a_task", [16, 1 << 18])
+def test_components_of_paths_stars_and_rings(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr("slotscope.llm.components.EDGES_A_TASK", edges_a_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101 + i: 100 for i in range(30)} | {200 + i: 200 for i in range(1, 9)}
