@@ -3,9 +3,11 @@
 Documents with equal shingle sets are one node. A node has a MinHash signature; each tree of the forest is one sorted
 order of the nodes by its own stretch of the signature. A node's candidates are its nearest neighbours in each
 order, those with the longest common prefixes: in a thin region that reaches up to shallow tree nodes, in a dense one
-it stays with the deepest, so depth adapts to the region. Of them the most alike by sketch count. Orders are range-partitioned with the
+it stays with the deepest, so depth adapts to the region. Of them the most alike by sketch count. The forest is walked twice: first the
+most alike neighbour on each side ties the nodes of a dense region together; then the nodes that have neighbours are ordered again, and look for
+the most alike among those of other components alone, which what is linked already can't crowd out. Orders are range-partitioned with the
 node in the key, so ever so many equal signatures split; the rows on both sides of a border are compared in a task of their own, so
-where borders fall decides nothing. A sketch of one bit a MinHash drops unlike
+where borders fall decides nothing. A sketch of one bit a MinHash, on the second walk of four, drops unlike
 candidates; the others are confirmed on their full shingle sets, first the most promising of each node, then all that still
 lie between different components.
 
@@ -36,8 +38,10 @@ from slotscope.llm.words import mix, stream, words_of
 
 TREES, DEPTH = 24, 6
 HASHES = TREES * DEPTH
-#: Neighbours on each side in each order whose sketches are compared, and of them the most alike that become candidates.
+#: Neighbours on each side in each order whose sketches are compared, and of them the most alike of other components that become candidates.
 REACH, MOST_ALIKE = 128, 4
+#: Bits of each MinHash in the sketches of the first walk, over all nodes, and of the second, over those with neighbours.
+BITS, MORE_BITS = 1, 4
 #: Nodes of a block of a cluster, on average, and shingles that are compared at once.
 BLOCK, STRIP = 256, 4096
 
@@ -92,56 +96,72 @@ def _sign(n_words: int):
     return sign
 
 
-def _sketch(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each MinHash, in 64-bit words."""
-    bits = np.packbits((signatures & 1).astype(np.uint8), axis=1)
-    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
+def _sketch(signatures: np.ndarray, bits: int) -> np.ndarray:
+    """The last one or four bits of each MinHash, in 64-bit words."""
+    last = (signatures & ((1 << bits) - 1)).astype(np.uint8)
+    packed = np.packbits(last, axis=1) if bits == 1 else last[:, ::2] | last[:, 1::2] << 4
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
 
 
-def _orders(batches):
-    """A row for each node and tree: the tree's stretch of the signature, the size and the sketch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, _ = utf8_column(batch.column("signature"))
-        whole = data.reshape(-1, HASHES * 4)
-        sketch = _sketch(whole.view(">u4"))
-        n = len(whole)
-        for t in range(TREES):
-            prefix = np.ascontiguousarray(whole[:, t * DEPTH * 4 : (t + 1) * DEPTH * 4])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t, np.int32)), pa.array([x.tobytes() for x in prefix], pa.binary()), batch.column("node"), batch.column("n_shingles"), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                ["tree", "prefix", "node", "n_shingles", "sketch"],
-            )
-
-
-def least_agreement(similarity: float) -> int:
-    """Equal bits of the sketch that a pair of this similarity falls short of by chance with five standard deviations."""
-    p = (1 + similarity) / 2
+def _unlike(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """How many MinHashes differ between rows of sketches."""
+    differ = x ^ y
+    if bits == 4:  # a group of four bits differs where any does
+        differ |= differ >> np.uint64(1)
+        differ |= differ >> np.uint64(2)
+        differ &= np.uint64(0x1111111111111111)
+    return np.bitwise_count(differ).sum(1, dtype=np.int16)
+
+
+def _orders(bits: int):
+    """A row for each node and tree: the tree's stretch of the signature, the size, the sketch and the node's component."""
+
+    def orders(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, _ = utf8_column(batch.column("signature"))
+            whole = data.reshape(-1, HASHES * 4)
+            sketch = _sketch(whole.view(">u4"), bits)
+            n = len(whole)
+            for t in range(TREES):
+                prefix = np.ascontiguousarray(whole[:, t * DEPTH * 4 : (t + 1) * DEPTH * 4])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, t, np.int32)), pa.array([x.tobytes() for x in prefix], pa.binary()), batch.column("node"), batch.column("n_shingles"), pa.array([x.tobytes() for x in sketch], pa.binary()), batch.column("root")],
+                    ["tree", "prefix", "node", "n_shingles", "sketch", "root"],
+                )
+
+    return orders
+
+
+def least_agreement(similarity: float, bits: int) -> int:
+    """MinHashes of equal last bits that a pair of this similarity falls short of by chance with five standard deviations."""
+    p = similarity + (1 - similarity) / (1 << bits)
     return math.floor(HASHES * p - 5 * math.sqrt(HASHES * p * (1 - p)))
 
 
-def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent: int) -> dict:
+def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent: int, most: int, bits: int) -> dict:
     """For the rows marked in ahead (behind), pairs with the most alike of the REACH rows that follow (precede) them.
 
-    A pair shares a tree and a first MinHash, and its sizes and sketches allow the similarity.
+    A pair shares a tree and a first MinHash but no component, and its sizes and sketches allow the similarity. A null root is a component of its own.
     """
-    n, enough = rows.num_rows, least_agreement(percent / 100)
+    n, enough = rows.num_rows, least_agreement(percent / 100, bits)
     trees, sizes = rows.column("tree").to_numpy(), rows.column("n_shingles").to_numpy()
     prefix = utf8_column(rows.column("prefix"))[0].reshape(-1, DEPTH * 4).view(">u4")
+    roots = rows.column("root").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
     sketch = np.ascontiguousarray(utf8_column(rows.column("sketch"))[0].reshape(n, -1)).view(np.uint64)
     agree = np.full((n, REACH), -1, np.int16)  # of each row with the k-th after it
     before = np.full((n, REACH), -1, np.int16)  # and with the k-th before it
     for k in range(1, min(REACH, n - 1) + 1):
         i, j = slice(0, n - k), slice(k, n)
         small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        same = HASHES - np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int16)
-        ok = (trees[i] == trees[j]) & (prefix[i, 0] == prefix[j, 0]) & (100 * small >= percent * large) & (same >= enough)
+        same = HASHES - _unlike(sketch[i], sketch[j], bits)
+        ok = (trees[i] == trees[j]) & (prefix[i, 0] == prefix[j, 0]) & (100 * small >= percent * large) & (same >= enough) & ((roots[i] != roots[j]) | (roots[i] < 0))
         agree[i, k - 1] = before[j, k - 1] = np.where(ok, same, -1)
     found = []
     for mine, side, sign in ((np.flatnonzero(ahead), agree, 1), (np.flatnonzero(behind), before, -1)):
         side, every = side[mine], np.arange(len(mine))
-        for _ in range(MOST_ALIKE):
+        for _ in range(most):
             k = side.argmax(1)
             i = np.flatnonzero(side[every, k] >= 0)
             found.append(np.stack([mine[i], mine[i] + sign * (k[i] + 1)], 1))
@@ -155,10 +175,10 @@ def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent:
 
 PAIRS = "x binary, y binary, agree long"
 #: The rows that stand next to a border of partitions, in order by seq, which is below 0 before the border.
-EDGES = "border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary"
+EDGES = "border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary"
 
 
-def _neighbours(percent: int):
+def _neighbours(percent: int, most: int, bits: int):
     """Pairs of near rows of one order. What lies beyond the partition's borders isn't looked at, and so the first rows don't look back nor the last ones ahead."""
 
     def neighbours(batches):
@@ -167,7 +187,7 @@ def _neighbours(percent: int):
         def pairs(rows: pa.Table, upto: int, ahead: bool) -> pa.RecordBatch:
             place = np.arange(rows.num_rows)
             mine = (place >= done) & (place < upto)
-            return pa.RecordBatch.from_pydict(_best_pairs(rows, mine & ahead, mine & (place + passed >= REACH), percent))
+            return pa.RecordBatch.from_pydict(_best_pairs(rows, mine & ahead, mine & (place + passed >= REACH), percent, most, bits))
 
         for batch in batches:
             if not batch.num_rows:
@@ -193,7 +213,7 @@ def _edges(batches):
     def edge(rows: pa.Table, border: int, since: int) -> pa.RecordBatch:
         n = rows.num_rows
         given = {"border": pa.array([border] * n, pa.int64()), "seq": pa.array(range(since, since + n), pa.int32())}
-        return pa.RecordBatch.from_pydict(given | {c: pa.concat_arrays(rows.column(c).chunks) for c in ("tree", "prefix", "node", "n_shingles", "sketch")})
+        return pa.RecordBatch.from_pydict(given | {c: pa.concat_arrays(rows.column(c).chunks) for c in ("tree", "prefix", "node", "n_shingles", "sketch", "root")})
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -206,15 +226,27 @@ def _edges(batches):
         yield edge(tail, here + 1, -tail.num_rows)
 
 
-def _over_border(percent: int):
+def _over_border(percent: int, most: int, bits: int):
     def over(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("seq").combine_chunks()
         before = rows.column("seq").to_numpy() < 0
-        return pa.table(_best_pairs(rows, before, ~before, percent))
+        return pa.table(_best_pairs(rows, before, ~before, percent, most, bits))
 
     return over
 
 
+def _candidates(nodes: DataFrame, percent: int, most: int, bits: int, parts: int) -> DataFrame:
+    """Pairs (u, v) of near nodes that share no root, with how many trees and borders found them and how many MinHashes of their sketches agree."""
+    # partitions are large beside a node's neighbours
+    parts = max(1, min(max(parts, TREES), nodes.count() * TREES // (40 * REACH)))
+    orders = nodes.select("node", "n_shingles", "signature", "root").mapInArrow(_orders(bits), "tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary")
+    sorted_orders = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
+    # both read one exchange of the sorted orders
+    over = sorted_orders.mapInArrow(_edges, EDGES).groupBy("border").applyInArrow(_over_border(percent, most, bits), PAIRS)
+    near = sorted_orders.mapInArrow(_neighbours(percent, most, bits), PAIRS).unionByName(over).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
+    return near.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("agree").alias("agree"))
+
+
 def _squeeze(wanted):
     """The texts of the rows that the filter lets through, compressed."""
 
@@ -293,6 +325,11 @@ def _compare(n_words: int, percent: int):
     return compare
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of roots with links (u, v) between them."""
+    return components(roots.toDF("u", "v").unionByName(links)) if links.head(1) else roots
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs that lie between different components, with their roots."""
     rooted = pairs.join(roots.toDF("u", "root_u"), "u", "left").join(roots.toDF("v", "root_v"), "v", "left")
@@ -326,14 +363,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     best_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     nodes = stash(signed.where("node IS NOT NULL").groupBy("node", "n_shingles", "signature").agg(F.min(best_row).alias("best")), "nodes")
 
-    # partitions are large beside a node's neighbours
-    parts = max(1, min(max(n, TREES), nodes.count() * TREES // (40 * REACH)))
-    orders = nodes.select("node", "n_shingles", "signature").mapInArrow(_orders, "tree int, prefix binary, node binary, n_shingles long, sketch binary")
-    sorted_orders = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    # both read one exchange of the sorted orders
-    over = sorted_orders.mapInArrow(_edges, EDGES).groupBy("border").applyInArrow(_over_border(percent), PAIRS)
-    near = sorted_orders.mapInArrow(_neighbours(percent), PAIRS).unionByName(over).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
-    pairs = stash(near.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("agree").alias("agree")), "pairs")
+    pairs = stash(_candidates(nodes.withColumn("root", F.lit(None).cast("binary")), percent, 1, BITS, n), "pairs")
 
     met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = stash(nodes.select("node", F.col("best.row_key").alias("row_key"), F.col("best.doc_id").alias("row_id")).join(met, "node"), "wanted")
@@ -351,11 +381,13 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     best = W.partitionBy("node").orderBy(F.desc("agree"), F.desc("times"), F.xxhash64("u", "v"))
     first = confirmed(ends.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("u", "v").distinct())
     roots = components(first)
-    links = first.unionByName(confirmed(_apart(pairs, roots)))
-    roots = components(links)
-    left = _left_over(nodes, pairs, bodies, roots, n_words, percent)
-    if left.head(1):
-        roots = components(links.unionByName(left))
+    roots = _joined(roots, confirmed(_apart(pairs, roots)))
+
+    # a node without a neighbour before has none among those of other components
+    again = nodes.join(wanted.select("node"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stash(_candidates(again, percent, MOST_ALIKE, MORE_BITS, n), "pairs")
+    roots = _joined(roots, confirmed(more))
+    roots = _joined(roots, _left_over(nodes, pairs.unionByName(more).select("u", "v").distinct(), bodies, roots, n_words, percent))
 
     rooted = nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
     # a large component is a hot key: written first, its row meets its nodes in a join whose sides Spark can split or broadcast

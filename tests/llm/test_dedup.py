@@ -155,30 +155,41 @@ def test_one_row_stays_of_null_ids_and_of_ids_with_several_texts(spark):
         assert exact_dedup.keep_one(docs).count() == 2
 
 
-def order_rows(n, seed):
-    """Rows of sorted orders in which most are alike: few first MinHashes, and sketches a few bits apart."""
+def order_rows(n, seed, bits):
+    """Rows of sorted orders in which most are alike: few first MinHashes, and sketches a few bits apart; a third are of five components."""
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2, near_dedup.HASHES)
     out = []
     for i in range(n):
-        bits = base ^ (rng.random(near_dedup.HASHES) < 0.05)
+        last = base ^ (rng.random(near_dedup.HASHES) < 0.05)
         prefix = np.array([rng.integers(0, 4), *rng.integers(0, 9, near_dedup.DEPTH - 1)], ">u4").tobytes()
-        out.append((int(rng.integers(0, 2)), prefix, int(i).to_bytes(16, "big"), 100, near_dedup._sketch(bits[None].astype(np.uint32)).tobytes()))
+        out.append((int(rng.integers(0, 2)), prefix, int(i).to_bytes(16, "big"), 100, near_dedup._sketch(last[None].astype(np.uint32), bits).tobytes(), bytes([i % 5]) * 16 if i % 3 == 0 else None))
     return sorted(out)
 
 
-def test_neighbours_are_the_same_wherever_partitions_and_batches_end(spark, monkeypatch):
-    rows = order_rows(3000, 8)
+def test_sketches_agree_in_as_many_minhashes_as_share_their_last_bits():
+    a, b = np.random.default_rng(5).integers(0, 1 << 32, (2, 40, near_dedup.HASHES), dtype=np.uint32)
+    b[:20] = np.where(np.random.default_rng(6).random(b[:20].shape) < 0.8, a[:20], b[:20])
+    for bits in (1, 4):
+        x, y = (np.ascontiguousarray(near_dedup._sketch(s, bits)).view(np.uint64) for s in (a, b))
+        assert near_dedup._unlike(x, y, bits).tolist() == ((a ^ b) % (1 << bits) > 0).sum(1).tolist()
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_neighbours_are_the_same_wherever_partitions_and_batches_end(spark, monkeypatch, bits):
+    rows = order_rows(3000, 8, bits)
+    root = {r[2]: r[5] for r in rows}
 
     def found(parts):
-        df = spark.createDataFrame(rows, "tree int, prefix binary, node binary, n_shingles long, sketch binary")
+        df = spark.createDataFrame(rows, "tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary")
         df = df.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-        over = df.mapInArrow(near_dedup._edges, near_dedup.EDGES).groupBy("border").applyInArrow(near_dedup._over_border(85), near_dedup.PAIRS)
-        near = df.mapInArrow(near_dedup._neighbours(85), near_dedup.PAIRS).unionByName(over)
+        over = df.mapInArrow(near_dedup._edges, near_dedup.EDGES).groupBy("border").applyInArrow(near_dedup._over_border(85, 4, bits), near_dedup.PAIRS)
+        near = df.mapInArrow(near_dedup._neighbours(85, 4, bits), near_dedup.PAIRS).unionByName(over)
         return {(bytes(r.x), bytes(r.y), r.agree) for r in near.collect()}
 
     whole = found(1)
     assert len(whole) > 3000
+    assert not any(root[x] and root[x] == root[y] for x, y, _ in whole)
     assert found(3) == found(8) == whole
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "170")
     try:
