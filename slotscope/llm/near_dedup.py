@@ -8,8 +8,7 @@ most alike neighbour on each side ties the nodes of a dense region together; the
 the most alike among those of other components alone, which what is linked already can't crowd out. Orders are range-partitioned with the
 node in the key, so ever so many equal signatures split; the rows on both sides of a border are compared in a task of their own, so
 where borders fall decides nothing. A sketch of one bit a MinHash, on the second walk of four, drops unlike
-candidates; the others are confirmed on their full shingle sets, first the most promising of each node, then all that still
-lie between different components.
+candidates; the others are confirmed on their full shingle sets.
 
 Where a region holds more nodes than an order reaches, or more alike ones than become candidates, links may be left. So
 components that candidates tie together are a cluster, and all pairs of a cluster that lie between different components are
@@ -29,7 +28,6 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotscope.llm.components import components
@@ -170,10 +168,10 @@ def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent:
     pair = np.unique(pair[:, 0] * n + pair[:, 1])
     u, v = pair // n, pair % n
     nodes = pa.concat_arrays(rows.column("node").chunks)
-    return {"x": nodes.take(pa.array(u)), "y": nodes.take(pa.array(v)), "agree": pa.array(agree[u, v - u - 1].astype(np.int64))}
+    return {"x": nodes.take(pa.array(u)), "y": nodes.take(pa.array(v))}
 
 
-PAIRS = "x binary, y binary, agree long"
+PAIRS = "x binary, y binary"
 #: The rows that stand next to a border of partitions, in order by seq, which is below 0 before the border.
 EDGES = "border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary"
 
@@ -236,15 +234,15 @@ def _over_border(percent: int, most: int, bits: int):
 
 
 def _candidates(nodes: DataFrame, percent: int, most: int, bits: int, parts: int) -> DataFrame:
-    """Pairs (u, v) of near nodes that share no root, with how many trees and borders found them and how many MinHashes of their sketches agree."""
+    """Pairs (u, v) of near nodes that share no root."""
     # partitions are large beside a node's neighbours
     parts = max(1, min(max(parts, TREES), nodes.count() * TREES // (40 * REACH)))
     orders = nodes.select("node", "n_shingles", "signature", "root").mapInArrow(_orders(bits), "tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary")
     sorted_orders = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     # both read one exchange of the sorted orders
     over = sorted_orders.mapInArrow(_edges, EDGES).groupBy("border").applyInArrow(_over_border(percent, most, bits), PAIRS)
-    near = sorted_orders.mapInArrow(_neighbours(percent, most, bits), PAIRS).unionByName(over).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "agree")
-    return near.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("agree").alias("agree"))
+    near = sorted_orders.mapInArrow(_neighbours(percent, most, bits), PAIRS).unionByName(over)
+    return near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def _squeeze(wanted):
@@ -373,21 +371,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     bodies = stash(bodies, "bodies")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        with_u = some.select("u", "v").join(bodies.select(F.col("node").alias("u"), F.col("body").alias("body_u")), "u")
+        with_u = some.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("body_u")), "u")
         with_both = with_u.join(bodies.select(F.col("node").alias("v"), F.col("body").alias("body_v")), "v")
         return stash(with_both.select("u", "v", "body_u", "body_v").mapInArrow(_confirm(n_words, percent), "u binary, v binary"), "links")
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "times", "agree")
-    best = W.partitionBy("node").orderBy(F.desc("agree"), F.desc("times"), F.xxhash64("u", "v"))
-    first = confirmed(ends.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("u", "v").distinct())
-    roots = components(first)
-    roots = _joined(roots, confirmed(_apart(pairs, roots)))
+    roots = components(confirmed(pairs))
 
     # a node without a neighbour before has none among those of other components
     again = nodes.join(wanted.select("node"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = stash(_candidates(again, percent, MOST_ALIKE, MORE_BITS, n), "pairs")
     roots = _joined(roots, confirmed(more))
-    roots = _joined(roots, _left_over(nodes, pairs.unionByName(more).select("u", "v").distinct(), bodies, roots, n_words, percent))
+    roots = _joined(roots, _left_over(nodes, pairs.unionByName(more).distinct(), bodies, roots, n_words, percent))
 
     rooted = nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
     # a large component is a hot key: written first, its row meets its nodes in a join whose sides Spark can split or broadcast
