@@ -26,7 +26,7 @@ def bitmap_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bitmap_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitmap.packed(bitmap.bits(_busy(spark, sf_dir))).groupBy("zone_id").agg(F.sum("used").alias("used"))
+    return bitmap.packed(_busy(spark, sf_dir)).groupBy("zone_id").agg(F.sum("used").alias("used"))
 
 
 def bitmap_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +55,13 @@ def zone_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ghost_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = bitmap.bits(block_records(spark, sf_dir).where("stamp % 5 > 0"))
-    replayed = bitmap.bits(_busy(spark, sf_dir).where("stamp % 7 > 0"))
-    busy, free = bitmap.bits(_busy(spark, sf_dir).where("stamp % 11 > 2")), bitmap.bits(_free(spark, sf_dir).where("stamp % 2 = 0"))
-    return bitmap.ghosts(live, replayed, busy, free).groupBy("zone_id", "kind").agg(F.count("*").alias("n"))
+    live, replayed = block_records(spark, sf_dir).where("stamp % 5 > 0"), _busy(spark, sf_dir).where("stamp % 7 > 0")
+    busy, free = _busy(spark, sf_dir).where("stamp % 11 > 2"), _free(spark, sf_dir).where("stamp % 2 = 0")
+    return bitmap.ghosts(live, replayed, busy, free).groupBy("zone_id", "kind").agg(F.sum(bitmap.counted(F.col("mask"))).alias("n"))
 
 
 def drift_recalc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live, replayed = bitmap.bits(_busy(spark, sf_dir)), bitmap.bits(_busy(spark, sf_dir).where("NOT (zone_id % 4 = 1 AND stamp > 14000)"))
+    live, replayed = _busy(spark, sf_dir), _busy(spark, sf_dir).where("NOT (zone_id % 4 = 1 AND stamp > 14000)")
     return bitmap.drift(live, replayed, table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("zone_id")))
 
 
@@ -80,11 +79,11 @@ def integrity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_free_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitmap.free_runs(bitmap.bits(_busy(spark, sf_dir)), CAPACITY)
+    return bitmap.free_runs(_busy(spark, sf_dir), CAPACITY)
 
 
 def zone_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitmap.first_fit(bitmap.free_runs(bitmap.bits(_busy(spark, sf_dir)), CAPACITY), 6)
+    return bitmap.first_fit(bitmap.free_runs(_busy(spark, sf_dir), CAPACITY), 6)
 
 
 QUERIES = {f.__name__: f for f in (bitmap_popcount, bitmap_packed, bitmap_set_ops, zone_replay, zone_compact, ghost_scan, drift_recalc, integrity, integrity_details, zone_free_runs, zone_first_fit)}

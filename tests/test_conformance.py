@@ -299,3 +299,22 @@ def test_without_instances_bindings_stay(spark):
     now = spark.createDataFrame([(0, 3, False), (1, 4, True)], "sub_range long, instance_id long, in_transition boolean")
     none = now.where("sub_range < 0").select("sub_range", "instance_id")
     assert {tuple(r) for r in space.binding_changes(none, now).collect()} == {(0, 3, "keep"), (1, 4, "keep")}
+
+
+def test_words_of_bits_equal_sets_of_bits_and_are_few(spark):
+    """Records over borders of words and strips, one without units; the rows that are grouped are words, not bits."""
+    rng = random.Random(5)
+    rows = [(z, rng.randrange(200_000) * (z > 0), rng.choice([0, 1, 4, 64, 65, 200]), rng.random() < 0.7) for z in range(4) for _ in range(60)] + [(9, 64, 64, True), (9, 127, 2, True)]
+    records = spark.createDataFrame(rows, "zone_id long, unit_offset long, unit_count long, is_busy boolean")
+    held = lambda keep: {(z, b) for z, o, n, busy in rows if keep(z, o, busy) for b in range(o, o + n)}
+    a, b = held(lambda z, o, busy: busy), held(lambda z, o, busy: o % 3 > 0)
+    assert {tuple(r) for r in bitmap.bits(records.where("is_busy")).collect()} == a
+    found = {r.zone_id: (r.united, r.cleared, r.differ) for r in bitmap.set_operations(records.where("is_busy"), records.where("unit_offset % 3 > 0")).collect()}
+    by_zone = lambda bits: Counter(z for z, _ in bits)
+    assert found == {z: (by_zone(a | b)[z], by_zone(a - b)[z], by_zone(a ^ b)[z]) for z, _ in a | b}
+    grouped = bitmap.words(records.where("is_busy"))
+    assert {r.zone_id: r.s for r in grouped.groupBy("zone_id").agg(F.sum(bitmap.summed(F.col("word"), F.col("mask"))).alias("s")).collect()} == {z: sum(x for y, x in a if y == z) for z, _ in a}
+    assert grouped.count() == len({(z, x // 64) for z, x in a})
+    assert {(r.zone_id, r.stretch): r.used for r in bitmap.packed(records.where("is_busy")).collect()} == Counter((z, x // 32768) for z, x in a)
+    runs = {(r.zone_id, i) for r in bitmap.free_runs(records.where("is_busy"), 250_000).collect() for i in range(r.first, r.first + r.length)}
+    assert runs == {(z, i) for z in {z for z, _ in a} for i in range(250_000) if (z, i) not in a}
