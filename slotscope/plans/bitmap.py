@@ -35,13 +35,11 @@ def bitmap_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmap.set_operations(a, b)
 
 
-def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitmap.bits(_busy(spark, sf_dir).where("stamp <= 8000")).withColumn("snapshot_slot", F.lit(8000).cast("long"))
-
-
 def zone_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = block_records(spark, sf_dir).select("zone_id").distinct().withColumn("snapshot_slot", F.lit(8000).cast("long"))
-    return bitmap.replay(_snapshot(spark, sf_dir), block_records(spark, sf_dir), slots).groupBy("zone_id").agg(F.count("*").alias("used"), F.sum("bit").alias("bits"))
+    records = block_records(spark, sf_dir)
+    slots = records.select("zone_id").distinct().withColumn("snapshot_slot", F.lit(8000).cast("long"))
+    found = bitmap.replayed(_busy(spark, sf_dir).where("stamp <= 8000"), records, slots)
+    return found.groupBy("zone_id").agg(F.sum(bitmap.counted(F.col("mask"))).alias("used"), F.sum(bitmap.summed(F.col("word"), F.col("mask"))).alias("bits"))
 
 
 def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
