@@ -31,8 +31,7 @@ def bitmap_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bitmap_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, difference and symmetric difference of two views' bits, counted by zone."""
-    a, b = bitmap.bits(_busy(spark, sf_dir).where("stamp % 3 > 0")), bitmap.bits(_busy(spark, sf_dir).where("stamp % 3 < 2"))
-    return bitmap.set_operations(a, b)
+    return bitmap.set_operations(_busy(spark, sf_dir).where("stamp % 3 > 0"), _busy(spark, sf_dir).where("stamp % 3 < 2"))
 
 
 def zone_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
