@@ -46,7 +46,7 @@ def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    set_bits, stamps = bitmap.bits(_busy(spark, sf_dir)), _stamps(spark, sf_dir)
+    set_bits, stamps = bitmap.words(_busy(spark, sf_dir)), _stamps(spark, sf_dir)
     left, marks = bitmap.compact(set_bits, _free(spark, sf_dir), stamps)
     return bitmap.compacted_zones(set_bits, left, marks, stamps)
 
