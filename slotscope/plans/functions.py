@@ -117,41 +117,51 @@ def ec_placement_few_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.erasure_coded(_customers(spark, sf_dir), disk_groups(spark, sf_dir).withColumn("node_id", F.col("node_id") % 4), 6, 2)
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Lines dealt out by supplier in parts that hold as many whatever the input, and their number; what is grouped by supplier and more stays in its part."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    n = line.count()
+    return line.repartition(1 + n // placement.ROWS_A_TASK, "l_suppkey"), n
+
+
 def zone_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("zone_id"), F.col("l_orderkey").alias("at")).agg(F.sum("l_linenumber").cast("long").alias("units"))
-    return placement.allocate(requests, 2048)
+    line, n = _lines(spark, sf_dir)
+    requests = line.groupBy(F.col("l_suppkey").alias("zone_id"), F.col("l_orderkey").alias("at")).agg(F.sum("l_linenumber").cast("long").alias("units"))
+    return placement.allocate(requests, 2048, n)
 
 
 def zone_allocate_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each zone: its requests, those whose units overlap others or leave the zone (none), and whether what got no room would have found none."""
-    found = zone_allocate(spark, sf_dir)
-    before = F.max(F.col("unit_offset") + F.col("units")).over(W.partitionBy("zone_id").orderBy("unit_offset").rowsBetween(W.unboundedPreceding, -1))
-    placed = found.where("unit_offset >= 0").withColumn("bad", (F.col("unit_offset") < F.coalesce(before, F.lit(0))) | (F.col("unit_offset") + F.col("units") > 2048))
-    bad = placed.groupBy("zone_id").agg(F.count_if("bad").alias("n_bad"), F.sum("units").alias("used"))
-    counts = found.groupBy("zone_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("unit_offset") < 0, F.col("units"))).alias("least_refused"))
-    return counts.join(bad, "zone_id", "left").select("zone_id", "n", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), (F.coalesce("used", F.lit(0)) <= 2048).alias("fits"))
+    """Of each zone: its requests, those whose units overlap others or leave the zone (none), and whether its units fit."""
+    found = zone_allocate(spark, sf_dir).withColumn("placed", F.col("unit_offset") >= 0)
+    before = F.max(F.col("unit_offset") + F.col("units")).over(W.partitionBy("zone_id", "placed").orderBy("unit_offset").rowsBetween(W.unboundedPreceding, -1))
+    marked = found.withColumn("bad", F.col("placed") & ((F.col("unit_offset") < F.coalesce(before, F.lit(0))) | (F.col("unit_offset") + F.col("units") > 2048)))
+    used = F.coalesce(F.sum(F.when(F.col("placed"), F.col("units"))), F.lit(0))
+    return marked.groupBy("zone_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), (used <= 2048).alias("fits"))
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("dg_id"), F.col("l_orderkey").alias("at"))
-    requests = line.agg(F.sum("l_linenumber").cast("long").alias("units"), (F.min("l_linenumber") % 3 + 1).cast("long").alias("n"))
-    return requests, disks(spark, sf_dir).where("disk_status = 1").select("dg_id", "disk_no")
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    line, n = _lines(spark, sf_dir)
+    requests = line.groupBy(F.col("l_suppkey").alias("dg_id"), F.col("l_orderkey").alias("at")).agg(F.sum("l_linenumber").cast("long").alias("units"), (F.min("l_linenumber") % 3 + 1).cast("long").alias("n"))
+    return requests, disks(spark, sf_dir).where("disk_status = 1").select("dg_id", "disk_no"), n
 
 
 def dg_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, up = _blocks(spark, sf_dir)
-    return placement.allocate_blocks(requests, up, zones_each=2, capacity=512)
+    requests, up, n = _blocks(spark, sf_dir)
+    return placement.allocate_blocks(requests, up, zones_each=2, capacity=512, about=n)
 
 
 def dg_allocate_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each group: its requests, and blocks that share a disk with one of their request, overlap, or stand beyond their zone (none of them)."""
-    found = dg_allocate(spark, sf_dir)
-    placed = found.where("nth >= 0")
-    shared = placed.groupBy("dg_id", "at").agg((F.count("*") - F.count_distinct("disk_no")).alias("shared")).groupBy("dg_id").agg(F.sum("shared").alias("n_shared"))
+    """Of each group: its requests, and blocks that share a disk with one of their request, overlap, or stand beyond their zone (none of them).
+
+    The allocation is run once and its rows are dealt out by group once; all that is counted stays within a group's part.
+    """
+    n = table(spark, sf_dir, "lineitem").count()
+    found = dg_allocate(spark, sf_dir).repartition(1 + n // placement.ROWS_A_TASK, "dg_id")
     before = F.max(F.col("unit_offset") + F.col("units")).over(W.partitionBy("dg_id", "disk_no", "zone").orderBy("unit_offset").rowsBetween(W.unboundedPreceding, -1))
-    bad = placed.withColumn("bad", (F.col("unit_offset") < F.coalesce(before, F.lit(0))) | (F.col("unit_offset") + F.col("units") > 512)).groupBy("dg_id").agg(F.count_if("bad").alias("n_bad"))
-    counts = found.groupBy("dg_id").agg(F.count_distinct("at").alias("n"))
-    return counts.join(shared, "dg_id", "left").join(bad, "dg_id", "left").select("dg_id", "n", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+    bad = (F.col("nth") >= 0) & ((F.col("unit_offset") < F.coalesce(before, F.lit(0))) | (F.col("unit_offset") + F.col("units") > 512))
+    on_disk = found.withColumn("bad", bad).groupBy("dg_id", "at", "disk_no").agg((F.count_if(F.col("nth") >= 0)).alias("placed"), F.count_if("bad").alias("n_bad"))
+    of_request = on_disk.groupBy("dg_id", "at").agg(F.sum(F.greatest(F.col("placed") - 1, F.lit(0))).alias("n_shared"), F.sum("n_bad").alias("n_bad"))
+    return of_request.groupBy("dg_id").agg(F.count("*").alias("n"), F.sum("n_shared").alias("n_shared"), F.sum("n_bad").alias("n_bad"))
 
 
 QUERIES = {f.__name__: f for f in (key_codec_roundtrip, key_errors, text_key_order, id_fields, xxh64_bucket, splitmix_value, size_mix, batch_decode, crc32_zone, crc32c_known, value_render, ec_roundtrip, mirror_placement, ec_placement, ec_placement_few_nodes, zone_allocate, zone_allocate_checked, dg_allocate, dg_allocate_checked)}
