@@ -395,3 +395,23 @@ def test_pipeline(spark):
             assert abs(words(after) - 1.5 * words(before.values())) < 0.1 * words(before.values())
     run = pipeline.run(spark, sf)
     assert Counter((r.doc_id, r.mix_copy) for r in run.collect()) == Counter((r.doc_id, r.mix_copy) for r in docs.collect())
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """All labelled rows are dealt out and counted, none is left out for its rank or size, and parts' steps are averaged alike on reruns."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join([*rng.choice(words, 12), *(["vile"] if i % 3 == 0 else [])]), "en") for i in range(900)] + [(900, "long " * 900_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(901)], "doc_id long, toxic int")
+    learnt = [i for i in range(901) if zlib.crc32(str(i).encode()) % 5]
+    monkeypatch.setattr(toxicity, "PART_ROWS", 150)
+    dealt, n_parts, n_fit = toxicity._dealt(docs, labels)
+    found = dealt.select("label_value", "checked", F.octet_length("ids").alias("n")).collect()
+    assert n_parts > 1 and len(found) == len(learnt) and n_fit == sum(not r.checked for r in found)
+    assert (max(r.n for r in found) == 4 * 900_000) == (900 in learnt)
+    seen, sizes = toxicity._counts(dealt)
+    assert sizes.sum() == n_fit and seen.sum(0).max() <= n_fit
+    scores = [{r.doc_id: r.toxic_score for r in toxicity.toxicity(d, labels).collect()} for d in (docs, docs.repartition(5))]
+    assert scores[0] == scores[1]
+    assert np.mean([(scores[0][i] >= 0.5) == (i % 3 == 0) for i in range(900)]) > 0.95
