@@ -110,17 +110,19 @@ def first_weights(seen: np.ndarray, sizes: np.ndarray, seed: int = 3) -> Weights
     return Weights(table, np.full(BUCKETS, 1e-6, np.float32), [*filters, np.zeros(n_out, np.float32), np.full(n_out, 0.1, np.float32), np.zeros(1, np.float32)], known)
 
 
-def _strongest(x: np.ndarray, table: np.ndarray, f: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a text's responses to the filters are largest, and these, strip by strip; -1 and 0 in a text of fewer words than a filter."""
-    best, top = np.full(FILTERS, -1), np.zeros(FILTERS, np.float32)
-    for at in range(0, len(x) - w + 1, STRIP):
-        emb = table[x[at : at + STRIP + w - 1]].sum(1)
-        n = len(emb) - w + 1
-        total = sum(emb[j : j + n] @ f[j * DIMS : (j + 1) * DIMS] for j in range(w))
-        here = total.argmax(0)
-        value = total[here, np.arange(FILTERS)]
-        more = (best < 0) | (value > top)
-        best, top = np.where(more, here + at, best), np.where(more, value, top)
+def _strongest(x: np.ndarray, table: np.ndarray, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text's responses to each filter are largest, and these, strip by strip; -1 and 0 in a text of fewer words than the filter."""
+    best, top = np.full(FILTERS * len(WIDTHS), -1), np.zeros(FILTERS * len(WIDTHS), np.float32)
+    for at in range(0, len(x), STRIP):
+        emb = table[x[at : at + STRIP + max(WIDTHS) - 1]].sum(1)
+        for g, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
+            n, cols = min(STRIP, len(emb) - w + 1), slice(g * FILTERS, (g + 1) * FILTERS)
+            if n > 0:
+                total = sum(emb[j : j + n] @ f[j * DIMS : (j + 1) * DIMS] for j in range(w))
+                here = total.argmax(0)
+                value = total[here, np.arange(FILTERS)]
+                more = (best[cols] < 0) | (value > top[cols])
+                best[cols], top[cols] = np.where(more, here + at, best[cols]), np.where(more, value, top[cols])
     return best, top
 
 
@@ -137,9 +139,7 @@ def take_steps(ids: list[np.ndarray], y: np.ndarray, now: Weights, epochs: int,
             batch = fit[begin : begin + BATCH]
             pooled, best = np.zeros((len(batch), n_out), np.float32), np.full((len(batch), n_out), -1)
             for k, i in enumerate(batch):
-                for g, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
-                    cols = slice(g * FILTERS, (g + 1) * FILTERS)
-                    best[k, cols], pooled[k, cols] = _strongest(ids[i], table, f, w)
+                best[k], pooled[k] = _strongest(ids[i], table, filters)
             active = np.maximum(pooled + bias, 0)
             error = (sigmoid(active @ weights + constant[0]) - y[batch]) / len(batch)
             grad_pool = error[:, None] * weights * (pooled + bias > 0) * (best >= 0)
