@@ -8,11 +8,12 @@ most alike neighbour on each side ties the nodes of a dense region together; the
 the most alike among those of other components alone, which what is linked already can't crowd out. Orders are range-partitioned with the
 node in the key, so ever so many equal signatures split; the rows on both sides of a border are compared in a task of their own, so
 where borders fall decides nothing. A sketch of one bit a MinHash, on the second walk of four, drops unlike
-candidates; the others are confirmed on their full shingle sets.
+candidates. Those of the first walk are confirmed on their full shingle sets, pair by pair.
 
 Where a region holds more nodes than an order reaches, or more alike ones than become candidates, links may be left. So
-components that candidates tie together are a cluster, and all pairs of a cluster that lie between different components are
-compared exactly, but where each of them was a candidate: nodes outside the cluster's largest component meet all others, block by block.
+components that candidates of either walk tie together are a cluster, and all pairs of a cluster that lie between different components are
+compared exactly, on full shingle sets: nodes outside the cluster's largest component meet all others, block by block. A dense region's many
+candidates of the second walk so need no confirming of their own. Where each pair of a cluster was a candidate, these are confirmed instead.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a text of
 fewer words than a shingle has is one shingle; rows that repeat share a component; a null doc_id never is a component's
@@ -168,10 +169,11 @@ def _best_pairs(rows: pa.Table, ahead: np.ndarray, behind: np.ndarray, percent:
     pair = np.unique(pair[:, 0] * n + pair[:, 1])
     u, v = pair // n, pair % n
     nodes = pa.concat_arrays(rows.column("node").chunks)
-    return {"x": nodes.take(pa.array(u)), "y": nodes.take(pa.array(v))}
+    of = pa.concat_arrays(rows.column("root").chunks)
+    return {"x": nodes.take(pa.array(u)), "y": nodes.take(pa.array(v)), "root_x": of.take(pa.array(u)), "root_y": of.take(pa.array(v))}
 
 
-PAIRS = "x binary, y binary"
+PAIRS = "x binary, y binary, root_x binary, root_y binary"
 #: The rows that stand next to a border of partitions, in order by seq, which is below 0 before the border.
 EDGES = "border long, seq int, tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary"
 
@@ -234,7 +236,7 @@ def _over_border(percent: int, most: int, bits: int):
 
 
 def _candidates(nodes: DataFrame, percent: int, most: int, bits: int, parts: int) -> DataFrame:
-    """Pairs (u, v) of near nodes that share no root."""
+    """Pairs (u, v) of near nodes that share no root, with root_u and root_v."""
     # partitions are large beside a node's neighbours
     parts = max(1, min(max(parts, TREES), nodes.count() * TREES // (40 * REACH)))
     orders = nodes.select("node", "n_shingles", "signature", "root").mapInArrow(_orders(bits), "tree int, prefix binary, node binary, n_shingles long, sketch binary, root binary")
@@ -242,7 +244,8 @@ def _candidates(nodes: DataFrame, percent: int, most: int, bits: int, parts: int
     # both read one exchange of the sorted orders
     over = sorted_orders.mapInArrow(_edges, EDGES).groupBy("border").applyInArrow(_over_border(percent, most, bits), PAIRS)
     near = sorted_orders.mapInArrow(_neighbours(percent, most, bits), PAIRS).unionByName(over)
-    return near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    x, y = F.struct(F.col("x").alias("node"), F.col("root_x").alias("root")), F.struct(F.col("y").alias("node"), F.col("root_y").alias("root"))
+    return near.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.root").alias("root_u"), F.col("b.root").alias("root_v")).distinct()
 
 
 def _squeeze(wanted):
@@ -334,9 +337,10 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.withColumns({"root_u": F.coalesce("root_u", "u"), "root_v": F.coalesce("root_v", "v")}).where("root_u != root_v")
 
 
-def _left_over(nodes: DataFrame, pairs: DataFrame, bodies: DataFrame, roots: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Links (u, v) between components that candidates tie together, among all their nodes."""
-    apart = stash(_apart(pairs.select("u", "v"), roots), "apart")
+def _left_over(nodes: DataFrame, pairs: DataFrame, more: DataFrame, bodies: DataFrame, roots: DataFrame, n_words: int, percent: int, confirmed) -> DataFrame:
+    """Links (u, v) between components that candidates tie together, among all their nodes. pairs are confirmed, and so no links where they lie apart; more are not."""
+    tried, fresh = _apart(pairs.select("u", "v"), roots).withColumn("fresh", F.lit(False)), more.withColumn("fresh", F.lit(True))
+    apart = stash(tried.unionByName(fresh).groupBy("u", "v", "root_u", "root_v").agg(F.bool_and("fresh").alias("fresh")), "apart")
     tied = components(apart.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
     clusters = stash(tied.toDF("root", "cluster").unionByName(tied.select(F.col("root").alias("cluster")).distinct().select(F.col("cluster").alias("root"), "cluster")), "clusters")
     held = stash(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(clusters, "root"), "held")
@@ -350,7 +354,9 @@ def _left_over(nodes: DataFrame, pairs: DataFrame, bodies: DataFrame, roots: Dat
     outside = placed.where("root != top").select("cluster", dealt("parts").alias("part"), every("others").alias("other"), F.lit(True).alias("outside"), "node", "root", "body")
     others = placed.select("cluster", every("parts").alias("part"), dealt("others").alias("other"), F.lit(False).alias("outside"), "node", "root", "body")
     met = outside.unionByName(others).groupBy("cluster", "part", "other").applyInArrow(_compare(n_words, percent), "u binary, v binary")
-    return stash(met.distinct(), "links")
+    small = clusters.join(plan, "cluster", "left_anti").select(F.col("root").alias("root_u"))
+    rest = stash(apart.where("fresh").join(small, "root_u", "left_semi").select("u", "v"), "rest")
+    return stash(met.unionByName(confirmed(rest)).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
@@ -380,8 +386,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     # a node without a neighbour before has none among those of other components
     again = nodes.join(wanted.select("node"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = stash(_candidates(again, percent, MOST_ALIKE, MORE_BITS, n), "pairs")
-    roots = _joined(roots, confirmed(more))
-    roots = _joined(roots, _left_over(nodes, pairs.unionByName(more).distinct(), bodies, roots, n_words, percent))
+    roots = _joined(roots, _left_over(nodes, pairs, more, bodies, roots, n_words, percent, confirmed))
 
     rooted = nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
     # a large component is a hot key: written first, its row meets its nodes in a join whose sides Spark can split or broadcast

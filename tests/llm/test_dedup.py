@@ -219,6 +219,44 @@ def test_links_found_in_dense_groups_at_the_threshold(spark, parts):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_truth(rows, 3, 85)
 
 
+def test_candidates_of_a_dense_region_are_compared_in_blocks_and_not_confirmed_again(spark, monkeypatch):
+    """Texts a little below the threshold: the second walk has many candidates among them and hardly a link."""
+    rng = random.Random(23)
+    base, rows = [f"v{i}" for i in range(90)], []
+    for i in range(250):
+        words = base.copy()
+        for k in rng.sample(range(90), 2):
+            words[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    confirmed, walks, confirm, stash = spark.sparkContext.accumulator(0), [], near_dedup._confirm, near_dedup.stash
+
+    def counting(n_words, percent):
+        inner = confirm(n_words, percent)
+
+        def count(batches):
+            def passed():
+                for batch in batches:
+                    confirmed.add(batch.num_rows)
+                    yield batch
+
+            yield from inner(passed())
+
+        return count
+
+    def noted(df, kind):
+        out = stash(df, kind)
+        if kind == "pairs":
+            walks.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_confirm", counting)
+    monkeypatch.setattr(near_dedup, "stash", noted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_truth(rows, 3, 85)
+    assert walks[1] > 2 * walks[0] > 0
+    assert confirmed.value < walks[0] + walks[1] // 10
+
+
 @pytest.mark.parametrize("edges_a_task", [16, 1 << 18])
 def test_components_of_paths_stars_and_rings(spark, monkeypatch, edges_a_task):
     monkeypatch.setattr("slotscope.llm.components.EDGES_A_TASK", edges_a_task)
