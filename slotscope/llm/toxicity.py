@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -324,19 +325,33 @@ def _ids_of(wanted):
     return ids_of
 
 
+def _with_labels(rows: pa.Table, given: pa.Table) -> pa.Table:
+    """A part's rows that have a label, with it."""
+    at = pc.index_in(rows.column("doc_id").combine_chunks(), value_set=given.column("doc_id").combine_chunks())
+    label = given.column("label_value").take(at.drop_null())
+    return rows.filter(at.is_valid()).select(["part", "lang", "ids"]).append_column("label_value", label)
+
+
 def _dealt(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     """All labelled rows outside the held-out fold, dealt into parts: label_value, lang, ids, checked, part; the parts' number and the rows trained on."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label_value"))
     same = known.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "label_value")
     some = docs.sparkSession.sparkContext.broadcast(KeyFilter(same.select(F.xxhash64("doc_id").alias("id_key")), "id_key"))
     source = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("id_key"))
-    made = source.mapInArrow(_ids_of(some), f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, ids binary")
-    hashed = made.join(same, "doc_id").select("label_value", "lang", "ids", F.xxhash64(F.lit(5), "ids", "label_value", "lang").alias("h"))
-    rows = stash(hashed.withColumn("checked", F.pmod("h", F.lit(5)) == 0), "labelled")
-    n_fit, n_bytes = rows.agg(F.count_if(~F.col("checked")), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    id_kind = dict(docs.dtypes)["doc_id"]
+    made = source.mapInArrow(_ids_of(some), f"doc_id {id_kind}, lang string, ids binary").withColumn("deal", F.xxhash64(F.lit(5), "ids", "lang"))
+    # labels meet narrow rows; the buckets are made again and travel once, to their part
+    mark = lambda label: F.pmod(F.xxhash64(F.lit(5), "ids", label, "lang"), F.lit(5)) == 0
+    narrow = made.select("doc_id", "deal", F.octet_length("ids").alias("n"), mark(F.lit(0)).alias("checked_0"), mark(F.lit(1)).alias("checked_1"))
+    found = stash(narrow.join(same, "doc_id").withColumn("checked", F.when(F.col("label_value") == 1, F.col("checked_1")).otherwise(F.col("checked_0"))).select("doc_id", "label_value", "deal", "n", "checked"), "labelled")
+    n_fit, n_bytes = found.agg(F.count_if(~F.col("checked")), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_parts = 1 + max(n_fit // PART_ROWS, n_bytes // PART_BYTES)
-    part = F.pmod(F.shiftright("h", 3), F.lit(n_parts)).cast("int").alias("part")
-    dealt = rows.select("label_value", "lang", "ids", "checked", part, "h").repartition(n_parts, "part").sortWithinPartitions("part", "h", "ids", "label_value", "lang")
+    part = F.pmod(F.shiftright("deal", 3), F.lit(n_parts)).cast("int").alias("part")
+    given = found.select(part, "doc_id", "label_value").distinct().repartition(n_parts, "part").groupBy("part")
+    sent = made.select(part, "doc_id", "lang", "ids").repartition(n_parts, "part").groupBy("part")
+    met = sent.cogroup(given).applyInArrow(_with_labels, "part int, lang string, ids binary, label_value int")
+    rows = met.select("label_value", "lang", "ids", "part", F.xxhash64(F.lit(5), "ids", "label_value", "lang").alias("h")).withColumn("checked", F.pmod("h", F.lit(5)) == 0)
+    dealt = rows.select("label_value", "lang", "ids", "checked", "part", "h").sortWithinPartitions("part", "h", "ids", "label_value", "lang")
     return cut(dealt.drop("h")), n_parts, n_fit
 
 

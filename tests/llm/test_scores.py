@@ -415,3 +415,42 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     scores = [{r.doc_id: r.toxic_score for r in toxicity.toxicity(d, labels).collect()} for d in (docs, docs.repartition(5))]
     assert scores[0] == scores[1]
     assert np.mean([(scores[0][i] >= 0.5) == (i % 3 == 0) for i in range(900)]) > 0.95
+
+
+def test_buckets_of_labelled_rows_travel_once(spark, monkeypatch):
+    """Labels meet rows without buckets, and repeated ids and rows neither get lost nor multiply."""
+    words = [f"w{i}" for i in range(40)]
+    made = [(i, " ".join(random.Random(i).choices(words, k=30)), "en" if i % 3 else None) for i in range(400)] + [(7, "other text", "en"), (8, "twice", "de"), (8, "twice", "de"), (None, "x", "en"), (9000, "no label", "en")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(4, 0), (None, 1)], "doc_id long, toxic int")
+    names = set()
+
+    def joined(plan):
+        kids = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            names.update(kid.output().apply(j).name() for kid in kids for j in range(kid.output().size()))
+        for kid in kids:
+            joined(kid)
+
+    def noted(keep):
+        def keeping(df, *kind):
+            joined(df._jdf.queryExecution().optimizedPlan())
+            return keep(df, *kind)
+
+        return keeping
+
+    monkeypatch.setattr(toxicity, "cut", noted(toxicity.cut))
+    monkeypatch.setattr(toxicity, "stash", noted(toxicity.stash))
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    dealt, n_parts, n_fit = toxicity._dealt(docs, labels)
+    assert "doc_id" in names and "ids" not in names
+    got = dealt.collect()
+    label = {i: i % 2 for i in range(400)}
+    mine = Counter((4 * len(t.split()), lang, label[i]) for i, t, lang in made if i in label and zlib.crc32(str(i).encode()) % 5)
+    assert Counter((len(r.ids), r.lang, r.label_value) for r in got) == mine
+    assert n_fit == sum(not r.checked for r in got) and n_parts == 1 + n_fit // 100 > 1
+    assert {r.part for r in got} <= set(range(n_parts))
+    of = defaultdict(set)
+    for r in got:
+        of[bytes(r.ids), r.lang].add(r.part)
+    assert all(len(x) == 1 for x in of.values())
