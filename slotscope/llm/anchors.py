@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from slotscope.llm.words import BYTE_VALUE, mix, powers
+from slotscope.llm.words import BYTE_VALUE, powers
 
 #: Bytes of the strings whose hashes are compared within a window.
-GRAM = 16
+GRAM = 24
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def running_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -15,7 +16,9 @@ def running_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[data] * power[:-1], out=sums[1:])
+        values = BYTE_VALUE[data]
+        values *= power[:-1]
+        np.cumsum(values, out=sums[1:])
     return sums, inverse
 
 
@@ -24,7 +27,10 @@ def window_anchors(sums: np.ndarray, inverse: np.ndarray, window: int) -> np.nda
     if len(sums) <= window:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        least = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(sums) - GRAM])
+        least = sums[GRAM:] - sums[:-GRAM]
+        least *= inverse[: len(least)]
+        least ^= least >> np.uint64(32)  # half of what mix does: which hash is the least, its upper bits decide
+        least *= SPREAD
     wide, span = window - GRAM + 1, 1
     while span * 2 <= wide:
         least = np.minimum(least[:-span], least[span:])
@@ -43,14 +49,11 @@ def anchor_runs(offsets: np.ndarray, sums: np.ndarray, inverse: np.ndarray, wind
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     change = np.ones(len(anchors), bool)
     change[1:] = anchors[1:] != anchors[:-1]
-    inside = np.zeros(len(anchors) + 1, np.int8)
-    lows, highs = offsets[:-1][rows], offsets[1:][rows] - window + 1
-    np.add.at(inside, lows, 1)
-    np.add.at(inside, highs, -1)
-    inside = np.cumsum(inside)[:-1] > 0
-    change[lows] = True
-    at = np.flatnonzero(change & inside)
+    change[offsets[:-1][rows]] = True
+    at = np.flatnonzero(change)
     last = np.append(at[1:], len(anchors)) - 1
     row = np.searchsorted(offsets, at, "right") - 1
-    last = np.minimum(last, offsets[row + 1] - window)
+    most = offsets[row + 1] - window
+    inside = np.flatnonzero(at <= most)  # the others reach over their row's end
+    row, at, last = row[inside], at[inside], np.minimum(last, most)[inside]
     return row, at, last, anchors[at]

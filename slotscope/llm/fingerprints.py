@@ -45,23 +45,22 @@ def _read(blob: bytes, open_up) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _union(messages: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Each message's values; of all together the different values, whether one is held more than once, and its weight."""
+    """Of each message the places of its values among all different ones; these, whether one is held more than once, and its weight."""
     open_up = zstandard.ZstdDecompressor()
     sent = [_read(b, open_up) for b in messages.column("blob").to_pylist()]
     every = np.concatenate([s[0] for s in sent])
     order = np.argsort(every)
     every = every[order]
-    begins = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    begins, place = np.flatnonzero(new), np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
     several = np.logical_or.reduceat(np.concatenate([s[1] for s in sent])[order], begins) | (np.diff(begins, append=len(every)) > 1)
     weights = np.add.reduceat(np.concatenate([s[2] for s in sent])[order].astype(np.int64), begins)
-    return [s[0] for s in sent], every[begins], several, weights
+    return np.split(place, np.cumsum([len(s[0]) for s in sent])[:-1]), every[begins], several, weights
 
 
-def _replies(messages: pa.Table, sent: list[np.ndarray], values: np.ndarray, several: np.ndarray, hot: np.ndarray) -> pa.Table:
-    told = []
-    for mine in sent:
-        at = np.searchsorted(values, mine)
-        told.append(np.packbits(several[at]).tobytes() + np.packbits(hot[at]).tobytes())
+def _replies(messages: pa.Table, sent: list[np.ndarray], several: np.ndarray, hot: np.ndarray) -> pa.Table:
+    told = [np.packbits(several[at]).tobytes() + np.packbits(hot[at]).tobytes() for at in sent]
     return pa.table({"sender": messages.column("sender"), "part": messages.column("part"), "reply": pa.array(told, pa.binary())})
 
 
@@ -93,8 +92,8 @@ def held_by_several(messages: DataFrame, routes: Routes, hot: int = MOST_WEIGHT)
         return merged
 
     def answer(rows: pa.Table) -> pa.Table:
-        sent, values, several, weights = _union(rows)
-        return _replies(rows, sent, values, several, several & (weights > hot))
+        sent, _, several, weights = _union(rows)
+        return _replies(rows, sent, several, several & (weights > hot))
 
     def forward(level: int):
         def forwarded(rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -102,7 +101,7 @@ def held_by_several(messages: DataFrame, routes: Routes, hot: int = MOST_WEIGHT)
                 return pa.table({"sender": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "reply": pa.array([], pa.binary())})
             _, part = routes.place(rows.column("to")[0].as_py(), level)
             sent, values, _, _ = _union(rows)
-            return _replies(rows, sent, values, *read_replies(replies, sizes_of(routes, values, level + 1, part)))
+            return _replies(rows, sent, *read_replies(replies, sizes_of(routes, values, level + 1, part)))
 
         return forwarded
 

@@ -11,6 +11,10 @@ that many documents share is one string a block, and one string a hop on the way
 An anchor around which very many different strings stand, as in a line that everybody writes, is split: its windows
 travel one by one and meet by the hash of all their bytes.
 
+Texts of a small vocabulary share ever more anchors by chance as they grow in number, without sharing a window. A string that
+is alone at its anchor, or of whose windows none has the hash of a window of another string, is left out of the transform: there
+its own smallest doc_id is the answer.
+
 Defined results: null text has no bytes; texts shorter than the threshold lose nothing; rows of one doc_id never lose
 bytes to each other; a null doc_id is larger than all others; no rows give no rows; other columns are not read.
 """
@@ -24,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotscope.llm import routing
 from slotscope.llm.anchors import anchor_runs, running_hash
 from slotscope.llm.bwt import SEPARATOR, prefix_boundaries, suffix_order
 from slotscope.llm.fingerprints import block_messages, fingerprint, held_by_several, read_replies, sizes_of
@@ -33,13 +38,15 @@ from slotscope.llm.words import mix
 
 LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text that a block's anchors are made for at once.
-CHUNK_BYTES = 1 << 17
+CHUNK_BYTES = 1 << 16
 #: Symbols that are sorted together, few enough for the cache.
 SORTED_SYMBOLS = 120_000
+#: Bytes of strings whose windows are compared by hash at once.
+SIFTED_BYTES = 1 << 18
 #: Stored bytes of a block of documents.
 BLOCK_BYTES = 8 << 20
 #: Different strings of an anchor, counted by block, above which its windows are split; a block counts exactly from COUNTED on.
-HOT_STRINGS, COUNTED = 4096, 16
+HOT_STRINGS, COUNTED = 8192, 16
 #: Stretches whose bytes are compared at once.
 COMPARED = 1 << 15
 
@@ -73,6 +80,27 @@ def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
+def _meeting(anchors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What strings are sorted by: the upper halves of their anchors, and of hashes of their bytes."""
+    return anchors >> np.uint64(32) << np.uint64(32) | hashes >> np.uint64(32)
+
+
+def _told_apart(data: np.ndarray, first: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """new, which begins runs of strings that are held to be equal, where strings that differ from their run's first one begin runs of their own."""
+    leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    others = np.flatnonzero(~new)
+    for at in range(0, len(others), COMPARED):
+        mine = others[at : at + COMPARED]
+        n, m = size[mine], size[leader[mine]]
+        both = np.minimum(n, m)
+        differ = data[_spread(both, first[mine])] != data[_spread(both, first[leader[mine]])]
+        wrong = mine[np.logical_or.reduceat(differ, np.cumsum(both) - both) | (n != m)]
+        new[wrong] = True
+        after = wrong[wrong + 1 < len(new)] + 1
+        new[after] = True
+    return new
+
+
 def _ask(routes: Routes, threshold: int):
     """Sends a block's anchors to their owners: whether several of its documents have one, and how many different strings stand around it."""
 
@@ -104,25 +132,30 @@ class _Block:
         self.data, self.offsets = utf8_column(rows.column("text"))
         self.ids = _ids(rows.column("doc_id"))
         parts = list(_runs(self.data, self.offsets, threshold))
-        values = np.concatenate([*(fingerprint(p[3]) for p in parts), np.zeros(0, np.uint64)])
-        values.sort()
-        values = values[_begins(values)]
-        several, hot = read_replies(answers, sizes_of(routes, values))
-        hot, wanted = hot[several], values[several]
-        found = []
+        sent = np.concatenate([*(fingerprint(p[3]) for p in parts), np.zeros(0, np.uint64)])
+        order = np.argsort(sent)
+        begins = _begins(sent[order])
+        several, hot = read_replies(answers, sizes_of(routes, sent[order[begins]]))
+        of = np.empty(len(sent), np.int64)
+        of[order] = np.cumsum(begins) - 1
+        del sent, order, begins
+        found, at = [], 0
         for part in parts:
-            at = np.minimum(np.searchsorted(wanted, fingerprint(part[3])), max(0, len(wanted) - 1))
-            keep = np.flatnonzero(wanted[at] == fingerprint(part[3])) if len(wanted) else np.zeros(0, np.int64)
-            part = [x[keep] for x in part]
-            found.append(self._windows(part, hot[at[keep]], threshold) if len(wanted) else part)
+            mine = of[at : at + len(part[0])]
+            at += len(mine)
+            keep = np.flatnonzero(several[mine])
+            found.append(self._windows([x[keep] for x in part], hot[mine[keep]], threshold))
+        del parts, of
         kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
         row, first, last, anchor, whole = (np.concatenate([*(f[k] for f in found), np.zeros(0, t)]) for k, t in enumerate(kinds))
-        order = np.lexsort((self.ids[row], whole, anchor))
-        self.row, self.first, self.last, self.anchor, whole = (x[order] for x in (row, first, last, anchor, whole))
-        new = self._verified(_begins(self.anchor, whole), threshold)
-        #: Of each stretch, its string; of each string, the first stretch, which has its smallest doc_id.
+        met = _meeting(anchor, whole)
+        order = np.argsort(met)
+        self.row, self.first, self.last, self.anchor = (x[order] for x in (row, first, last, anchor))
+        new = self._verified(_begins(met[order]), threshold)
+        #: Of each stretch, its string; of each string, its first stretch and its smallest doc_id.
         self.string = np.cumsum(new) - 1
         self.leader = np.flatnonzero(new)
+        self.least = np.minimum.reduceat(self.ids[self.row], self.leader) if len(new) else np.zeros(0, np.int64)
 
     def _windows(self, part: list[np.ndarray], hot: np.ndarray, threshold: int) -> list[np.ndarray]:
         """The stretches, those of hot anchors window by window, with a hash of the whole window as their anchor."""
@@ -139,18 +172,7 @@ class _Block:
 
     def _verified(self, new: np.ndarray, threshold: int) -> np.ndarray:
         """new, where stretches that don't have their string's bytes, however equal their hashes, are strings of their own."""
-        leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        others = np.flatnonzero(~new)
-        for at in range(0, len(others), COMPARED):
-            mine = others[at : at + COMPARED]
-            n, m = self.last[mine] - self.first[mine], self.last[leader[mine]] - self.first[leader[mine]]
-            size = np.minimum(n, m) + threshold
-            differ = self.data[_spread(size, self.first[mine])] != self.data[_spread(size, self.first[leader[mine]])]
-            wrong = mine[np.logical_or.reduceat(differ, np.cumsum(size) - size) | (n != m)]
-            new[wrong] = True
-            after = wrong[wrong + 1 < len(new)] + 1
-            new[after] = True
-        return new
+        return _told_apart(self.data, self.first, self.last - self.first + threshold, new)
 
 
 #: A message of strings: how many there are; of each the upper half of its anchor, its smallest doc_id and its length; and their bytes.
@@ -167,12 +189,11 @@ def _send(routes: Routes, threshold: int):
         block = _Block(rows, answers, routes, threshold)
         anchor = block.anchor[block.leader]
         cuts = routes.cuts(anchor, 1)
-        view = memoryview(np.ascontiguousarray(block.data))
         for k in np.flatnonzero(np.diff(cuts)):
             mine = block.leader[cuts[k] : cuts[k + 1]]
-            first, stop = block.first[mine], block.last[mine] + threshold
+            first, size = block.first[mine], block.last[mine] + threshold - block.first[mine]
             parts.append(int(k))
-            blobs.append(_pack(block.anchor[mine], block.ids[block.row[mine]], stop - first, [view[i:j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)], press))
+            blobs.append(_pack(anchor[cuts[k] : cuts[k + 1]], block.least[cuts[k] : cuts[k + 1]], size, [block.data[_spread(size, first)].tobytes()], press))
         name = rows.column("block")[0].as_py()
         return routes.messages(name, name, 1, parts, blobs)
 
@@ -182,44 +203,48 @@ def _send(routes: Routes, threshold: int):
 class _Strings:
     """The different strings of several messages, in the order of their anchors, each with its smallest doc_id.
 
-    Strings of one anchor stand in the order of their senders, so that a hop which reads its messages again meets the same order, however they arrive.
+    Messages are read in the order of their senders, so that a hop which reads its messages again meets the same order, however they arrive.
+    Two that are equal may stand apart, if another one with their hash stands between them; they then are two strings of one anchor.
     """
 
     def __init__(self, messages: pa.Table):
         self.messages = messages = messages.sort_by("sender")
         open_up = zstandard.ZstdDecompressor()
-        known: dict[bytes, int] = {}
-        strings: list[bytes] = []
-        ids: list[int] = []
-        anchors: list[int] = []
-        sent = []
-        for blob in messages.column("blob").to_pylist():
-            body = open_up.decompress(blob)
+        parts = []
+        for blob in messages.column("blob"):
+            body = open_up.decompress(blob.as_buffer())
             n = int(np.frombuffer(body, np.int64, 1)[0])
-            high = np.cumsum(np.frombuffer(body, np.uint32, n, 8), dtype=np.uint32).tolist()
-            docs, stops = np.frombuffer(body, np.int64, n, 8 + 4 * n).tolist(), (np.cumsum(np.frombuffer(body, np.int32, n, 8 + 12 * n), dtype=np.int64) + 8 + 16 * n).tolist()
-            start, mine = 8 + 16 * n, np.empty(n, np.int64)
-            for k, (doc, stop) in enumerate(zip(docs, stops, strict=True)):
-                string = body[start:stop]
-                start = stop
-                if (found := known.get(string)) is None:
-                    found = known[string] = len(strings)
-                    strings.append(string)
-                    ids.append(doc)
-                    anchors.append(high[k])
-                elif doc < ids[found]:
-                    ids[found] = doc
-                mine[k] = found
-            sent.append(mine)
-        high = np.array(anchors, np.uint64) << np.uint64(32)
-        order = np.argsort(high, kind="stable")
+            high = np.cumsum(np.frombuffer(body, np.uint32, n, 8), dtype=np.uint32)
+            parts.append((high, np.frombuffer(body, np.int64, n, 8 + 4 * n), np.frombuffer(body, np.int32, n, 8 + 12 * n), np.frombuffer(body, np.uint8, offset=8 + 16 * n)))
+        high, ids, lengths, self.data = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        counts = [len(p[0]) for p in parts]
+        del parts
+        lengths = lengths.astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        hashes = np.empty(len(ids), np.uint64)
+        for i, j in chunks(offsets, CHUNK_BYTES):
+            at = offsets[i : j + 1] - offsets[i]
+            sums, inverse = running_hash(self.data[offsets[i] : offsets[j]])
+            hashes[i:j] = mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + lengths[i:j].astype(np.uint64))
+        met = _meeting(high.astype(np.uint64) << np.uint64(32), hashes)
+        order = np.argsort(met)
+        new = _told_apart(self.data, offsets[order], lengths[order], _begins(met[order]))
+        begins = np.flatnonzero(new)
+        leader = order[begins]
+        self.first, self.lengths, self.anchors = offsets[leader], lengths[leader], high[leader].astype(np.uint64) << np.uint64(32)
+        self.ids = np.minimum.reduceat(ids[order], begins)
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.strings = [strings[i] for i in order.tolist()]
-        self.ids, self.anchors = np.array(ids, np.int64)[order], high[order]
-        self.lengths = np.array([len(s) for s in self.strings], np.int64)
+        place[order] = np.cumsum(new) - 1
         #: Of each message, its strings.
-        self.sent = [place[m] for m in sent]
+        self.sent = np.split(place, np.cumsum(counts)[:-1])
+
+    def bytes_of(self, which: slice | np.ndarray) -> np.ndarray:
+        """The bytes of some strings, one after the other."""
+        return self.data[_spread(self.lengths[which], self.first[which])]
+
+    @property
+    def strings(self) -> list[bytes]:
+        return [self.data[i : i + n].tobytes() for i, n in zip(self.first, self.lengths, strict=True)]
 
     def answered(self, runs: _Runs) -> pa.Table:
         """Replies to the messages with the runs of each one's strings."""
@@ -252,16 +277,16 @@ class _Runs:
         return _Runs(*(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3)))
 
 
-def _smallest(strings: list[bytes], ids: np.ndarray, threshold: int) -> np.ndarray:
-    """For each window of the strings, one after the other, the smallest id among the strings in which it occurs."""
-    lengths = np.array([len(s) for s in strings])
+def _smallest(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, threshold: int) -> np.ndarray:
+    """For each window of the strings, one after the other in data, the smallest id among the strings in which it occurs."""
     ends = np.cumsum(lengths + 1)
-    text = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8)
-    symbols = text.astype(np.uint16) + np.uint16(1)
-    symbols[ends - 1] = SEPARATOR
+    symbols = np.full(len(data) + len(lengths), SEPARATOR, np.uint16)
+    solid = np.ones(len(symbols), bool)
+    solid[ends - 1] = False
+    symbols[solid] = data.astype(np.uint16) + np.uint16(1)
     begins = ends - lengths - 1
     n_windows = lengths - threshold + 1
-    owner = np.repeat(np.arange(len(strings)), n_windows)
+    owner = np.repeat(np.arange(len(lengths)), n_windows)
     number = np.full(len(symbols), -1, np.int64)
     number[np.repeat(begins, n_windows) + np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)] = np.arange(len(owner))
     order = suffix_order(symbols, threshold)
@@ -276,22 +301,47 @@ def _smallest(strings: list[bytes], ids: np.ndarray, threshold: int) -> np.ndarr
     return out
 
 
+def _pieces(anchors: np.ndarray, room: np.ndarray, most: int):
+    """Slices of whole anchors' strings, each with as many as have that room together, one anchor at least."""
+    groups, room, at = np.flatnonzero(np.append(_begins(anchors), True)), np.cumsum(room), 0
+    while at < len(groups) - 1:
+        i = groups[at]
+        enough = np.searchsorted(room, (room[i - 1] if i else 0) + most)
+        at = max(at + 1, int(np.searchsorted(groups, enough, "right")) - 1)
+        yield slice(i, groups[at])
+
+
+def _alike(met: _Strings, threshold: int) -> np.ndarray:
+    """The strings that aren't alone at their anchor, and that have a window of the hash of another one."""
+    begins = np.flatnonzero(_begins(met.anchors))
+    sizes = np.diff(begins, append=len(met.anchors))
+    several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    found = []
+    for piece in _pieces(met.anchors[several], met.lengths[several], SIFTED_BYTES):
+        mine = several[piece]
+        n = met.lengths[mine] - threshold + 1
+        sums, inverse = running_hash(met.bytes_of(mine))
+        at = _spread(n, np.cumsum(met.lengths[mine]) - met.lengths[mine])
+        hashes = (sums[at + threshold] - sums[at]) * inverse[at]
+        order = np.argsort(hashes)
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        twice = np.zeros(len(hashes), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        found.append(mine[np.logical_or.reduceat(twice, np.cumsum(n) - n)])
+    return np.concatenate([*found, np.zeros(0, np.int64)])
+
+
 def _expand(threshold: int):
     def expand(messages: pa.Table) -> pa.Table:
         """Answers each message's strings with runs of windows and the smallest doc_id that has these windows."""
         met = _Strings(messages)
-        n_windows = met.lengths - threshold + 1
-        room = np.cumsum(met.lengths + 1)
-        groups = np.flatnonzero(np.append(_begins(met.anchors), True))  # where an anchor's strings begin, and the end
+        alike = _alike(met, threshold)
+        lengths, ids = met.lengths[alike], met.ids[alike]
+        n_windows = lengths - threshold + 1
         counts, stops, values = [], [], []
-        at = 0
-        while at < len(groups) - 1:
-            # whole anchors, as many as may be sorted together, one at least
-            i = groups[at]
-            enough = np.searchsorted(room, (room[i - 1] if i else 0) + SORTED_SYMBOLS)
-            at = max(at + 1, int(np.searchsorted(groups, enough, "right")) - 1)
-            part = slice(i, groups[at])
-            least = _smallest(met.strings[part], met.ids[part], threshold)
+        for part in _pieces(met.anchors[alike], lengths + 1, SORTED_SYMBOLS):
+            least = _smallest(met.bytes_of(alike[part]), lengths[part], ids[part], threshold)
             ends = np.cumsum(n_windows[part])
             change = _begins(least)
             change[ends - n_windows[part]] = True
@@ -300,7 +350,13 @@ def _expand(threshold: int):
             counts.append(np.bincount(of, minlength=len(ends)))
             values.append(least[places])
             stops.append(np.append(places[1:], len(least)) - (ends - n_windows[part])[of])
-        return met.answered(_Runs(*(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (counts, stops, values))))
+        # a string has one run, with its own doc_id, unless the transform gave it others
+        n_runs = np.ones(len(met.ids), np.int64)
+        n_runs[alike] = np.concatenate([*counts, np.zeros(0, np.int64)])
+        runs = _Runs(n_runs, np.repeat(met.lengths - threshold + 1, n_runs), np.repeat(met.ids, n_runs))
+        at = _spread(n_runs[alike], runs.begins[alike])
+        runs.stops[at], runs.values[at] = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (stops, values))
+        return met.answered(runs)
 
     return expand
 
@@ -315,7 +371,7 @@ def _merge(routes: Routes):
             cuts = routes.cuts(met.anchors, level + 1, part)
             found = np.flatnonzero(np.diff(cuts))
             pieces = [slice(cuts[k], cuts[k + 1]) for k in found]
-            blobs = [_pack(met.anchors[p], met.ids[p], met.lengths[p], met.strings[p], press) for p in pieces]
+            blobs = [_pack(met.anchors[p], met.ids[p], met.lengths[p], [met.bytes_of(p).tobytes()], press) for p in pieces]
             return routes.messages(hop, group, level + 1, [int(k) + part * routes.fan for k in found], blobs)
 
         return merged
@@ -347,7 +403,7 @@ def _mark(routes: Routes, threshold: int):
             removed = values[runs] < block.ids[block.row[stretch]]
             np.add.at(delta, (block.first[stretch] + since)[removed], 1)
             np.add.at(delta, (block.first[stretch] + stops[runs] + threshold - 1)[removed], -1)
-        gone = np.cumsum(delta[:-1]) > 0
+        gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
         del delta
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
@@ -361,7 +417,8 @@ def _mark(routes: Routes, threshold: int):
         of = np.searchsorted(block.offsets, starts, "right") - 1
         spans = pa.StructArray.from_arrays([pa.array((starts - block.offsets[of]).astype(np.int32)), pa.array((stops - block.offsets[of]).astype(np.int32))], ["start", "end"])
         span_ends = np.searchsorted(starts, block.offsets).astype(np.int32)
-        kept_ends = np.concatenate([[0], np.cumsum(~gone)])[block.offsets].astype(np.int32)
+        lost = np.bincount(of, stops - starts, len(block.ids)).astype(np.int64)
+        kept_ends = np.concatenate([[0], np.cumsum(np.diff(block.offsets) - lost)]).astype(np.int32)
         kept = pa.Array.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(kept_ends), pa.py_buffer(np.ascontiguousarray(block.data[~gone]))])
         return pa.table({"doc_id": rows.column("doc_id"), "row_key": rows.column("row_key"), "n_bytes": pa.array(np.diff(block.offsets)), "spans": pa.ListArray.from_arrays(pa.array(span_ends), spans), "kept": kept})
 
@@ -371,7 +428,8 @@ def _mark(routes: Routes, threshold: int):
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
     """A row for each document: doc_id, row_key, n_bytes, the removed spans (byte offsets in the text) and the kept bytes."""
     n = n_parts(docs, BLOCK_BYTES)
-    routes = plan_routes(n, n)
+    # a range takes what two blocks send, and more messages cost less than a hop: there is none up to 1,024 blocks
+    routes = plan_routes(n, n // 2, routing.FAN**2 // 32)
     key = F.xxhash64("doc_id", "text")
     blocks = docs.select("doc_id", "text", key.alias("row_key"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).groupBy("block")
     answers = held_by_several(blocks.applyInArrow(_ask(routes, threshold), MESSAGE), routes, HOT_STRINGS)

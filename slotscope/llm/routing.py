@@ -4,6 +4,7 @@ Were every sender to write to every owner, messages would grow with the square o
 FAN ranges instead. Where more ranges are needed, a hop takes in what a group of as many senders has sent to one range,
 merges it, and writes on to the parts of that range. A hop thus holds about as much as a sender, and each level
 has at most FAN messages a sender. Answers go back the same way: a hop keeps nothing, it reads what was sent to it again.
+Where a hop costs more than many messages do, as with strings, a sender may write to more ranges than FAN.
 """
 
 from __future__ import annotations
@@ -53,12 +54,13 @@ class Routes:
         return pa.table({"sender": pa.array([sender] * n, pa.int64()), "to": pa.array(to, pa.int64()), "part": pa.array(parts, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def plan_routes(senders: int, ranges: int) -> Routes:
-    """Routes of as many levels as keep the fan-out within bounds; of one level, there are FAN ranges."""
-    levels = 1
-    while FAN**levels < ranges:
+def plan_routes(senders: int, ranges: int, widest: int = 0) -> Routes:
+    """Routes of as many levels as keep the fan-out within bounds, FAN or what is widest; of one level, there are FAN ranges at least."""
+    levels, fan = 1, max(FAN, widest)
+    while fan**levels < ranges:
         levels += 1
-    fan = FAN
+    if levels == 1:
+        fan = max(FAN, ranges)
     while levels > 1 and (fan - 1) ** levels >= ranges:
         fan -= 1
     return Routes(fan, tuple(-(-max(1, senders) // fan**k) for k in range(1, levels)))

@@ -365,6 +365,75 @@ def test_strings_stand_in_one_order_however_messages_arrive():
     assert [x.tolist() for x in a.sent] == [x.tolist() for x in b.sent]
 
 
+def expanded(strings, ids, anchors):
+    """What the owner of a range answers two senders, the strings dealt between them, as the smallest doc_id of each window."""
+    import pyarrow as pa
+    import zstandard
+
+    press, sent = zstandard.ZstdCompressor(), [range(0, len(strings), 2), range(1, len(strings), 2)]
+    blobs = [repeats._pack(np.array([anchors[i] for i in mine], np.uint64), np.array([ids[i] for i in mine]), np.array([len(strings[i]) for i in mine]), [strings[i] for i in mine], press) for mine in sent]
+    told = repeats._expand(50)(pa.table({"sender": [0, 1], "to": [0, 0], "part": [0, 0], "blob": blobs}))
+    got = {}
+    for mine, reply in zip(sent, told.column("reply").to_pylist(), strict=True):
+        runs = repeats._Runs.read([reply])
+        for k, i in enumerate(mine):
+            ends = runs.stops[runs.begins[k] : runs.begins[k] + runs.counts[k]]
+            got[i] = np.repeat(runs.values[runs.begins[k] : runs.begins[k] + runs.counts[k]], np.diff(ends, prepend=0)).tolist()
+    return [got[i] for i in range(len(strings))]
+
+
+def windows_truth(strings, ids):
+    least = defaultdict(lambda: LAST)
+    for s, i in zip(strings, ids, strict=True):
+        for p in range(len(s) - 49):
+            least[s[p : p + 50]] = min(least[s[p : p + 50]], i)
+    return [[least[s[p : p + 50]] for p in range(len(s) - 49)] for s in strings]
+
+
+def met_strings():
+    """Strings that have an anchor in common by chance, two that share windows, and one that is alone at its anchor."""
+    common, rng = b"a phrase that many have in common", random.Random(8)
+    strings = [b"%017d" % rng.randrange(10**17) + common + b"%017d" % rng.randrange(10**17) for _ in range(40)]
+    strings += [b"x" + strings[7][:60], b"alone " * 11, b"ab" * 40, b"ba" * 30]
+    return strings, [100 + rng.randrange(50) for _ in strings], [1 << 40] * 41 + [1 << 50] + [1 << 60] * 2
+
+
+def test_strings_without_a_common_window_are_left_out_of_the_transform(monkeypatch):
+    """Anchors that texts share by chance grow faster than the texts; their strings must not all be sorted."""
+    strings, ids, anchors = met_strings()
+    sorted_strings, smallest = [], repeats._smallest
+    monkeypatch.setattr(repeats, "_smallest", lambda *a: sorted_strings.append(len(a[-2])) or smallest(*a))
+    assert expanded(strings, ids, anchors) == windows_truth(strings, ids)
+    assert sum(sorted_strings) == 4
+
+
+def test_met_strings_of_one_hash_are_told_apart(monkeypatch):
+    """Were the hashes of all strings at an anchor equal, equal ones and others would still get their windows' smallest doc_id."""
+    strings, ids, anchors = met_strings()
+    strings, ids, anchors = strings[:41] + strings[:41] + strings[41:], ids[:41] + [i - 3 for i in ids[:41]] + ids[41:], anchors[:41] * 2 + anchors[41:]
+    monkeypatch.setattr(repeats, "_meeting", lambda anchors, hashes: anchors >> np.uint64(32) << np.uint64(32), raising=False)
+    assert expanded(strings, ids, anchors) == windows_truth(strings, ids)
+
+
+def test_repeats_around_a_hot_anchor_over_hops(spark, monkeypatch):
+    rng = random.Random(6)
+    line = "another line that stands in very many of the documents, whoever wrote them, word for word"
+    tail = lambda: " ".join(f"{rng.randrange(10**6)}" for _ in range(12))
+    made = [(i, f"{tail()} {line if i % 3 else line[:44]} {tail()}") for i in range(90)] + [(500, line), (501, line * 2)]
+    monkeypatch.setattr(routing, "FAN", 2)
+    monkeypatch.setattr(repeats, "n_parts", lambda *_: 9)
+    monkeypatch.setattr(repeats, "HOT_STRINGS", 10)
+    assert routing.plan_routes(9, 9 // 2, routing.FAN**2 // 32).levels == 2
+    assert found_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(4)) == repeat_truth(made, 50)
+
+
+def test_many_blocks_take_no_hop():
+    """Blocks of 6 GB: a hop would unpack, merge and pack all strings once more, and once more on the way back."""
+    assert routing.plan_routes(715, 715 // 2, routing.FAN**2 // 32) == routing.Routes(357, ())
+    assert routing.plan_routes(60, 30, routing.FAN**2 // 32) == routing.plan_routes(60, 60) == routing.Routes(128, ())
+    assert routing.plan_routes(3600, 1800, routing.FAN**2 // 32).levels == 2
+
+
 def test_routes_nest_and_cover(monkeypatch):
     for fan, senders, ranges in ((128, 10, 5), (4, 50, 17), (3, 200, 100)):
         monkeypatch.setattr(routing, "FAN", fan)
