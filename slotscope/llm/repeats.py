@@ -11,9 +11,9 @@ that many documents share is one string a block, and one string a hop on the way
 An anchor around which very many different strings stand, as in a line that everybody writes, is split: its windows
 travel one by one and meet by the hash of all their bytes.
 
-Texts of a small vocabulary share ever more anchors by chance as they grow in number, without sharing a window. A string that
-is alone at its anchor, or of whose windows none has the hash of a window of another string, is left out of the transform: there
-its own smallest doc_id is the answer.
+Texts of a small vocabulary share ever more anchors by chance as they grow in number, without sharing a window. Windows that
+have no other string's window's hash at their anchor are left out of the transform: there a string's own smallest doc_id is the
+answer. Of the passages that remain, equal ones are transformed once.
 
 Defined results: null text has no bytes; texts shorter than the threshold lose nothing; rows of one doc_id never lose
 bytes to each other; a null doc_id is larger than all others; no rows give no rows; other columns are not read.
@@ -311,51 +311,82 @@ def _pieces(anchors: np.ndarray, room: np.ndarray, most: int):
         yield slice(i, groups[at])
 
 
-def _alike(met: _Strings, threshold: int) -> np.ndarray:
-    """The strings that aren't alone at their anchor, and that have a window of the hash of another one."""
-    begins = np.flatnonzero(_begins(met.anchors))
-    sizes = np.diff(begins, append=len(met.anchors))
+def _sifted(data: np.ndarray, first: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """The strings that aren't alone at their anchor and have windows of the hash of another one; their first and last such window, and a hash of the passage between."""
+    begins = np.flatnonzero(_begins(anchors))
+    sizes = np.diff(begins, append=len(anchors))
     several = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    found = []
-    for piece in _pieces(met.anchors[several], met.lengths[several], SIFTED_BYTES):
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    for piece in _pieces(anchors[several], lengths[several], SIFTED_BYTES):
         mine = several[piece]
-        n = met.lengths[mine] - threshold + 1
-        sums, inverse = running_hash(met.bytes_of(mine))
-        at = _spread(n, np.cumsum(met.lengths[mine]) - met.lengths[mine])
+        size = lengths[mine]
+        n, base = size - threshold + 1, np.cumsum(size) - size
+        sums, inverse = running_hash(data[_spread(size, first[mine])])
+        at, of = _spread(n, base), np.repeat(np.arange(len(mine)), n)
         hashes = (sums[at + threshold] - sums[at]) * inverse[at]
         order = np.argsort(hashes)
         same = hashes[order[1:]] == hashes[order[:-1]]
         twice = np.zeros(len(hashes), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        found.append(mine[np.logical_or.reduceat(twice, np.cumsum(n) - n)])
-    return np.concatenate([*found, np.zeros(0, np.int64)])
+        hits = np.flatnonzero(twice)
+        change = np.flatnonzero(_begins(of[hits]))
+        string = of[hits[change]]
+        i, j = at[hits[change]], at[hits[np.append(change[1:], len(hits)) - 1]] if len(hits) else at[hits]
+        found.append((mine[string], i - base[string], j - base[string], mix((sums[j + threshold] - sums[i]) * inverse[i] + (j - i).astype(np.uint64))))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
+
+
+def _transformed(data: np.ndarray, first: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, ids: np.ndarray, threshold: int) -> _Runs:
+    """Runs of the strings, in the order of their anchors; a string has one, with its own doc_id, unless the transform gives it others."""
+    n_windows = lengths - threshold + 1
+    n_runs = np.ones(len(ids), np.int64)
+    alike = _sifted(data, first, lengths, anchors, threshold)[0]
+    counts, stops, values = [], [], []
+    for piece in _pieces(anchors[alike], lengths[alike] + 1, SORTED_SYMBOLS):
+        part = alike[piece]
+        least = _smallest(data[_spread(lengths[part], first[part])], lengths[part], ids[part], threshold)
+        ends = np.cumsum(n_windows[part])
+        change = _begins(least)
+        change[ends - n_windows[part]] = True
+        places = np.flatnonzero(change)
+        of = np.searchsorted(ends, places, "right")
+        counts.append(np.bincount(of, minlength=len(ends)))
+        values.append(least[places])
+        stops.append(np.append(places[1:], len(least)) - (ends - n_windows[part])[of])
+    n_runs[alike] = np.concatenate([*counts, np.zeros(0, np.int64)])
+    runs = _Runs(n_runs, np.repeat(n_windows, n_runs), np.repeat(ids, n_runs))
+    at = _spread(n_runs[alike], runs.begins[alike])
+    runs.stops[at], runs.values[at] = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (stops, values))
+    return runs
 
 
 def _expand(threshold: int):
     def expand(messages: pa.Table) -> pa.Table:
         """Answers each message's strings with runs of windows and the smallest doc_id that has these windows."""
         met = _Strings(messages)
-        alike = _alike(met, threshold)
-        lengths, ids = met.lengths[alike], met.ids[alike]
-        n_windows = lengths - threshold + 1
-        counts, stops, values = [], [], []
-        for part in _pieces(met.anchors[alike], lengths + 1, SORTED_SYMBOLS):
-            least = _smallest(met.bytes_of(alike[part]), lengths[part], ids[part], threshold)
-            ends = np.cumsum(n_windows[part])
-            change = _begins(least)
-            change[ends - n_windows[part]] = True
-            places = np.flatnonzero(change)
-            of = np.searchsorted(ends, places, "right")
-            counts.append(np.bincount(of, minlength=len(ends)))
-            values.append(least[places])
-            stops.append(np.append(places[1:], len(least)) - (ends - n_windows[part])[of])
-        # a string has one run, with its own doc_id, unless the transform gave it others
+        which, since, last, hashes = _sifted(met.data, met.first, met.lengths, met.anchors, threshold)
+        # many strings have one passage in common and nothing else, as at the edges of a line: it is transformed once
+        size, start = last - since + threshold, met.first[which] + since
+        meeting = _meeting(met.anchors[which], hashes)
+        order = np.argsort(meeting)
+        new = _told_apart(met.data, start[order], size[order], _begins(meeting[order]))
+        begins = np.flatnonzero(new)
+        lead = order[begins]
+        least = np.minimum.reduceat(met.ids[which][order], begins) if len(begins) else np.zeros(0, np.int64)
+        found = _transformed(met.data, start[lead], size[lead], met.anchors[which][lead], least, threshold)
+        passage = np.empty(len(which), np.int64)
+        passage[order] = np.cumsum(new) - 1
+        # before and after its passage a string's windows are its own
+        n_windows = met.lengths - threshold + 1
+        before, after = since > 0, last < n_windows[which] - 1
         n_runs = np.ones(len(met.ids), np.int64)
-        n_runs[alike] = np.concatenate([*counts, np.zeros(0, np.int64)])
-        runs = _Runs(n_runs, np.repeat(met.lengths - threshold + 1, n_runs), np.repeat(met.ids, n_runs))
-        at = _spread(n_runs[alike], runs.begins[alike])
-        runs.stops[at], runs.values[at] = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (stops, values))
+        n_runs[which] = before + found.counts[passage] + after
+        runs = _Runs(n_runs, np.repeat(n_windows, n_runs), np.repeat(met.ids, n_runs))
+        runs.stops[runs.begins[which[before]]] = since[before]
+        n = found.counts[passage]
+        at, place = _spread(n, runs.begins[which] + before), _spread(n, found.begins[passage])
+        runs.stops[at], runs.values[at] = found.stops[place] + np.repeat(since, n), found.values[place]
         return met.answered(runs)
 
     return expand
